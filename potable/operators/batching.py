@@ -19,7 +19,17 @@ def number_batches(work: DataFrame, size: int = BATCH_SIZE, order: str = "seq")
     )
 
 
-ITEM_FIELDS = ["pos", "seq", "msgctxt", "msgid", "msgid_plural"]
+def _item() -> F.Column:
+    """Request item: a plural carries ``msgid_plural`` and no ``msgid``;
+    ``msgid_orig`` keeps the entry key for the merge."""
+    return F.struct(
+        F.col("pos"),
+        F.col("seq"),
+        F.col("msgctxt"),
+        F.when(F.col("msgid_plural").isNull(), F.col("msgid")).alias("msgid"),
+        F.col("msgid_plural"),
+        F.col("msgid").alias("msgid_orig"),
+    )
 
 
 def batch_requests(numbered: DataFrame) -> DataFrame:
@@ -29,7 +39,7 @@ def batch_requests(numbered: DataFrame) -> DataFrame:
     ``(catalog_id, batch_no)`` is balanced even for a giant catalog.
     """
     return numbered.groupBy("catalog_id", "batch_no").agg(
-        F.array_sort(F.collect_list(F.struct(*ITEM_FIELDS))).alias("items"),
+        F.array_sort(F.collect_list(_item())).alias("items"),
         F.count(F.lit(1)).alias("n_items"),
     )
 
