@@ -84,7 +84,7 @@ PLACEHOLDER_PATTERN = (
     "%(?:[0-9]+\\$)?(?:\\([A-Za-z_][A-Za-z0-9_]*\\))?[-+ #0]*[0-9]*(?:\\.[0-9]+)?[hlLqjzt]*[diouxXeEfFgGcrsaAp%]"
     "|\\$\\{[^{}]*\\}"
     "|\\{[A-Za-z0-9_]*\\}"
-    "|</?[A-Za-z][A-Za-z0-9:-]*(?:\\s[^<>]*)?/?>"
+    "|</?[A-Za-z][A-Za-z0-9:-]*(?:[ \\t\\n\\r][^<>]*)?/?>"
 )
 
 

@@ -97,30 +97,35 @@ def validate(attempts: DataFrame, samples: str = "samples") -> DataFrame:
     ``samples`` (plural samples or null), ``status``, ``content``.
     API errors (status other than 200) get code ``API_ERROR``; their retry class
     comes from the status.
+
+    The reply is parsed once into a column; the entry rules then run on the
+    items zipped with the reply array, so every rule reads lambda variables
+    only and no parse is ever repeated per entry.
     """
-    content = F.col("content")
-    v = F.try_parse_json(strip_json_fences(content))
-    tr = _get(v, "translations")
-    arr = F.try_variant_get(tr, "$", "array<variant>")
-    n_samples = F.coalesce(F.size(F.col(samples)), F.lit(0))
     api_error = F.col("status").isNotNull() & (F.col("status") != 200)
+    staged = (
+        attempts.withColumn("__v", F.try_parse_json(strip_json_fences("content")))
+        .withColumn("__tr", _get(F.col("__v"), "translations"))
+        .withColumn("__arr", F.try_variant_get(F.col("__tr"), "$", "array<variant>"))
+        .withColumn("__ns", F.coalesce(F.size(F.col(samples)), F.lit(0)))
+    )
+    v, tr, arr = F.col("__v"), F.col("__tr"), F.col("__arr")
     doc = (
         F.when(api_error, F.lit("API_ERROR"))
-        .when(is_blank(content), F.lit("EMPTY"))
+        .when(is_blank(F.col("content")), F.lit("EMPTY"))
         .when(v.isNull(), F.lit("NOT_JSON"))
         .when(~F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False)) | tr.isNull(), F.lit("NO_TRANSLATIONS"))
         .when(~F.coalesce(_kind(tr).startswith("ARRAY"), F.lit(False)), F.lit("TRANSLATIONS_NOT_ARRAY"))
         .when(F.size(arr) != F.col("n_items"), F.lit("COUNT_MISMATCH"))
     )
-    with_doc = attempts.withColumn("__arr", F.when(doc.isNull(), arr)).withColumn("__doc", doc)
+    with_doc = staged.withColumn("__doc", doc).withColumn("parsed", F.when(F.col("__doc").isNull(), arr))
+    zipped = F.arrays_zip(F.col("items").alias("it"), F.col("parsed").alias("x"))
     codes = F.transform(
-        F.col("items"),
-        lambda it, i: F.struct(
-            _entry_code(it, F.element_at(F.col("__arr"), i + 1), n_samples).alias("c"), i.alias("i")
-        ),
+        zipped,
+        lambda z, i: F.struct(_entry_code(z["it"], z["x"], F.col("__ns")).alias("c"), i.alias("i")),
     )
     first = F.try_element_at(F.filter(codes, lambda s: s["c"].isNotNull()), F.lit(1))
-    out = (
+    return (
         with_doc.withColumn("__first", F.when(F.col("__doc").isNull(), first))
         .withColumn("error_code", F.coalesce(F.col("__doc"), F.col("__first.c"), F.lit("OK")))
         .withColumn("error_pos", F.col("__first.i").cast("int"))
@@ -130,10 +135,8 @@ def validate(attempts: DataFrame, samples: str = "samples") -> DataFrame:
                 F.col("error_code").isin(*RETRYABLE_CODES)
             ),
         )
-        .withColumnRenamed("__arr", "parsed")
-        .drop("__doc", "__first")
+        .drop("__v", "__tr", "__arr", "__ns", "__doc", "__first")
     )
-    return out
 
 
 def coerce_result(msgstr: Column, plural: Column) -> Column:
@@ -160,16 +163,14 @@ def align_response(validated: DataFrame) -> DataFrame:
     """
     ok = validated.where(F.col("error_code") == F.lit("OK"))
     pairs = F.transform(
-        F.col("items"),
-        lambda it, i: F.struct(
-            it["pos"].alias("pos"),
-            it["seq"].alias("seq"),
-            F.coalesce(it["msgctxt"], F.lit("")).alias("msgctxt"),
-            it["msgid_orig"].alias("msgid"),
-            it["msgid_plural"].alias("msgid_plural"),
-            coerce_result(_get(F.element_at(F.col("parsed"), i + 1), "msgstr"), it["msgid_plural"].isNotNull()).alias(
-                "msgstr"
-            ),
+        F.arrays_zip(F.col("items").alias("it"), F.col("parsed").alias("x")),
+        lambda z: F.struct(
+            z["it"]["pos"].alias("pos"),
+            z["it"]["seq"].alias("seq"),
+            F.coalesce(z["it"]["msgctxt"], F.lit("")).alias("msgctxt"),
+            z["it"]["msgid_orig"].alias("msgid"),
+            z["it"]["msgid_plural"].alias("msgid_plural"),
+            coerce_result(_get(z["x"], "msgstr"), z["it"]["msgid_plural"].isNotNull()).alias("msgstr"),
         ),
     )
     keep = [c for c in ("catalog_id", "batch_no", "attempt") if c in validated.columns]

@@ -114,9 +114,11 @@ def pseudo_attempts(requests: DataFrame, attempt: int | Column) -> DataFrame:
     ``requests`` needs catalog_id, batch_no, items, target_language, samples.
     """
     att = F.lit(attempt) if isinstance(attempt, int) else attempt
-    m = mode_expr(F.col("catalog_id"), F.col("batch_no"), att)
-    n_samples = F.coalesce(F.size("samples"), F.lit(0))
-    body = F.concat(F.lit('{"translations":['), F.array_join(_elements(m, n_samples, F.col("target_language")), ","), F.lit("]}"))
+    staged = requests.withColumn("attempt", att.cast("int")).withColumn(
+        "__m", mode_expr(F.col("catalog_id"), F.col("batch_no"), F.col("attempt"))
+    ).withColumn("__ns", F.coalesce(F.size("samples"), F.lit(0)))
+    m = F.col("__m")
+    body = F.concat(F.lit('{"translations":['), F.array_join(_elements(m, F.col("__ns"), F.col("target_language")), ","), F.lit("]}"))
     status = F.lit(200)
     code = F.lit(None).cast("string")
     message = F.lit(None).cast("string")
@@ -136,9 +138,9 @@ def pseudo_attempts(requests: DataFrame, attempt: int | Column) -> DataFrame:
         .otherwise(body)
     )
     return (
-        requests.withColumn("attempt", att.cast("int"))
-        .withColumn("status", status.cast("int"))
+        staged.withColumn("status", status.cast("int"))
         .withColumn("code", code)
         .withColumn("message", message)
         .withColumn("content", content)
+        .drop("__m", "__ns")
     )
