@@ -139,6 +139,13 @@ def validate(attempts: DataFrame, samples: str = "samples") -> DataFrame:
     )
 
 
+def parse_replies(attempts: DataFrame) -> DataFrame:
+    """Accepted attempts only: add ``parsed`` (the reply array) without re-running
+    the rule ladder; the verdict columns already say the reply passed."""
+    v = F.try_parse_json(strip_json_fences("content"))
+    return attempts.withColumn("parsed", F.try_variant_get(_get(v, "translations"), "$", "array<variant>"))
+
+
 def coerce_result(msgstr: Column, plural: Column) -> Column:
     """Validated reply value -> ``array<string>``: plural string -> [s], null -> [];
     singular array -> first element or ''."""

@@ -18,7 +18,7 @@ from potable.operators.request import system_message
 from potable.plans.catalog import catalogs, entries, msgstr_text
 from potable.plans.options import catalog_overrides, resolve_options
 from potable.plans.queries import query
-from potable.plans.translate import full_attempt_matrix, translate
+from potable.plans.translate import full_attempt_matrix, parsed_attempt_matrix, translate
 
 # ------------------------------------------------------------------------- language
 
@@ -150,7 +150,7 @@ def q_validate_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("normalize_msgctxt")
 def q_normalize_msgctxt(spark: SparkSession, sf: str) -> DataFrame:
-    m = full_attempt_matrix(spark, sf).where(F.col("parsed").isNotNull())
+    m = parsed_attempt_matrix(spark, sf).where(F.col("parsed").isNotNull())
     return m.select("catalog_id", "batch_no", "attempt", F.posexplode("parsed").alias("pos", "x")).select(
         "catalog_id",
         "batch_no",
@@ -162,7 +162,7 @@ def q_normalize_msgctxt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("coerce_result")
 def q_coerce_result(spark: SparkSession, sf: str) -> DataFrame:
-    r = validate.align_response(full_attempt_matrix(spark, sf))
+    r = validate.align_response(parsed_attempt_matrix(spark, sf))
     return r.select(
         "catalog_id",
         "batch_no",

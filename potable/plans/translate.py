@@ -49,21 +49,34 @@ def requests_table(spark: SparkSession, sf: str, opts: Options = Options()) -> D
     return with_payload(reqs, source_language=src, context=ctx, model=opts.model)
 
 
+VERDICT_COLUMNS = ["error_code", "error_pos", "retryable"]
+
+
+def _verdicts(requests: DataFrame, raw: DataFrame, label: str) -> DataFrame:
+    """Validate a written reply table and write the log with its verdicts.
+
+    Reading verdicts back from a table keeps later filters from re-inlining the
+    whole validation expression."""
+    checked = validate.validate(requests.join(raw, on=["catalog_id", "batch_no"], how="inner"))
+    return materialize(checked.select(*LOG_COLUMNS, *VERDICT_COLUMNS), label)
+
+
 def run_attempts(requests: DataFrame, provider: Provider = pseudo_attempts, label: str = "attempts") -> DataFrame:
     """Retry rounds: attempt 1 for every request, then only retryable failures.
 
-    Returns the append-only attempt log (all rounds), read back from the
-    written tables.
+    Each round first writes the raw replies (a paid call happens once even if
+    later stages are recomputed), then the validated log. Returns the
+    append-only attempt log of all rounds with verdict columns.
     """
     pending = requests
     rounds: list[DataFrame] = []
     for k in range(1, att.MAX_ATTEMPTS + 1):
-        log = materialize(provider(pending, k).select(*LOG_COLUMNS), f"{label}-round{k}")
+        raw = materialize(provider(pending, k).select(*LOG_COLUMNS), f"{label}-raw{k}")
+        log = _verdicts(requests, raw, f"{label}-round{k}")
         rounds.append(log)
         if k == att.MAX_ATTEMPTS:
             break
-        checked = validate.validate(requests.join(log, on=["catalog_id", "batch_no"], how="inner"))
-        retry = checked.where((F.col("error_code") != "OK") & F.col("retryable")).select("catalog_id", "batch_no")
+        retry = log.where((F.col("error_code") != "OK") & F.col("retryable")).select("catalog_id", "batch_no")
         pending = requests.join(retry, on=["catalog_id", "batch_no"], how="left_semi")
     out = rounds[0]
     for r in rounds[1:]:
@@ -73,15 +86,20 @@ def run_attempts(requests: DataFrame, provider: Provider = pseudo_attempts, labe
 
 def validated_attempts(requests: DataFrame, log: DataFrame) -> DataFrame:
     """Attempt log joined to its requests (by batch) and validated."""
-    return validate.validate(requests.join(log, on=["catalog_id", "batch_no"], how="inner"))
+    return validate.validate(requests.join(log.select(*LOG_COLUMNS), on=["catalog_id", "batch_no"], how="inner"))
 
 
-def committed_results(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(batch outcomes with ``committed``, result rows of committed batches)."""
-    outcomes = att.committed_prefix(att.resolve_attempts(validated))
+def committed_results(requests: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(batch outcomes with ``committed``, result rows of committed batches).
+
+    Outcomes come from the verdict columns of the log; only the accepted final
+    attempts are parsed again to read their translations.
+    """
+    outcomes = att.committed_prefix(att.resolve_attempts(log))
     good = outcomes.where("committed").select("catalog_id", "batch_no", F.col("final_attempt").alias("attempt"))
-    accepted = validated.join(good, on=["catalog_id", "batch_no", "attempt"], how="left_semi")
-    return outcomes, validate.align_response(accepted)
+    accepted = log.join(good, on=["catalog_id", "batch_no", "attempt"], how="left_semi")
+    with_items = requests.select("catalog_id", "batch_no", "items").join(accepted, on=["catalog_id", "batch_no"], how="inner")
+    return outcomes, validate.align_response(validate.parse_replies(with_items))
 
 
 _RUNS: dict[tuple, dict[str, DataFrame]] = {}
@@ -94,8 +112,8 @@ def translate(spark: SparkSession, sf: str, opts: Options = Options(), provider:
         reqs = requests_table(spark, sf, opts)
         reqs = materialize(reqs, "requests")
         log = run_attempts(reqs, provider)
-        validated = validated_attempts(reqs, log)
-        outcomes, results = committed_results(validated)
+        validated = log
+        outcomes, results = committed_results(reqs, log)
         outcomes = materialize(outcomes, "outcomes")
         results = materialize(results, "results")
         merged = merge.apply_translations(
@@ -122,6 +140,13 @@ def full_attempt_matrix(spark: SparkSession, sf: str, opts: Options = Options())
         for a in range(1, att.MAX_ATTEMPTS + 1):
             one = pseudo_attempts(reqs, a).select(*LOG_COLUMNS)
             log = one if log is None else log.unionByName(one)
-        log = materialize(log, "attempt-matrix")
-        _RUNS[k] = {"validated": validated_attempts(reqs, log)}
+        raw = materialize(log, "attempt-matrix-raw")
+        _RUNS[k] = {"validated": _verdicts(reqs, raw, "attempt-matrix"), "raw": raw}
     return _RUNS[k]["validated"]
+
+
+def parsed_attempt_matrix(spark: SparkSession, sf: str, opts: Options = Options()) -> DataFrame:
+    """The attempt matrix with the parsed reply array (``parsed``) for per-entry reads."""
+    full_attempt_matrix(spark, sf, opts)
+    raw = _RUNS[_key(spark, sf, "matrix") + (opts,)]["raw"]
+    return validated_attempts(translate(spark, sf, opts)["requests"], raw)
