@@ -22,13 +22,16 @@ _SENTINEL = "\u0000"
 
 
 def unescape(col: Column) -> Column:
-    """PO string body -> text: ``\\\\`` first (via a sentinel), then ``\\"``, ``\\n``, ``\\t``, ``\\r``."""
-    s = F.regexp_replace(col, r"\\\\", _SENTINEL)
-    s = F.regexp_replace(s, r'\\"', '"')
-    s = F.regexp_replace(s, r"\\n", "\n")
-    s = F.regexp_replace(s, r"\\t", "\t")
-    s = F.regexp_replace(s, r"\\r", "\r")
-    return F.regexp_replace(s, _SENTINEL, "\\\\")
+    """PO string body -> text: ``\\\\`` first (via a sentinel), then ``\\"``, ``\\n``, ``\\t``, ``\\r``.
+
+    Literal replaces, and only for bodies that contain a backslash at all."""
+    s = F.replace(col, F.lit("\\\\"), F.lit(_SENTINEL))
+    s = F.replace(s, F.lit('\\"'), F.lit('"'))
+    s = F.replace(s, F.lit("\\n"), F.lit("\n"))
+    s = F.replace(s, F.lit("\\t"), F.lit("\t"))
+    s = F.replace(s, F.lit("\\r"), F.lit("\r"))
+    s = F.replace(s, F.lit(_SENTINEL), F.lit("\\"))
+    return F.when(F.instr(col, "\\") > 0, s).otherwise(col)
 
 
 _KW = r'^(msgctxt|msgid_plural|msgid|msgstr(?:\[[0-9]+\])?)[ \t]+"(.*)"[ \t]*$'
@@ -51,36 +54,43 @@ def catalog_id_of(path: Column) -> Column:
 
 
 def classify_lines(files: DataFrame) -> DataFrame:
-    """One row per significant line with section, keyword, piece and entry number."""
+    """One row per significant line with section, keyword, piece and entry number.
+
+    Each per-line value is computed once as a column and regexes only run on
+    the lines they apply to (keyword regex on ``msg`` lines, and so on).
+    """
     lines = files.select(
         "path", F.posexplode(F.split(F.col("text"), "\r?\n")).alias("line_no", "line")
     ).withColumn("line_no", F.col("line_no").cast("bigint"))
-    t = js_trim(F.col("line"))
-    kw_m = F.regexp_extract("line", _KW, 1)
+    lead = F.regexp_replace("line", "^[ \\t]+", "")
+    lines = lines.withColumn("lead", lead)
+    ld = F.col("lead")
     kind = (
-        F.when(t == "", F.lit("blank"))
-        .when(t.startswith("#~"), F.lit("obsolete"))
-        .when(t.startswith("#"), F.lit("comment"))
-        .when(kw_m != "", F.lit("keyword"))
-        .when(F.col("line").rlike(_CONT), F.lit("cont"))
-        .otherwise(F.lit("junk"))
+        F.when(ld.startswith("#~"), F.lit("obsolete"))
+        .when(ld.startswith("#"), F.lit("comment"))
+        .when(ld.startswith("msg") & ld.rlike(_KW), F.lit("keyword"))
+        .when(ld.startswith('"'), F.lit("cont"))
+        .otherwise(F.lit("other"))
     )
     sig = lines.withColumn("kind", kind).where(F.col("kind").isin("comment", "keyword", "cont"))
+    sig = sig.withColumn("kw_here", F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 1)))
     w = Window.partitionBy("path").orderBy("line_no")
-    keyword = F.when(F.col("kind") == "keyword", kw_m).when(F.col("kind") == "comment", F.lit("comment"))
+    keyword = F.when(F.col("kind") == "keyword", F.col("kw_here")).when(F.col("kind") == "comment", F.lit("comment"))
     sig = sig.withColumn("kw", F.last(keyword, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    section = F.regexp_replace(F.col("kw"), r"\[[0-9]+\]$", "")
+    section = F.when(F.col("kw").startswith("msgstr"), F.lit("msgstr")).otherwise(F.col("kw"))
     rank = F.coalesce(*[F.when(section == k, F.lit(v)) for k, v in _RANK.items()])
     sig = sig.withColumn("rank", rank)
     prev = F.lag("rank").over(w)
     start = F.when(prev.isNull() | (F.col("rank") < prev), 1).otherwise(0)
     sig = sig.withColumn("entry_no", F.sum(start).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    piece = F.when(F.col("kind") == "keyword", F.regexp_extract("line", _KW, 2)).when(
-        F.col("kind") == "cont", F.regexp_extract("line", _CONT, 1)
+    piece = F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 2)).when(
+        F.col("kind") == "cont", F.regexp_extract("lead", _CONT, 1)
     )
-    ctype = F.when(F.col("kind") == "comment", F.substring(js_trim(F.col("line")), 1, 2))
-    ctext = js_trim(F.expr("substr(ltrim(line), 3)"))
-    return sig.withColumn("piece", piece).withColumn("ctype", ctype).withColumn("ctext", ctext)
+    is_c = F.col("kind") == "comment"
+    ctype = F.when(is_c, F.substring(ld, 1, 2))
+    ctext = F.when(is_c, js_trim(F.expr("substr(lead, 3)")))
+    ttext = F.when(is_c, js_trim(F.expr("substr(lead, 2)")))
+    return sig.withColumn("piece", piece).withColumn("ctype", ctype).withColumn("ctext", ctext).withColumn("ttext", ttext)
 
 
 def _joined(cond: Column, value: Column, sep: str) -> Column:
@@ -112,7 +122,7 @@ def assemble_entries(lines: DataFrame) -> DataFrame:
         _joined(is_str & (kw == "msgid"), F.col("piece"), "").alias("msgid_raw"),
         _joined(is_str & (kw == "msgid_plural"), F.col("piece"), "").alias("msgid_plural_raw"),
         forms.alias("forms"),
-        _joined(is_tr, js_trim(F.expr("substr(ltrim(line), 2)")), "\n").alias("translator"),
+        _joined(is_tr, F.col("ttext"), "\n").alias("translator"),
         _joined(is_c & (F.col("ctype") == "#,"), F.col("ctext"), "\n").alias("flag"),
         _joined(is_c & (F.col("ctype") == "#:"), F.col("ctext"), "\n").alias("reference"),
         _joined(is_c & (F.col("ctype") == "#."), F.col("ctext"), "\n").alias("extracted"),
