@@ -5,7 +5,8 @@ task. A catalog can hold a third of all entries, so this operator numbers in
 balanced passes instead:
 
 1. range-partition on ``(g, o)`` and sort inside partitions: a big group is
-   cut into contiguous slices on many tasks; the slice is the partition id and
+   cut into contiguous slices on many tasks (``spark.sql.shuffle.partitions``
+   ranges, which AQE may merge when small); the slice is the partition id and
    the row's place in it comes from ``monotonically_increasing_id``;
 2. write that once as a table in the shared checkpoint folder — slice ids
    must stay fixed (the range partitioner re-samples with a per-plan seed), and
@@ -59,12 +60,13 @@ def dense_ordinal(
 
     ``order`` should be a total order inside a group.
     """
-    spark = df.sparkSession
-    n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in groups] + _orders(order)
+    # Without an explicit count AQE may coalesce adjacent ranges (small inputs
+    # get few slices); slice ids are read inside the single job that writes
+    # the table, so they are consistent either way.
+    ranged = df.repartitionByRange(num_slices, *keys) if num_slices else df.repartitionByRange(*keys)
     sliced = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
+        ranged.sortWithinPartitions(*keys)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_IDX, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)))
     )
