@@ -11,7 +11,7 @@ from potable.plans.catalog import _MEMO, _key, catalogs, entries, msgstr_text
 from potable.plans.queries import query
 from potable.plans.translate import translate
 from potable.session import run_folder
-from potable.sinks.po_compile import compile_catalogs, write_catalogs
+from potable.sinks.po_compile import catalog_blocks, catalog_stats, write_catalogs
 from potable.sources.po_text import po_scan
 from potable.sources.responses import response_log_scan, write_response_log
 from potable.streaming.incremental import incremental_worklist
@@ -28,7 +28,7 @@ def compiled_folder(spark: SparkSession, sf: str, fold_length: int = 0) -> str:
     k = _key(spark, sf, f"po-folder-{fold_length}")
     if k not in _MEMO:
         out = _new_folder(spark, "po")
-        write_catalogs(compile_catalogs(entries(spark, sf), catalogs(spark, sf), fold_length), out)
+        write_catalogs(catalog_blocks(entries(spark, sf), catalogs(spark, sf), fold_length), out)
         _MEMO[k] = out  # type: ignore[assignment]
     return _MEMO[k]  # type: ignore[return-value]
 
@@ -52,23 +52,15 @@ def q_po_scan_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("po_compile")
 def q_po_compile(spark: SparkSession, sf: str) -> DataFrame:
-    text = compile_catalogs(entries(spark, sf), catalogs(spark, sf))
-    lines = F.split("text", "\n")
-    return text.select(
-        "catalog_id",
-        F.size(F.filter(lines, lambda x: x.startswith("msgid "))).cast("bigint").alias("n_msgid_lines"),
-        F.size(F.filter(lines, lambda x: x.startswith("msgctxt "))).cast("bigint").alias("n_msgctxt_lines"),
-    )
+    st = catalog_stats(catalog_blocks(entries(spark, sf), catalogs(spark, sf)))
+    return st.select("catalog_id", "n_msgid_lines", "n_msgctxt_lines")
 
 
 @query("po_compile_folded")
 def q_po_compile_folded(spark: SparkSession, sf: str) -> DataFrame:
     """Compiled with fold length 76: longest line per catalog (rows-only check)."""
-    text = compile_catalogs(entries(spark, sf), catalogs(spark, sf), fold_length=76)
-    return text.select(
-        "catalog_id",
-        F.array_max(F.transform(F.split("text", "\n"), lambda x: F.length(x))).cast("bigint").alias("max_line"),
-    )
+    st = catalog_stats(catalog_blocks(entries(spark, sf), catalogs(spark, sf), fold_length=76))
+    return st.select("catalog_id", "max_line")
 
 
 @query("commit_results")

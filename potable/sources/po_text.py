@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from potable.functions.text import js_trim
 from potable.operators.locale import parse_headers, with_language_fields
+from potable.operators.numbering import dense_ordinal
 
 _SENTINEL = "\u0000"
 
@@ -99,7 +100,7 @@ def _joined(cond: Column, value: Column, sep: str) -> Column:
 
 
 def assemble_entries(lines: DataFrame) -> DataFrame:
-    """Group classified lines into entries (seq = entry number within the file)."""
+    """Group classified lines into entries (``entry_no`` = number within the file)."""
     kw = F.col("kw")
     is_str = F.col("kind").isin("keyword", "cont")
     is_c = F.col("kind") == "comment"
@@ -143,7 +144,7 @@ def assemble_entries(lines: DataFrame) -> DataFrame:
     return g.where(F.col("msgid_raw").isNotNull()).select(
         catalog_id_of(F.col("path")).alias("catalog_id"),
         "path",
-        F.col("entry_no").cast("bigint").alias("seq"),
+        F.col("entry_no").cast("bigint").alias("entry_no"),
         F.coalesce(unescape(F.col("msgctxt_raw")), F.lit("")).alias("msgctxt"),
         unescape(F.col("msgid_raw")).alias("msgid"),
         unescape(F.col("msgid_plural_raw")).alias("msgid_plural"),
@@ -174,6 +175,13 @@ def obsolete_blocks(files: DataFrame) -> DataFrame:
     )
 
 
+def file_order(entries: DataFrame) -> DataFrame:
+    """``seq`` = position of the entry in its catalog: a catalog may be written
+    as several ordered part files, so order by (file path, entry number) with
+    the skew-proof ordinal."""
+    return dense_ordinal(entries, ["catalog_id"], ["path", "entry_no"], "seq")
+
+
 def po_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, catalogs) of every PO file under ``path``.
 
@@ -181,7 +189,7 @@ def po_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     header map and language fields.
     """
     files = read_po_files(spark, path)
-    ents = assemble_entries(classify_lines(files))
+    ents = file_order(assemble_entries(classify_lines(files)))
     head = ents.where((F.col("msgctxt") == "") & (F.col("msgid") == "")).select(
         "catalog_id", F.coalesce(F.try_element_at("msgstr", F.lit(1)), F.lit("")).alias("header_text")
     )

@@ -15,11 +15,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from potable.operators import batching
 from potable.operators import select as sel
-from potable.sources.po_text import assemble_entries, classify_lines
+from potable.sources.po_text import assemble_entries, classify_lines, file_order
 
 
 def _requests_of(files: DataFrame, include_fuzzy: bool) -> DataFrame:
-    entries = assemble_entries(classify_lines(files))
+    entries = file_order(assemble_entries(classify_lines(files)))
     work = sel.worklist(entries, include_fuzzy=include_fuzzy)
     return batching.batch_requests(batching.number_batches(work))
 

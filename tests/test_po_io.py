@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from potable.sinks.po_compile import compile_catalogs, fold_chunks, write_catalogs
+from potable.sinks.po_compile import catalog_blocks, fold_chunks, write_catalogs
 from potable.sources.po_text import po_scan
 
 PO = r'''msgid ""
@@ -54,11 +54,10 @@ def test_compile_round_trip(spark, tmp_path):
     (d / "uk.po").write_text(PO, encoding="utf-8")
     ents, cats = po_scan(spark, str(d))
     out = tmp_path / "out"
-    compiled = compile_catalogs(ents, cats)
-    text = compiled.first()["text"]
+    write_catalogs(catalog_blocks(ents, cats), str(out))
+    text = _read_all(out / "catalog_id=uk")
     assert "charset=utf-8" in text and text.startswith('msgid ""\nmsgstr ""\n"Language: uk\\n"')
-    assert "#~" not in text
-    write_catalogs(compiled, str(out))
+    assert "#~" not in text and "\n\nmsgctxt \"auth\"" not in text  # comments come before msgctxt
     again, _ = _scan(spark, out)
     first, _ = _scan(spark, d)
     # the header differs only by the charset, which the sink writes in lower case
@@ -67,13 +66,33 @@ def test_compile_round_trip(spark, tmp_path):
     assert again[("", "")]["msgstr"][0] == first[("", "")]["msgstr"][0].replace("UTF-8", "utf-8")
 
 
-def test_fold(spark):
+def _read_all(folder):
+    return "".join(p.read_text(encoding="utf-8") for p in sorted(folder.glob("part-*")))
+
+
+def test_hot_catalog_written_as_ordered_parts(spark, tmp_path):
+    rows = [("hot", i, "", f"m{i:05d}", None, [""], None, None) for i in range(1, 3001)]
+    rows += [("cold", 1, "", "x", None, [""], None, None)]
+    ents = spark.createDataFrame(rows, "catalog_id string, seq long, msgctxt string, msgid string, msgid_plural string, msgstr array<string>, flag string, translator string")
+    cats = spark.createDataFrame([("hot",), ("cold",)], "catalog_id string").withColumn(
+        "headers", F.create_map(F.lit("Language"), F.lit("uk")))
+    out = tmp_path / "out"
+    write_catalogs(catalog_blocks(ents, cats), str(out), num_parts=8)
+    parts = sorted((out / "catalog_id=hot").glob("part-*"))
+    assert len(parts) > 1
+    back, back_cats = po_scan(spark, str(out))
+    got = [r["msgid"] for r in back.where("catalog_id = 'hot' and msgid <> ''").orderBy("seq").collect()]
+    assert got == [f"m{i:05d}" for i in range(1, 3001)]
+    assert {r["catalog_id"]: r["target_language"] for r in back_cats.collect()} == {"hot": "uk", "cold": "uk"}
+
+
+def test_fold(spark, tmp_path):
     long = "A long string that should be wrapped when compilePo receives an explicit fold length override for compatibility."
     ents = spark.createDataFrame([("c", 1, "", long, None, [""], None, None)],
                                  "catalog_id string, seq long, msgctxt string, msgid string, msgid_plural string, msgstr array<string>, flag string, translator string")
     cats = spark.createDataFrame([("c",)], "catalog_id string").withColumn("headers", F.create_map())
-    flat = compile_catalogs(ents, cats).first()["text"]
+    flat = " ".join(r["text"] for r in catalog_blocks(ents, cats).collect())
     assert f'msgid "{long}"' in flat
-    folded = compile_catalogs(ents, cats, fold_length=76).first()["text"]
+    folded = " ".join(r["text"] for r in catalog_blocks(ents, cats, fold_length=76).collect())
     assert 'msgid ""\n"A long string that should be wrapped when compilePo receives an explicit "' in folded
     assert fold_chunks("a\\nb", 76) == ["a\\n", "b"]
