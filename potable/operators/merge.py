@@ -55,19 +55,25 @@ def latest_results(results: DataFrame) -> DataFrame:
     )
 
 
+def _option(v: bool | str) -> Column:
+    return F.coalesce(F.col(v), F.lit(False)) if isinstance(v, str) else F.lit(bool(v))
+
+
 def apply_translations(
-    entries: DataFrame, results: DataFrame, include_fuzzy: bool = False, add_fuzzy_flag: bool = False
+    entries: DataFrame, results: DataFrame, include_fuzzy: bool | str = False, add_fuzzy_flag: bool | str = False
 ) -> DataFrame:
-    """Entries with results merged and annotated; adds ``translated_now``."""
+    """Entries with results merged and annotated; adds ``translated_now``.
+
+    ``include_fuzzy`` / ``add_fuzzy_flag`` are job-wide booleans or names of
+    boolean columns of ``entries`` (per-catalog options).
+    """
     r = latest_results(results.withColumn("msgctxt", F.coalesce(F.col("msgctxt"), F.lit(""))))
     j = entries.join(r, on=KEY, how="left")
     hit = F.col("new_msgstr").isNotNull()
     flag = F.col("flag")
-    if include_fuzzy:
-        flag = F.when(hit, clear_fuzzy(flag)).otherwise(flag)
+    flag = F.when(hit & _option(include_fuzzy), clear_fuzzy(flag)).otherwise(flag)
     translator = F.when(hit, mark_machine_translated(F.col("translator"))).otherwise(F.col("translator"))
-    if add_fuzzy_flag:
-        flag = F.when(hit, add_fuzzy(flag)).otherwise(flag)
+    flag = F.when(hit & _option(add_fuzzy_flag), add_fuzzy(flag)).otherwise(flag)
     return (
         j.withColumn("msgstr", F.coalesce(F.col("new_msgstr"), F.col("msgstr")))
         .withColumn("flag", flag)

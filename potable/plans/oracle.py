@@ -80,8 +80,12 @@ st as (select *, {untrans('msgstr')} as untranslated, {fuzzy('flag')} as fuzzy f
 """
 
 
-def worklist_cte(include_fuzzy: bool) -> str:
-    cond = "untranslated or fuzzy" if include_fuzzy else "untranslated"
+def worklist_cte(include_fuzzy: bool | str) -> str:
+    """``include_fuzzy``: job-wide flag, or a SQL condition (per-catalog options)."""
+    if isinstance(include_fuzzy, str):
+        cond = include_fuzzy
+    else:
+        cond = "untranslated or fuzzy" if include_fuzzy else "untranslated"
     return f"""
 w as (
   select *,
@@ -92,7 +96,7 @@ w as (
 )"""
 
 
-def numbered_cte(include_fuzzy: bool = False) -> str:
+def numbered_cte(include_fuzzy: bool | str = False) -> str:
     return (
         worklist_cte(include_fuzzy)
         + """,

@@ -279,6 +279,26 @@ def model(*extra: str) -> str:
     return with_entries(CATALOGS.strip(), numbered_cte().strip(), REQUESTS.strip(), *extra)
 
 
+_PER_CATALOG_WORK = (
+    "(untranslated or (fuzzy and catalog_id in (select catalog_id from opt where include_fuzzy))) "
+    f"and catalog_id in (select catalog_id from opt where lower({jtrim('source_lang')}) in (select code from langdim))"
+)
+
+
+def _clear(x: str) -> str:
+    rest = f"array_to_string(list_filter(list_transform(string_split({x}, ','), lambda t: {jtrim('t')}), lambda t: lower(t) <> 'fuzzy'), ', ')"
+    return f"(case when {x} is null or length({x}) = 0 then {x} when {rest} = '' then NULL else {rest} end)"
+
+
+def _add(x: str) -> str:
+    tokens = f"list_filter(list_transform(string_split({x}, ','), lambda t: {jtrim('t')}), lambda t: t <> '')"
+    return (
+        f"(case when {x} is null or length({x}) = 0 then 'fuzzy' "
+        f"when len(list_filter({tokens}, lambda t: lower(t) = 'fuzzy')) > 0 then {x} "
+        f"else array_to_string(list_append({tokens}, 'fuzzy'), ', ') end)"
+    )
+
+
 def cats(*extra: str) -> str:
     return with_entries(CATALOGS.strip(), *extra)
 
@@ -491,3 +511,14 @@ oracle(
 select catalog_id, seq, case when flag is null or length(flag) = 0 then flag when rest = '' then NULL else rest end as flag
 from tk""".replace("\n, tk as", ", tk as", 1),
 )
+
+oracle(
+    "translate_catalog_options",
+    with_entries(CATALOGS.strip(), _overrides().strip(), numbered_cte(_PER_CATALOG_WORK).strip(), REQUESTS.strip())
+    + f"""
+, m1 as (select mg.*, o.include_fuzzy as o_inc, o.add_fuzzy as o_add from mg left join opt o using (catalog_id)),
+m2 as (select *, case when translated_now and o_inc then {_clear('flag')} else flag end as flag1 from m1),
+m3 as (select *, case when translated_now and o_add then {_add('flag1')} else flag1 end as flag2 from m2)
+select catalog_id, seq, array_to_string(new_msgstr, chr(31)) as msgstr_text, flag2 as flag, new_translator as translator
+from m3""".replace("\n, m1 as", ", m1 as", 1),
+)

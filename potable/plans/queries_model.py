@@ -18,7 +18,7 @@ from potable.operators.request import system_message
 from potable.plans.catalog import catalogs, entries, msgstr_text
 from potable.plans.options import catalog_overrides, resolve_options
 from potable.plans.queries import query
-from potable.plans.translate import full_attempt_matrix, parsed_attempt_matrix, translate
+from potable.plans.translate import Options, full_attempt_matrix, parsed_attempt_matrix, translate
 
 # ------------------------------------------------------------------------- language
 
@@ -287,3 +287,12 @@ def q_add_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
 def q_clear_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     e = entries(spark, sf)
     return e.select("catalog_id", "seq", merge.clear_fuzzy(F.col("flag")).alias("flag"))
+
+
+@query("translate_catalog_options")
+def q_translate_catalog_options(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole job with per-catalog options (explicit beats config): work-list with
+    each catalog's include_fuzzy, invalid source languages rejected, flags
+    cleared/added per catalog in the merge."""
+    m = translate(spark, sf, Options(per_catalog=True))["merged"]
+    return m.select("catalog_id", "seq", msgstr_text().alias("msgstr_text"), "flag", "translator")

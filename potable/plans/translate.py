@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from potable.operators import attempts as att
 from potable.operators import batching, merge, validate
 from potable.operators import select as sel
-from potable.operators.locale import lookup_plural_samples
+from potable.operators.locale import lookup_plural_samples, valid_source_languages
 from potable.operators.numbering import materialize
 from potable.operators.request import with_payload
 from potable.plans.catalog import _key, catalogs, entries
@@ -35,6 +35,22 @@ class Options:
     source_language: str | None = None
     context: str | None = None
     model: str | None = None
+    per_catalog: bool = False  # take every option from resolve_options (explicit > config)
+
+
+def catalog_options(spark: SparkSession, sf: str) -> DataFrame:
+    """Resolved per-catalog options (explicit overrides beat the job config)."""
+    from potable.plans.options import catalog_overrides, resolve_options
+
+    return resolve_options(catalog_overrides(spark, sf))
+
+
+def _entries_for(spark: SparkSession, sf: str, opts: Options) -> DataFrame:
+    e = entries(spark, sf)
+    if not opts.per_catalog:
+        return e
+    o = catalog_options(spark, sf).select("catalog_id", "include_fuzzy", "add_fuzzy")
+    return e.join(o, on="catalog_id", how="left")
 
 
 def requests_table(spark: SparkSession, sf: str, opts: Options = Options()) -> DataFrame:
@@ -42,8 +58,21 @@ def requests_table(spark: SparkSession, sf: str, opts: Options = Options()) -> D
     cats = lookup_plural_samples(catalogs(spark, sf)).select(
         "catalog_id", "target_language", "formula", "locale", "samples"
     )
-    work = sel.worklist(entries(spark, sf), include_fuzzy=opts.include_fuzzy)
+    inc: bool | str = "include_fuzzy" if opts.per_catalog else opts.include_fuzzy
+    work = sel.worklist(_entries_for(spark, sf, opts), include_fuzzy=inc)
+    if opts.per_catalog:
+        # a catalog whose source language is not a known code is rejected before
+        # any request is built (reported by invalid_source_languages)
+        ok = valid_source_languages(catalog_options(spark, sf), "source_lang").select("catalog_id")
+        work = work.join(ok, on="catalog_id", how="left_semi")
     reqs = batching.batch_requests(batching.number_batches(work)).join(cats, on="catalog_id", how="inner")
+    if opts.per_catalog:
+        o = catalog_options(spark, sf).select("catalog_id", "source_lang", "context", "model")
+        reqs = reqs.join(o, on="catalog_id", how="left")
+        return with_payload(
+            reqs, source_language=F.col("source_lang"), context=F.col("context"),
+            model=F.coalesce(F.col("model"), F.lit(opts.model or "gpt-5.4")),
+        ).drop("source_lang", "context")
     src = F.lit(opts.source_language) if opts.source_language is not None else None
     ctx = F.lit(opts.context) if opts.context is not None else None
     return with_payload(reqs, source_language=src, context=ctx, model=opts.model)
@@ -116,9 +145,14 @@ def translate(spark: SparkSession, sf: str, opts: Options = Options(), provider:
         outcomes, results = committed_results(reqs, log)
         outcomes = materialize(outcomes, "outcomes")
         results = materialize(results, "results")
-        merged = merge.apply_translations(
-            entries(spark, sf), results, include_fuzzy=opts.include_fuzzy, add_fuzzy_flag=opts.add_fuzzy
-        )
+        if opts.per_catalog:
+            merged = merge.apply_translations(
+                _entries_for(spark, sf, opts), results, include_fuzzy="include_fuzzy", add_fuzzy_flag="add_fuzzy"
+            ).drop("include_fuzzy", "add_fuzzy")
+        else:
+            merged = merge.apply_translations(
+                entries(spark, sf), results, include_fuzzy=opts.include_fuzzy, add_fuzzy_flag=opts.add_fuzzy
+            )
         _RUNS[k] = {
             "requests": reqs,
             "attempts": log,
