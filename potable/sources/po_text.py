@@ -164,17 +164,19 @@ def assemble_entries(lines: DataFrame) -> DataFrame:
     )
 
 
-def obsolete_blocks(files: DataFrame) -> DataFrame:
-    """``#~`` lines per file, kept as opaque text for the sink."""
+def obsolete_lines(files: DataFrame) -> DataFrame:
+    """``#~`` lines as rows (catalog_id, path, line_no, line): opaque text the
+    sink carries to the end of the catalog. One row per line, never gathered."""
     lines = files.select("path", F.posexplode(F.split(F.col("text"), "\r?\n")).alias("line_no", "line"))
-    return (
-        lines.where(js_trim(F.col("line")).startswith("#~"))
-        .groupBy("path")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("obsolete"))
-        .select(catalog_id_of(F.col("path")).alias("catalog_id"), "obsolete")
+    return lines.where(F.regexp_replace("line", "^[ \\t]+", "").startswith("#~")).select(
+        catalog_id_of(F.col("path")).alias("catalog_id"), "path", F.col("line_no").cast("bigint").alias("line_no"), "line"
     )
 
 
+def po_scan_obsolete(spark: SparkSession, path: str) -> DataFrame:
+    return obsolete_lines(read_po_files(spark, path))
+
+
 def file_order(entries: DataFrame) -> DataFrame:
     """``seq`` = position of the entry in its catalog: a catalog may be written
     as several ordered part files, so order by (file path, entry number) with

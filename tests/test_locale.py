@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from potable.operators.locale import parse_headers, plural_sample_dim, samples_text, with_language_fields
 
 

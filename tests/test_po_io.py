@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from potable.sinks.po_compile import catalog_blocks, fold_chunks, write_catalogs
-from potable.sources.po_text import po_scan
+from potable.sources.po_text import po_scan, po_scan_obsolete
 
 PO = r'''msgid ""
 msgstr ""
@@ -54,10 +54,12 @@ def test_compile_round_trip(spark, tmp_path):
     (d / "uk.po").write_text(PO, encoding="utf-8")
     ents, cats = po_scan(spark, str(d))
     out = tmp_path / "out"
-    write_catalogs(catalog_blocks(ents, cats), str(out))
+    write_catalogs(catalog_blocks(ents, cats, obsolete=po_scan_obsolete(spark, str(d))), str(out))
     text = _read_all(out / "catalog_id=uk")
     assert "charset=utf-8" in text and text.startswith('msgid ""\nmsgstr ""\n"Language: uk\\n"')
-    assert "#~" not in text and "\n\nmsgctxt \"auth\"" not in text  # comments come before msgctxt
+    assert "\n\nmsgctxt \"auth\"" not in text  # comments come before msgctxt
+    # obsolete entries are never parsed but carried through, last, as written
+    assert text.rstrip("\n").endswith('#~ msgid "Old"\n#~ msgstr "Старе"')
     again, _ = _scan(spark, out)
     first, _ = _scan(spark, d)
     # the header differs only by the charset, which the sink writes in lower case
