@@ -12,7 +12,7 @@ from potable.functions.text import PLACEHOLDER_PATTERN
 from potable.operators.locale import LANGUAGES, PLURAL_RULES, SAMPLE_SEARCH_MAX
 from potable.operators.request import BASE_SYSTEM_MESSAGE, DEFAULT_MODEL, PROJECT_SECTION_HEADER
 from potable.plans.options import JOB_CONFIG
-from potable.plans.oracle import blank, jtrim, marker, numbered_cte, oracle, with_entries
+from potable.plans.oracle import blank, jtrim, marker, numbered_cte, oracle, untrans, with_entries
 from potable.providers.pseudo import API_ERRORS, N_MODES
 
 
@@ -522,3 +522,33 @@ m3 as (select *, case when translated_now and o_add then {_add('flag1')} else fl
 select catalog_id, seq, array_to_string(new_msgstr, chr(31)) as msgstr_text, flag2 as flag, new_translator as translator
 from m3""".replace("\n, m1 as", ", m1 as", 1),
 )
+
+oracle(
+    "api_error_summary",
+    model()
+    + """
+select case
+  when status = 401 then 'invalid_api_key' when status = 403 then 'region_unsupported'
+  when status = 429 then (case when coalesce(code, '') = 'insufficient_quota' or regexp_matches(coalesce(message, ''), '(?i)quota')
+    then 'quota_exceeded' else 'rate_limited' end)
+  when status = 400 then (case when regexp_matches(coalesce(message, ''), '(?i)response_format|json_schema|structured')
+    then 'schema_unsupported' else 'invalid_request' end)
+  when status = 500 then 'server_error' when status = 503 then 'overloaded' else 'generic' end as category,
+  count(*) as n_attempts
+from lg where status <> 200 group by 1""",
+)
+
+oracle(
+    "flagship",
+    model()
+    + f"""
+, bef as (select catalog_id, count(*) as n_entries, count_if(untranslated) as untranslated_before,
+    count_if({marker('translator')}) as machine_before from st group by catalog_id),
+aft as (select catalog_id, count_if({untrans('new_msgstr')}) as untranslated_after,
+    count_if({marker('new_translator')}) as machine_after from mg where msgid <> '' group by catalog_id),
+bat as (select catalog_id, count(*) as n_batches, count_if(committed) as n_committed,
+    count_if(outcome = 'failed') as n_failed from com group by catalog_id)
+select b.catalog_id, b.n_entries, b.untranslated_before, a.untranslated_after, b.machine_before, a.machine_after,
+  coalesce(t.n_batches, 0) as n_batches, coalesce(t.n_committed, 0) as n_committed, coalesce(t.n_failed, 0) as n_failed
+from bef b join aft a using (catalog_id) left join bat t using (catalog_id)""".replace("\n, bef as", ", bef as", 1),
+)

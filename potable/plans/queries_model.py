@@ -296,3 +296,17 @@ def q_translate_catalog_options(spark: SparkSession, sf: str) -> DataFrame:
     cleared/added per catalog in the merge."""
     m = translate(spark, sf, Options(per_catalog=True))["merged"]
     return m.select("catalog_id", "seq", msgstr_text().alias("msgstr_text"), "flag", "translator")
+
+
+@query("api_error_summary")
+def q_api_error_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Failed calls of the run per error category (what the CLI would report)."""
+    log = translate(spark, sf)["attempts"].where(F.col("status") != 200)
+    return log.groupBy(att.classify_api_error().alias("category")).agg(F.count(F.lit(1)).alias("n_attempts"))
+
+
+@query("flagship")
+def q_flagship(spark: SparkSession, sf: str) -> DataFrame:
+    from potable.plans.flagship import flagship
+
+    return flagship(spark, sf)
