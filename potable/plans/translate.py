@@ -65,6 +65,8 @@ def requests_table(spark: SparkSession, sf: str, opts: Options = Options()) -> D
         # any request is built (reported by invalid_source_languages)
         ok = valid_source_languages(catalog_options(spark, sf), "source_lang").select("catalog_id")
         work = work.join(ok, on="catalog_id", how="left_semi")
+    # number only what a request item needs
+    work = work.select("catalog_id", "seq", "msgctxt", "msgid", "msgid_plural")
     reqs = batching.batch_requests(batching.number_batches(work)).join(cats, on="catalog_id", how="inner")
     if opts.per_catalog:
         o = catalog_options(spark, sf).select("catalog_id", "source_lang", "context", "model")

@@ -30,10 +30,14 @@ def _arr(*items: Column) -> Column:
 
 def raw_entries(lines: DataFrame) -> DataFrame:
     """Lines -> entries before key de-duplication (``f`` in FIXTURES.md)."""
-    u = (
-        lines.withColumn("catalog_id", F.concat_ws(".", "source", "lang"))
-        .withColumn("h", F.col("doc_id") * 31 + F.col("line_no") * 7)
-        .withColumn("base", F.substring("line", 1, 80))
+    # only the first 80 characters of a line are used: keep just those
+    u = lines.select(
+        F.concat_ws(".", "source", "lang").alias("catalog_id"),
+        "lang",
+        "doc_id",
+        "line_no",
+        (F.col("doc_id") * 31 + F.col("line_no") * 7).alias("h"),
+        F.substring("line", 1, 80).alias("base"),
     )
     e = dense_ordinal(u, ["catalog_id"], ["doc_id", "line_no"], "seq")
     h = F.col("h")

@@ -98,3 +98,16 @@ def test_fold(spark, tmp_path):
     folded = " ".join(r["text"] for r in catalog_blocks(ents, cats, fold_length=76).collect())
     assert 'msgid ""\n"A long string that should be wrapped when compilePo receives an explicit "' in folded
     assert fold_chunks("a\\nb", 76) == ["a\\n", "b"]
+
+
+def test_repeated_flag_lines_are_newline_joined(spark, tmp_path):
+    # T6: '#, a' twice reaches the entry newline-joined, so 'fuzzy' on a second
+    # line is not seen by the comma split
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "x.po").write_text('#, c-format\n#, fuzzy\nmsgid "A"\nmsgstr "B"\n', encoding="utf-8")
+    from potable.functions.text import is_fuzzy
+
+    ents, _ = po_scan(spark, str(d))
+    row = ents.select("flag", is_fuzzy("flag").alias("z")).first()
+    assert row["flag"] == "c-format\nfuzzy" and row["z"] is False

@@ -104,3 +104,16 @@ def test_align_and_coerce(spark, validated):
     )
     rows = align_response(validate(df)).orderBy("pos").collect()
     assert [(r["msgid"], r["msgctxt"], r["msgstr"]) for r in rows] == [("a", "", ["A"]), ("p", "c", ["x", "y"])]
+
+
+def test_plural_identity_is_positional(spark):
+    # T8: two plurals with the same msgid_plural produce identical request items;
+    # only the position tells which entry each answer belongs to
+    items = [(0, 1, "", None, "items", "one item"), (1, 2, "", None, "items", "an item")]
+    reply = T({"msgid_plural": "items", "msgstr": ["a", "b"]}, {"msgid_plural": "items", "msgstr": ["c", "d"]})
+    df = spark.createDataFrame(
+        [("cat", 0, items, 2, None, 200, reply)],
+        f"catalog_id string, batch_no long, items {ITEMS}, n_items int, samples {SAMPLES}, status int, content string",
+    )
+    rows = align_response(validate(df)).orderBy("pos").collect()
+    assert [(r["msgid"], r["msgstr"]) for r in rows] == [("one item", ["a", "b"]), ("an item", ["c", "d"])]
