@@ -55,12 +55,16 @@ CATEGORY_ADVICE = {
 }
 
 
-def advice(category: Column | str = "category", message: Column | str = "message") -> Column:
+def advice(category: Column | str = "category", message: Column | str | None = "message") -> Column:
+    """User-facing text per category; the two 400 classes append the provider
+    message when one is given. ``generic`` has no advice (null)."""
     cat = F.col(category) if isinstance(category, str) else category
-    msg = F.coalesce(F.col(message) if isinstance(message, str) else message, F.lit(""))
     out = F.lit(None).cast("string")
     for k, v in CATEGORY_ADVICE.items():
-        text = F.concat(F.lit(v + " Provider message: "), msg) if k in ("schema_unsupported", "invalid_request") else F.lit(v)
+        text = F.lit(v)
+        if message is not None and k in ("schema_unsupported", "invalid_request"):
+            msg = F.coalesce(F.col(message) if isinstance(message, str) else message, F.lit(""))
+            text = F.concat(F.lit(v + " Provider message: "), msg)
         out = F.when(cat == k, text).otherwise(out)
     return out
 

@@ -11,8 +11,9 @@ from potable.functions.text import JS_WS_CLASS_RE2 as WS
 from potable.functions.text import PLACEHOLDER_PATTERN
 from potable.operators.locale import LANGUAGES, PLURAL_RULES, SAMPLE_SEARCH_MAX
 from potable.operators.request import BASE_SYSTEM_MESSAGE, DEFAULT_MODEL, PROJECT_SECTION_HEADER
+from potable.operators.attempts import CATEGORY_ADVICE
 from potable.plans.options import JOB_CONFIG
-from potable.plans.oracle import blank, jtrim, marker, numbered_cte, oracle, untrans, with_entries
+from potable.plans.oracle import ORACLE, blank, jtrim, marker, numbered_cte, oracle, untrans, with_entries
 from potable.providers.pseudo import API_ERRORS, N_MODES
 
 
@@ -537,6 +538,13 @@ select case
   count(*) as n_attempts
 from lg where status <> 200 group by 1""",
 )
+ORACLE["api_error_summary"] = (
+    "select category, n_attempts, case category "
+    + " ".join(f"when {_q(k)} then {_q(v)}" for k, v in CATEGORY_ADVICE.items())
+    + " end as advice from ("
+    + ORACLE["api_error_summary"]
+    + ") s"
+)
 
 oracle(
     "flagship",

@@ -302,7 +302,8 @@ def q_translate_catalog_options(spark: SparkSession, sf: str) -> DataFrame:
 def q_api_error_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Failed calls of the run per error category (what the CLI would report)."""
     log = translate(spark, sf)["attempts"].where(F.col("status") != 200)
-    return log.groupBy(att.classify_api_error().alias("category")).agg(F.count(F.lit(1)).alias("n_attempts"))
+    per = log.groupBy(att.classify_api_error().alias("category")).agg(F.count(F.lit(1)).alias("n_attempts"))
+    return per.withColumn("advice", att.advice("category", None))
 
 
 @query("flagship")

@@ -98,6 +98,11 @@ def test_fold(spark, tmp_path):
     folded = " ".join(r["text"] for r in catalog_blocks(ents, cats, fold_length=76).collect())
     assert 'msgid ""\n"A long string that should be wrapped when compilePo receives an explicit "' in folded
     assert fold_chunks("a\\nb", 76) == ["a\\n", "b"]
+    plural = spark.createDataFrame([("c", 1, "", "one", "many", [long, "x"], None, None)],
+                                   "catalog_id string, seq long, msgctxt string, msgid string, msgid_plural string, msgstr array<string>, flag string, translator string")
+    ptext = " ".join(r["text"] for r in catalog_blocks(plural, cats, fold_length=76).collect())
+    assert 'msgstr[0] ""\n"A long string that should be wrapped when compilePo receives an explicit "' in ptext
+    assert 'msgstr[1] "x"' in ptext
 
 
 def test_repeated_flag_lines_are_newline_joined(spark, tmp_path):
