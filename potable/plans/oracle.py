@@ -228,8 +228,8 @@ oracle(
     "catalog_coverage",
     with_entries()
     + f"""
-select catalog_id, count(*) as n_entries, count_if(untranslated) as n_untranslated, count_if(fuzzy) as n_fuzzy,
-  count_if(untranslated) as n_selected, count_if({marker('translator')}) as n_machine,
-  count_if(msgid_plural is not null) as n_plural
+select catalog_id, count(*) as n_entries, cast(count_if(untranslated) as bigint) as n_untranslated,
+  cast(count_if(fuzzy) as bigint) as n_fuzzy, cast(count_if(untranslated) as bigint) as n_selected,
+  cast(count_if({marker('translator')}) as bigint) as n_machine, cast(count_if(msgid_plural is not null) as bigint) as n_plural
 from st group by catalog_id""",
 )

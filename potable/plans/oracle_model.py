@@ -556,7 +556,9 @@ aft as (select catalog_id, count_if({untrans('new_msgstr')}) as untranslated_aft
     count_if({marker('new_translator')}) as machine_after from mg where msgid <> '' group by catalog_id),
 bat as (select catalog_id, count(*) as n_batches, count_if(committed) as n_committed,
     count_if(outcome = 'failed') as n_failed from com group by catalog_id)
-select b.catalog_id, b.n_entries, b.untranslated_before, a.untranslated_after, b.machine_before, a.machine_after,
-  coalesce(t.n_batches, 0) as n_batches, coalesce(t.n_committed, 0) as n_committed, coalesce(t.n_failed, 0) as n_failed
+select b.catalog_id, b.n_entries, cast(b.untranslated_before as bigint) as untranslated_before,
+  cast(a.untranslated_after as bigint) as untranslated_after, cast(b.machine_before as bigint) as machine_before,
+  cast(a.machine_after as bigint) as machine_after, cast(coalesce(t.n_batches, 0) as bigint) as n_batches,
+  cast(coalesce(t.n_committed, 0) as bigint) as n_committed, cast(coalesce(t.n_failed, 0) as bigint) as n_failed
 from bef b join aft a using (catalog_id) left join bat t using (catalog_id)""".replace("\n, bef as", ", bef as", 1),
 )

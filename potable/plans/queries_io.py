@@ -88,7 +88,7 @@ def q_response_log_scan(spark: SparkSession, sf: str) -> DataFrame:
         _MEMO[k] = out  # type: ignore[assignment]
     log = response_log_scan(spark, _MEMO[k])  # type: ignore[arg-type]
     return log.select(
-        "catalog_id", "batch_no", "attempt", F.col("status").cast("bigint").alias("status"),
+        "catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), F.col("status").cast("bigint").alias("status"),
         F.col("content").isNotNull().alias("has_content"),
     )
 

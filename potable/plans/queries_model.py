@@ -132,7 +132,7 @@ def q_request_params(spark: SparkSession, sf: str) -> DataFrame:
 @query("strip_json_fences")
 def q_strip_json_fences(spark: SparkSession, sf: str) -> DataFrame:
     m = full_attempt_matrix(spark, sf).where(F.col("content").isNotNull())
-    return m.select("catalog_id", "batch_no", "attempt", validate.strip_json_fences("content").alias("stripped"))
+    return m.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), validate.strip_json_fences("content").alias("stripped"))
 
 
 @query("validate_responses")
@@ -141,7 +141,7 @@ def q_validate_responses(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(
         "catalog_id",
         "batch_no",
-        "attempt",
+        F.col("attempt").cast("bigint").alias("attempt"),
         "error_code",
         F.coalesce(F.col("error_pos"), F.lit(-1)).cast("bigint").alias("error_pos"),
         "retryable",
@@ -151,10 +151,10 @@ def q_validate_responses(spark: SparkSession, sf: str) -> DataFrame:
 @query("normalize_msgctxt")
 def q_normalize_msgctxt(spark: SparkSession, sf: str) -> DataFrame:
     m = parsed_attempt_matrix(spark, sf).where(F.col("parsed").isNotNull())
-    return m.select("catalog_id", "batch_no", "attempt", F.posexplode("parsed").alias("pos", "x")).select(
+    return m.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), F.posexplode("parsed").alias("pos", "x")).select(
         "catalog_id",
         "batch_no",
-        "attempt",
+        F.col("attempt").cast("bigint").alias("attempt"),
         F.col("pos").cast("bigint").alias("pos"),
         validate.normalize_msgctxt(F.variant_get("x", "$.msgctxt", "variant")).alias("msgctxt_norm"),
     )
@@ -166,7 +166,7 @@ def q_coerce_result(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(
         "catalog_id",
         "batch_no",
-        "attempt",
+        F.col("attempt").cast("bigint").alias("attempt"),
         F.col("pos").cast("bigint").alias("pos"),
         msgstr_text().alias("msgstr_text"),
         F.size("msgstr").cast("bigint").alias("n_forms"),
@@ -176,14 +176,14 @@ def q_coerce_result(spark: SparkSession, sf: str) -> DataFrame:
 @query("classify_api_error")
 def q_classify_api_error(spark: SparkSession, sf: str) -> DataFrame:
     m = full_attempt_matrix(spark, sf).where(F.col("status") != 200)
-    return m.select("catalog_id", "batch_no", "attempt", F.col("status").cast("bigint").alias("status"),
+    return m.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), F.col("status").cast("bigint").alias("status"),
                     att.classify_api_error().alias("category"))
 
 
 @query("is_retryable")
 def q_is_retryable(spark: SparkSession, sf: str) -> DataFrame:
     m = full_attempt_matrix(spark, sf)
-    return m.select("catalog_id", "batch_no", "attempt", att.is_retryable("status", "error_code").alias("retryable"))
+    return m.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), att.is_retryable("status", "error_code").alias("retryable"))
 
 
 # ------------------------------------------------------------------- the actual run
@@ -192,7 +192,7 @@ def q_is_retryable(spark: SparkSession, sf: str) -> DataFrame:
 @query("retry_rounds")
 def q_retry_rounds(spark: SparkSession, sf: str) -> DataFrame:
     log = translate(spark, sf)["attempts"]
-    return log.select("catalog_id", "batch_no", "attempt", F.col("status").cast("bigint").alias("status"))
+    return log.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), F.col("status").cast("bigint").alias("status"))
 
 
 @query("translate_batches")
@@ -208,7 +208,7 @@ def q_translate_batches(spark: SparkSession, sf: str) -> DataFrame:
 def q_backoff_ms(spark: SparkSession, sf: str) -> DataFrame:
     """Wait applied before each retry that was actually sent."""
     log = translate(spark, sf)["attempts"].where(F.col("attempt") > 1)
-    return log.select("catalog_id", "batch_no", "attempt", att.backoff_ms(F.col("attempt") - 1).cast("bigint").alias("backoff_ms"))
+    return log.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), att.backoff_ms(F.col("attempt") - 1).cast("bigint").alias("backoff_ms"))
 
 
 @query("resolve_attempts")
