@@ -33,19 +33,31 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "potabl
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and durable run tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names. Only when the
-    setting is unset (local tests) a new scratch folder is made and registered.
+    On a cluster this is whatever ``spark.checkpoint.dir`` names (read from the
+    session; it is a core setting and cannot be changed at run time). Only when
+    it is absent (local tests) the SparkContext's checkpoint folder is used, or
+    a new scratch folder is made and registered with ``setCheckpointDir``.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="potable-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
+        return configured
+    app = sc.applicationId
+    if app not in _LOCAL_DIRS:
+        current = sc.getCheckpointDir()
+        if not current:
+            current = tempfile.mkdtemp(prefix="potable-ckpt-")
+            sc.setCheckpointDir(current)
+        _LOCAL_DIRS[app] = current
+    return _LOCAL_DIRS[app]
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
