@@ -94,6 +94,83 @@ def classify_lines(files: DataFrame) -> DataFrame:
     return sig.withColumn("piece", piece).withColumn("ctype", ctype).withColumn("ctext", ctext).withColumn("ttext", ttext)
 
 
+CHUNK_LINES = 100_000
+
+
+def read_po_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line_no, line — files read in splits, so one large file is spread
+    over many tasks. A line's place in its file is (split start, position in
+    the split); the skew-proof ordinal turns that into a line number per file."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__mid"),
+        F.col("value").alias("line"),
+    )
+    numbered = dense_ordinal(raw, ["path"], ["__block", "__mid"], "line_no")
+    return numbered.select("path", (F.col("line_no") - 1).alias("line_no"), "line")
+
+
+def _rank_of(kw: Column) -> Column:
+    section = F.when(kw.startswith("msgstr"), F.lit("msgstr")).otherwise(kw)
+    return F.coalesce(*[F.when(section == k, F.lit(v)) for k, v in _RANK.items()])
+
+
+def classify_line_rows(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Same output as ``classify_lines`` from numbered line rows, with every
+    window bounded: windows run per chunk of ``chunk_lines`` consecutive lines,
+    and what a chunk inherits (the last keyword, the entries started before it)
+    comes from a small per-chunk table."""
+    ld = F.regexp_replace("line", "^[ \\t]+", "")
+    x = lines.withColumn("lead", ld).withColumn("__chunk", F.floor(F.col("line_no") / chunk_lines).cast("bigint"))
+    lead = F.col("lead")
+    kind = (
+        F.when(lead.startswith("#~"), F.lit("obsolete"))
+        .when(lead.startswith("#"), F.lit("comment"))
+        .when(lead.startswith("msg") & lead.rlike(_KW), F.lit("keyword"))
+        .when(lead.startswith('"'), F.lit("cont"))
+        .otherwise(F.lit("other"))
+    )
+    sig = x.withColumn("kind", kind).where(F.col("kind").isin("comment", "keyword", "cont"))
+    sig = sig.withColumn(
+        "kw_here",
+        F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 1)).when(F.col("kind") == "comment", F.lit("comment")),
+    )
+    # carry-in keyword per chunk: last keyword of all earlier chunks
+    per_chunk = sig.groupBy("path", "__chunk").agg(
+        F.max_by(F.col("kw_here"), F.when(F.col("kw_here").isNotNull(), F.col("line_no"))).alias("__last_kw")
+    )
+    earlier = Window.partitionBy("path").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.select("path", "__chunk", F.last("__last_kw", ignorenulls=True).over(earlier).alias("__carry_kw"))
+    w = Window.partitionBy("path", "__chunk").orderBy("line_no")
+    sig = sig.join(carry, on=["path", "__chunk"], how="inner")
+    sig = sig.withColumn(
+        "kw",
+        F.coalesce(F.last("kw_here", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("__carry_kw")),
+    ).withColumn("rank", _rank_of(F.col("kw")))
+    prev = F.coalesce(F.lag("rank").over(w), _rank_of(F.col("__carry_kw")))
+    sig = sig.withColumn("__start", F.when(prev.isNull() | (F.col("rank") < prev), 1).otherwise(0))
+    # entries started in earlier chunks
+    starts = sig.groupBy("path", "__chunk").agg(F.sum("__start").alias("__n"))
+    before = starts.select(
+        "path", "__chunk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
+    )
+    sig = sig.join(before, on=["path", "__chunk"], how="inner").withColumn(
+        "entry_no", F.col("__before") + F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    piece = F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 2)).when(
+        F.col("kind") == "cont", F.regexp_extract("lead", _CONT, 1)
+    )
+    is_c = F.col("kind") == "comment"
+    return (
+        sig.withColumn("piece", piece)
+        .withColumn("ctype", F.when(is_c, F.substring("lead", 1, 2)))
+        .withColumn("ctext", F.when(is_c, js_trim(F.expr("substr(lead, 3)"))))
+        .withColumn("ttext", F.when(is_c, js_trim(F.expr("substr(lead, 2)"))))
+        .drop("__chunk", "__carry_kw", "__start", "__before", "kw_here")
+    )
+
+
 def _joined(cond: Column, value: Column, sep: str) -> Column:
     parts = F.array_sort(F.collect_list(F.when(cond, F.struct("line_no", value.alias("v")))))
     return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda p: p["v"]), sep))
@@ -174,7 +251,11 @@ def obsolete_lines(files: DataFrame) -> DataFrame:
 
 
 def po_scan_obsolete(spark: SparkSession, path: str) -> DataFrame:
-    return obsolete_lines(read_po_files(spark, path))
+    """``#~`` lines of every file under ``path`` (split read, numbered per file)."""
+    lines = read_po_lines(spark, path)
+    return lines.where(F.regexp_replace("line", "^[ \\t]+", "").startswith("#~")).select(
+        catalog_id_of(F.col("path")).alias("catalog_id"), "path", "line_no", "line"
+    )
 
 
 def file_order(entries: DataFrame) -> DataFrame:
@@ -190,8 +271,7 @@ def po_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Entries keep the header row (``msgid ''``); catalogs carry the parsed
     header map and language fields.
     """
-    files = read_po_files(spark, path)
-    ents = file_order(assemble_entries(classify_lines(files)))
+    ents = file_order(assemble_entries(classify_line_rows(read_po_lines(spark, path))))
     head = ents.where((F.col("msgctxt") == "") & (F.col("msgid") == "")).select(
         "catalog_id", F.coalesce(F.try_element_at("msgstr", F.lit(1)), F.lit("")).alias("header_text")
     )

@@ -116,3 +116,25 @@ def test_repeated_flag_lines_are_newline_joined(spark, tmp_path):
     ents, _ = po_scan(spark, str(d))
     row = ents.select("flag", is_fuzzy("flag").alias("z")).first()
     assert row["flag"] == "c-format\nfuzzy" and row["z"] is False
+
+
+def test_split_read_matches_whole_file_read_for_any_chunk(spark, tmp_path):
+    from potable.sources.po_text import (
+        assemble_entries, classify_line_rows, classify_lines, read_po_files, read_po_lines,
+    )
+
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "uk.po").write_text(PO, encoding="utf-8")
+    (d / "de.po").write_text('#, c-format\n#, fuzzy\nmsgid "A"\nmsgstr "B"\nmsgid "C"\nmsgstr ""\n"D"\n', encoding="utf-8")
+
+    def key(df):
+        return sorted(
+            (r["catalog_id"], r["entry_no"], r["msgctxt"], r["msgid"], r["msgid_plural"], tuple(r["msgstr"] or []), r["flag"], r["translator"])
+            for r in df.collect()
+        )
+
+    whole = key(assemble_entries(classify_lines(read_po_files(spark, str(d)))))
+    for chunk in (1, 2, 3, 100_000):
+        split = key(assemble_entries(classify_line_rows(read_po_lines(spark, str(d)), chunk_lines=chunk)))
+        assert split == whole, chunk
