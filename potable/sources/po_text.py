@@ -104,10 +104,18 @@ def read_po_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__mid"),
         F.col("value").alias("line"),
     )
-    numbered = dense_ordinal(raw, ["path"], ["__block", "__mid"], "line_no")
+    return number_lines(raw)
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """(path, __block, line) rows straight from a text scan -> path, line_no, line.
+
+    ``monotonically_increasing_id`` is taken before any shuffle, so it follows
+    the order of lines inside each split."""
+    with_pos = raw.withColumn("__mid", F.monotonically_increasing_id())
+    numbered = dense_ordinal(with_pos, ["path"], ["__block", "__mid"], "line_no")
     return numbered.select("path", (F.col("line_no") - 1).alias("line_no"), "line")
 
 

@@ -1,8 +1,9 @@
 """Incremental work-lists over newly arriving catalog files (Structured Streaming).
 
-New PO files in a folder are picked up by a file stream (one row per file,
-``wholetext``); each micro-batch runs the batch scan, selection and batching
-operators inside ``foreachBatch`` and appends its requests to a table. With
+New PO files in a folder are picked up by a file stream (lines read in
+splits, like the batch scan); each micro-batch numbers its lines and runs the
+batch scan, selection and batching operators inside ``foreachBatch``, then
+appends its requests to a table. With
 ``Trigger.AvailableNow`` a run processes everything new and stops; the
 checkpoint remembers which files were seen, so a rerun only takes new ones.
 """
@@ -15,11 +16,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from potable.operators import batching
 from potable.operators import select as sel
-from potable.sources.po_text import assemble_entries, classify_lines, file_order
+from potable.sources.po_text import assemble_entries, classify_line_rows, file_order, number_lines
 
 
-def _requests_of(files: DataFrame, include_fuzzy: bool) -> DataFrame:
-    entries = file_order(assemble_entries(classify_lines(files)))
+def _requests_of(raw_lines: DataFrame, include_fuzzy: bool) -> DataFrame:
+    entries = file_order(assemble_entries(classify_line_rows(number_lines(raw_lines))))
     work = sel.worklist(entries, include_fuzzy=include_fuzzy)
     return batching.batch_requests(batching.number_batches(work))
 
@@ -30,10 +31,13 @@ def incremental_worklist(
     """Process every PO file not seen before under ``in_dir``; append requests to ``out_dir``."""
     stream = (
         spark.readStream.format("text")
-        .option("wholetext", "true")
         .schema(StructType([StructField("value", StringType())]))
         .load(in_dir)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("__block"),
+            F.col("value").alias("line"),
+        )
     )
 
     def each(batch: DataFrame, epoch: int) -> None:
