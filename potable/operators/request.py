@@ -49,17 +49,6 @@ def system_message(context: Column | str | None) -> Column:
 # The response contract (strict JSON schema). Each translated item
 # is singular (msgid + string msgstr) or plural (msgid_plural + string-array
 # msgstr), each with or without msgctxt; nothing else is allowed.
-def _item_schema(id_key: str, with_ctx: bool, plural: bool) -> dict:
-    props: dict = {id_key: {"type": "string"}}
-    required = [id_key]
-    if with_ctx:
-        props["msgctxt"] = {"type": "string"}
-        required.append("msgctxt")
-    props["msgstr"] = {"type": "array", "items": {"type": "string"}} if plural else {"type": "string"}
-    required.append("msgstr")
-    return {"type": "object", "additionalProperties": False, "required": required, "properties": props}
-
-
 RESPONSE_SCHEMA = {
     "name": "translation_payload",
     "strict": True,
@@ -72,10 +61,41 @@ RESPONSE_SCHEMA = {
                 "type": "array",
                 "items": {
                     "anyOf": [
-                        _item_schema("msgid", False, False),
-                        _item_schema("msgid", True, False),
-                        _item_schema("msgid_plural", False, True),
-                        _item_schema("msgid_plural", True, True),
+                        {
+                            "type": "object",
+                            "additionalProperties": False,
+                            "required": ["msgid", "msgstr"],
+                            "properties": {"msgid": {"type": "string"}, "msgstr": {"type": "string"}},
+                        },
+                        {
+                            "type": "object",
+                            "additionalProperties": False,
+                            "required": ["msgid", "msgctxt", "msgstr"],
+                            "properties": {
+                                "msgid": {"type": "string"},
+                                "msgctxt": {"type": "string"},
+                                "msgstr": {"type": "string"},
+                            },
+                        },
+                        {
+                            "type": "object",
+                            "additionalProperties": False,
+                            "required": ["msgid_plural", "msgstr"],
+                            "properties": {
+                                "msgid_plural": {"type": "string"},
+                                "msgstr": {"type": "array", "items": {"type": "string"}},
+                            },
+                        },
+                        {
+                            "type": "object",
+                            "additionalProperties": False,
+                            "required": ["msgid_plural", "msgctxt", "msgstr"],
+                            "properties": {
+                                "msgid_plural": {"type": "string"},
+                                "msgctxt": {"type": "string"},
+                                "msgstr": {"type": "array", "items": {"type": "string"}},
+                            },
+                        },
                     ]
                 },
             }
