@@ -6,6 +6,7 @@ batch scan, selection and batching operators inside ``foreachBatch``, then
 appends its requests to a table. With
 ``Trigger.AvailableNow`` a run processes everything new and stops; the
 checkpoint remembers which files were seen, so a rerun only takes new ones.
+Each micro-batch writes its own ``epoch=N`` folder, so a replay is idempotent.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ def incremental_worklist(
     )
 
     def each(batch: DataFrame, epoch: int) -> None:
-        reqs = _requests_of(batch, include_fuzzy).withColumn("epoch", F.lit(epoch).cast("bigint"))
-        reqs.write.mode("append").parquet(out_dir)
+        # one folder per micro-batch, overwritten as a whole: a replayed epoch
+        # (after a failure) replaces its own output instead of appending twice
+        reqs = _requests_of(batch, include_fuzzy)
+        reqs.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/epoch={epoch}")
 
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -30,3 +30,16 @@ def test_incremental_runs_take_only_new_files(spark, tmp_path):
     incremental_worklist(spark, str(src), str(out), str(ckpt))
     rows = sorted((r["catalog_id"], r["n_items"]) for r in spark.read.parquet(str(out)).collect())
     assert rows == [("de", 2), ("uk", 2)]
+
+
+def test_replayed_epoch_is_idempotent(spark, tmp_path):
+    # a micro-batch that runs again writes the same epoch folder, not a second copy
+    from potable.streaming.incremental import _requests_of
+
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    (src / "uk.po").write_text(PO.format(lang="uk"), encoding="utf-8")
+    raw = spark.read.text(str(src)).selectExpr("_metadata.file_path as path", "_metadata.file_block_start as __block", "value as line")
+    for _ in range(2):
+        _requests_of(raw, False).write.mode("overwrite").parquet(f"{out}/epoch=0")
+    assert spark.read.parquet(str(out)).count() == 1
