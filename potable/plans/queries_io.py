@@ -65,12 +65,17 @@ def q_po_compile_folded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("commit_results")
 def q_commit_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Committed results appended per run (partitioned by run id), read back."""
+    """Committed results kept per run (partitioned by run id), read back.
+
+    Dynamic partition overwrite: re-running a run replaces only its own
+    partition, so a retried commit never duplicates results and earlier runs
+    stay untouched."""
     k = _key(spark, sf, "commit-results")
     if k not in _MEMO:
         out = _new_folder(spark, "results")
         r = translate(spark, sf)["results"].withColumn("run_id", F.lit("run-1"))
-        r.write.mode("append").partitionBy("run_id").parquet(out)
+        for _ in range(2):  # the second write stands for a retried commit
+            r.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(out)
         _MEMO[k] = spark.read.parquet(out)
     back = _MEMO[k]
     return back.select(
