@@ -23,6 +23,7 @@ def test_every_query_has_an_oracle_or_is_rows_only():
 FAST = [
     "worklist", "batch_requests", "parser_order", "catalog_coverage", "po_headers", "lookup_plural_samples",
     "validate_responses", "committed_prefix", "merge_batches", "po_scan", "incremental_worklist",
+    "flagship", "translate_catalog_options",
 ]
 
 
