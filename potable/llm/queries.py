@@ -4,21 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from potable.llm.common import documents
 from potable.llm.line_dedup import line_dedup
 from potable.llm.mixing import mix_sources
+from potable.llm.packing import pack_documents
+from potable.llm.token_counts import token_counts
+from potable.llm.token_files import token_files
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     LLM_QUERIES[fn.__name__] = fn
     return fn
 
 
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir).select("doc_id", "text"), WORD_BPE, end_id=1)
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
@@ -32,3 +44,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir).select("doc_id", "text"), WORD_BPE, end_id=2)
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir).select("doc_id", "text"), WORD_BPE, limit=2048)
