@@ -1,11 +1 @@
-"""Operators for large training-data pipelines (one module per operator).
-
-Functions that run in Python workers are pickled by value, so executors need
-no copy of this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for large training-data pipelines (one module per operator)."""

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from potable.llm.common import ship
 from potable.llm.word_tokens import word_tokens
 
 OUT_BYTES = 8 << 20
@@ -27,6 +28,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
 
     A null text counts as empty. Other columns are not read.
     """
+    ship(docs.sparkSession)
     width = id_width(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

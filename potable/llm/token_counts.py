@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from potable.llm.common import ship
 from potable.llm.word_tokens import (
     DIGIT, LETTER, SPACE, WordTokens, byte_letters, pretoken_array, text_slices,
 )
@@ -246,19 +247,25 @@ class TokenCounter:
 _COUNTERS: dict[str, TokenCounter] = {}
 
 
+def token_counter(path: str) -> TokenCounter:
+    """One instance per worker process and file."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = TokenCounter(path)
+    return _COUNTERS[path]
+
+
 def token_counts(
     docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _COUNTERS:
-            _COUNTERS[tokenizer_path] = TokenCounter(tokenizer_path)
-        counter = _COUNTERS[tokenizer_path]
+        counter = token_counter(tokenizer_path)
         for batch in batches:
             n = counter.count(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n)], [id_col, "n_bytes", "n_tokens"])
 
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("__text"), F.octet_length(text).cast("long").alias("__bytes"))
     kind = dict(rows.dtypes)[id_col]

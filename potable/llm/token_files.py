@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from potable.llm.common import scratch_path, total_text_bytes
+from potable.llm.common import scratch_path, ship, total_text_bytes
 from potable.llm.encoding import encoded, id_width, ids_of
 
 MAGIC = b"PFR1"
@@ -222,6 +222,7 @@ SEGMENT_SCHEMA = pa.schema([("file", pa.int32()), ("segment", pa.int32()), ("n_i
 
 def read_token_files(spark, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
+    ship(spark)
     segments = spark.read.parquet(path)
     # one number per file (a file holds at least tens of MB of text)
     sums = {r["file"]: r["n"] for r in segments.groupBy("file").agg(F.sum("n_ids").alias("n")).collect()}
