@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from potable.llm.common import documents
 from potable.llm.line_dedup import line_dedup
 from potable.llm.mixing import mix_sources
+from potable.llm.near_dups import near_duplicates
 from potable.llm.packing import pack_documents
 from potable.llm.token_counts import token_counts
 from potable.llm.token_files import token_files
@@ -51,6 +52,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir).select("doc_id", "text"), WORD_BPE, end_id=2)
 
 
+@query
+def op8_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), k=4, percent=80)
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir).select("doc_id", "text"), WORD_BPE, limit=2048)
