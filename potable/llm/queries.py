@@ -13,8 +13,10 @@ from potable.llm.line_dedup import line_dedup
 from potable.llm.mixing import mix_sources
 from potable.llm.near_dups import near_duplicates
 from potable.llm.packing import pack_documents
+from potable.llm.quality_classifier import classify_quality
 from potable.llm.token_counts import token_counts
 from potable.llm.token_files import token_files
+from potable.sources.tables import read_table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -47,6 +49,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir).select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir).select("doc_id", "text"), WORD_BPE, end_id=2)
