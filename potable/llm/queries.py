@@ -13,6 +13,7 @@ from potable.llm.line_dedup import line_dedup
 from potable.llm.mixing import mix_sources
 from potable.llm.near_dups import near_duplicates
 from potable.llm.packing import pack_documents
+from potable.llm.perplexity_rules import quality_rules
 from potable.llm.quality_classifier import classify_quality
 from potable.llm.token_counts import token_counts
 from potable.llm.token_files import token_files
@@ -67,3 +68,8 @@ def op8_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir).select("doc_id", "text"), WORD_BPE, limit=2048)
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"))
