@@ -39,19 +39,23 @@ def stream(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return data[edges[0] : edges[-1]], edges - edges[0]
 
 
-def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order-``order`` gram that ends at each predicted byte, and the first of each text (and the end)."""
-    data, edges = stream(texts, order)
-    n = len(data) - order + 1
-    codes = np.zeros(max(n, 0), dtype=np.int64)
+def windows(data: np.ndarray, edges: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams at all places, which of them lie inside one stream, and the first such of each text (and the end)."""
+    n = max(len(data) - order + 1, 0)
+    codes = np.zeros(n, dtype=np.int64)
     for i in range(order):
         codes = (codes << 8) | data[i : i + n]
-    inside = np.ones(max(n, 0), dtype=bool)
+    inside = np.ones(n, dtype=bool)
     # windows that begin in the last bytes of a stream reach into the next one
     for back in range(1, order):
         at = edges[1:-1] - back
         inside[at[at >= 0]] = False
-    first = edges - np.arange(len(edges)) * (order - 1)
+    return codes, inside, edges - np.arange(len(edges)) * (order - 1)
+
+
+def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order-``order`` gram that ends at each predicted byte, and the first of each text (and the end)."""
+    codes, inside, first = windows(*stream(texts, order), order)
     return codes[inside], first
 
 

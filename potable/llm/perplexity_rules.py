@@ -8,10 +8,10 @@ discounted estimates, which every task searches by bisection.
 
 Verdict: documents that fail the base rules (fewer than 20 words, or over 30 % of
 the words in repeated 8-word windows) are out. Of the others, those whose
-perplexity leaves its language's band are out. The band reaches ``WIDTH``
-interquartile ranges of the logarithm below the first and above the third
-quartile of all documents of that language, so a language of even quality loses
-nothing. A short text's mean is first pulled towards its language's mean by
+perplexity leaves its language's band are out. The band reaches ``BELOW``
+interquartile ranges of the logarithm below the first quartile of all documents of
+that language, and ``ABOVE`` such ranges above the third, so a language of even
+quality loses next to nothing. A short text's mean is first pulled towards its language's mean by
 ``PRIOR`` bytes.
 
 Defined results: a null or empty text has no words, fails the base rules, and its
@@ -42,7 +42,8 @@ ORDER = 5
 #: a prime, so that remainders spread; bounds the arrays of an order at 8.4 million entries
 CONTEXTS = 32749
 PRIOR = 200
-WIDTH = 5.0
+BELOW = 3.5
+ABOVE = 2.5
 WINDOW = 8
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -178,8 +179,8 @@ def quality_rules(
     surprise = -(F.col("lp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
     pulled = written(spread_join(scored, means).withColumn("surprise", surprise), "rules-surprise")
     bands = pulled.groupBy("lang").agg(F.percentile_approx("surprise", [0.25, 0.75], 10_000).alias("q")).select(
-        "lang", (F.col("q")[0] - WIDTH * (F.col("q")[1] - F.col("q")[0])).alias("lo"),
-        (F.col("q")[1] + WIDTH * (F.col("q")[1] - F.col("q")[0])).alias("hi"),
+        "lang", (F.col("q")[0] - BELOW * (F.col("q")[1] - F.col("q")[0])).alias("lo"),
+        (F.col("q")[1] + ABOVE * (F.col("q")[1] - F.col("q")[0])).alias("hi"),
     )
     failed = (F.col("n_words") < least_words) | (
         100 * F.col("n_repeat_words") > most_repeated_percent * F.col("n_words")
