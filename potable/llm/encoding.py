@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potable.llm.common import ship
+from potable.llm.shingles import row_slices
 from potable.llm.word_tokens import word_tokens
 
 OUT_BYTES = 8 << 20
@@ -34,21 +35,10 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer_path)
         for batch in batches:
-            blobs: list[bytes] = []
-            at = held = 0
-            for ids in tokens.encode_texts(batch.column(2).to_pylist()):
-                blob = np.append(ids, end_id).astype(f"<u{width}").tobytes()
-                blobs.append(blob)
-                held += len(blob)
-                if held >= OUT_BYTES:
-                    yield out(batch, at, blobs)
-                    at, held, blobs = at + len(blobs), 0, []
-            if blobs:
-                yield out(batch, at, blobs)
-
-    def out(batch: pa.RecordBatch, at: int, blobs: list[bytes]) -> pa.RecordBatch:
-        rows = batch.slice(at, len(blobs))
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(blobs, pa.binary())], ["doc_id", "tie", "ids"])
+            for at, part in row_slices(batch.column(2), OUT_BYTES):
+                blobs = [np.append(ids, end_id).astype(f"<u{width}").tobytes() for ids in tokens.encode_texts(part.to_pylist())]
+                rows = batch.slice(at, len(part))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(blobs, pa.binary())], ["doc_id", "tie", "ids"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from potable.llm.common import documents
+from potable.llm.context_mixing import score_documents
 from potable.llm.line_dedup import line_dedup
 from potable.llm.mixing import mix_sources
 from potable.llm.near_dups import near_duplicates
@@ -30,6 +31,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir).select("doc_id", "text"), WORD_BPE, end_id=1)

@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potable.llm.common import ship
+from potable.llm.shingles import row_slices
 from potable.llm.word_tokens import (
-    DIGIT, LETTER, SPACE, WordTokens, byte_letters, pretoken_array, text_slices,
+    DIGIT, LETTER, SPACE, WordTokens, binary_list, byte_letters, pretoken_array, text_slices,
 )
 
 # splitter states
@@ -236,7 +237,7 @@ class TokenCounter:
         low, kind, bounds, odd = self.base.characters.read(texts)
         start = self.split.starts(self.split.classes(low, kind))
         pre = pretoken_array(low, kind, start).dictionary_encode()
-        each = np.fromiter(map(self.words.count, pre.dictionary.to_pylist()), dtype=np.int64, count=len(pre.dictionary))
+        each = np.fromiter(map(self.words.count, binary_list(pre.dictionary)), dtype=np.int64, count=len(pre.dictionary))
         ends = np.concatenate([[0], np.cumsum(each[pre.indices.to_numpy(zero_copy_only=False)])])
         out = np.diff(ends[np.searchsorted(np.flatnonzero(start), bounds)])
         for i in special | odd:
@@ -262,8 +263,9 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(tokenizer_path)
         for batch in batches:
-            n = counter.count(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n)], [id_col, "n_bytes", "n_tokens"])
+            n = [counter.count(part.to_pylist()) for _, part in row_slices(batch.column(1))]
+            counted = pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counted], [id_col, "n_bytes", "n_tokens"])
 
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 SPACE, LETTER, DIGIT, OTHER, ODD = 1, 2, 3, 4, 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _TOKENIZERS: dict[str, "WordTokens"] = {}
 
 
@@ -128,8 +128,16 @@ def pretoken_array(low: np.ndarray, kind: np.ndarray, start: np.ndarray) -> pa.A
     return pa.Array.from_buffers(pa.binary(), len(first), buffers)
 
 
+def binary_list(array: pa.Array) -> list[bytes]:
+    """The values of an array without nulls (slices of one buffer; much faster than ``to_pylist``)."""
+    edges = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1].tolist()
+    data = array.buffers()[2].to_pybytes() if array.buffers()[2] is not None else b""
+    return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 class WordTokens:
-    CACHE = 1_000_000
+    #: distinct pre-tokens whose ids are kept (about 200 bytes each)
+    CACHE = 400_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -139,18 +147,19 @@ class WordTokens:
         names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def word_ids(self, word: bytes) -> list[int]:
+    def word_ids(self, word: bytes) -> bytes:
+        """Ids of one pre-token as 32-bit integers."""
         ids = self.known.get(word)
         if ids is None:
             if len(self.known) >= self.CACHE:
                 self.known.clear()
-            ids = [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.letters))]
-            self.known[word] = ids
+            tokens = self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.letters))
+            ids = self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
         return ids
 
     def starts(self, low: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -175,10 +184,10 @@ class WordTokens:
         low, kind, bounds, odd = self.characters.read(["" if i in special else p for i, p in enumerate(parts)])
         start = self.starts(low, kind)
         pre = pretoken_array(low, kind, start).dictionary_encode()
-        words = [self.word_ids(w) for w in pre.dictionary.to_pylist()]
+        words = [self.word_ids(w) for w in binary_list(pre.dictionary)]
         code = pre.indices.to_numpy(zero_copy_only=False)
-        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        flat = np.fromiter((i for w in words for i in w), dtype=np.uint32, count=int(size.sum()))
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) // 4
+        flat = np.frombuffer(b"".join(words), dtype="<u4")
         first = np.cumsum(size) - size
         n = size[code]
         ends = np.cumsum(n)
