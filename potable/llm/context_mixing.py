@@ -5,13 +5,13 @@ mark. Each byte is a path of binary choices in one Huffman tree over all 256 byt
 values, so the probabilities of all texts sum to one.
 
 *Predictors.* Six contexts predict a choice: the last 1 to 5 bytes, and the word so
-far. Context and tree node are hashed to one of ``2**BITS`` slots of that context's
-table, which holds how often each side was taken. The tables' size is fixed (50 MB),
+far. Context and tree node are hashed to one of the slots of that context's table,
+which holds how often each side was taken. The tables' size is fixed (``BITS``, 67 MB),
 whatever the input.
 
 *Mixing.* Each predictor's log odds are weighted; the weights are gated by the
-longest context that was seen before and whether the word so far was, and by how
-much the predictor has seen. Weights are learned online: each task goes through its
+longest byte context that was seen before and by how often the word so far was, and
+by how much the predictor has seen. Weights are learned online: each task goes through its
 share of the events in small batches, from the last round's weights, and the rounds'
 results are averaged. While learning, an event's own occurrence is taken out of the
 counts, so the mixer sees what it would see on new text. A last adaptive table maps
@@ -50,20 +50,23 @@ from potable.llm.shingles import row_slices, word_hashes, words_of
 ORDERS = (1, 2, 3, 4, 5)
 CONTEXTS = len(ORDERS) + 1
 WIDTH = max(ORDERS) + 1
-BITS = 22
-SLOTS = 1 << BITS
+#: slots of each context's table, as a power of two (the word so far has the most contexts)
+BITS = (16, 22, 22, 22, 22, 24)
+FIRST = [sum(1 << b for b in BITS[:j]) for j in range(CONTEXTS)]
+SLOTS = sum(1 << b for b in BITS)
 #: slots of one piece of a table on its way to the driver
 PIECE = 1 << 16
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 24 << 20
-MOST_HELD = 1_500_000
+MOST_HELD = 800_000
 ROUNDS = 3
 BATCH = 1 << 15
 STEP = 0.2
 #: counts up to this are kept exactly, larger ones on a logarithmic scale (one byte each)
 EXACT = 40
 KINDS = 16  # 8 classes by total count, one-sided or not
-GATES = 2 * (len(ORDERS) + 1)
+#: gate: the longest of the byte contexts that was seen (0 to 5), by how the word so far was seen
+GATES = (len(ORDERS) + 1) * KINDS
 CELLS = 33
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
@@ -212,8 +215,9 @@ def context_hashes(word: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
     return [*out, mixed(word * _A + np.uint64(77))]
 
 
-def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (((context + node.astype(np.uint64) * _A) * _B) >> np.uint64(64 - BITS)).astype(np.int64)
+def slots(j: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Slot in the table of context ``j``."""
+    return (((context + node.astype(np.uint64) * _A) * _B) >> np.uint64(64 - BITS[j])).astype(np.int64)
 
 
 def stored(n: np.ndarray) -> np.ndarray:
@@ -251,7 +255,7 @@ class Model:
         """Per context: log odds, and the index of the weight that the gate selects."""
         odds, kinds = [], []
         for j in range(CONTEXTS):
-            state = self.tables[j][slots(hashes[j][row], node)]
+            state = self.tables[j][slots(j, hashes[j][row], node)]
             if learning:  # without the event itself
                 shift = bit.astype(np.uint16) * np.uint16(8)
                 own = (state >> shift) & np.uint16(255)
@@ -260,8 +264,8 @@ class Model:
             kinds.append(self.kinds[state])
         gate = np.zeros(len(row), dtype=np.int64)
         for j, _ in enumerate(ORDERS):
-            gate = np.where(kinds[j] > 0, 2 * (j + 1), gate)
-        gate += kinds[-1] > 0
+            gate = np.where(kinds[j] > 0, KINDS * (j + 1), gate)
+        gate += kinds[-1]
         return odds, [(gate * CONTEXTS + j) * KINDS + kinds[j] for j in range(CONTEXTS)]
 
     def mix(self, odds: list, index: list) -> np.ndarray:
@@ -349,11 +353,11 @@ def fit_tables(counted: DataFrame, tree: Tree) -> list[np.ndarray]:
             word, code, n = event_columns(batch)
             row, node, bit = tree.choices(code)
             for j, h in enumerate(context_hashes(word, code)):
-                group, found = pd.factorize(slots(h[row], node))
+                group, found = pd.factorize(slots(j, h[row], node))
                 ones = np.bincount(group, weights=n[row] * bit, minlength=len(found))
                 both = np.bincount(group, weights=n[row], minlength=len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found + j * SLOTS), pa.array((both - ones).astype(np.int64)), pa.array(ones.astype(np.int64))],
+                    [pa.array(found + FIRST[j]), pa.array((both - ones).astype(np.int64)), pa.array(ones.astype(np.int64))],
                     ["slot", "zeros", "ones"],
                 )
 
@@ -368,10 +372,10 @@ def fit_tables(counted: DataFrame, tree: Tree) -> list[np.ndarray]:
         .groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
         .withColumn("piece", F.shiftright("slot", 16).cast("int"))
     )
-    whole = np.zeros(CONTEXTS * SLOTS, dtype=np.uint16)
+    whole = np.zeros(SLOTS, dtype=np.uint16)
     for r in summed.groupBy("piece").applyInArrow(piece, "piece int, data binary").collect():
         whole[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["data"], dtype=np.uint16)
-    return [whole[j * SLOTS : (j + 1) * SLOTS] for j in range(CONTEXTS)]
+    return np.split(whole, FIRST[1:])
 
 
 def train(counted: DataFrame) -> Model:

@@ -57,3 +57,17 @@ select b.doc_id, b.size, t3.source_size, t3.target,
             else 0 end as bigint) as taken
 from b join t3 on b.source is not distinct from t3.source
 left join c2 on c2.source is not distinct from t3.source"""
+
+LLM_ORACLE["op1_kd_top_k"] = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.v) = len(q.v)
+  where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5"""

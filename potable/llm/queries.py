@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from potable.llm.common import documents
 from potable.llm.context_mixing import score_documents
+from potable.llm.kd_search import top_k
 from potable.llm.line_dedup import line_dedup
 from potable.llm.mixing import mix_sources
 from potable.llm.near_dups import near_duplicates
@@ -31,6 +32,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_kd_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir).select("doc_id", "text"))
