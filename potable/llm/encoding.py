@@ -14,6 +14,8 @@ from potable.llm.shingles import row_slices
 from potable.llm.word_tokens import word_tokens
 
 OUT_BYTES = 8 << 20
+#: stands for a null id in files and orders
+NULL_ID = -(1 << 63)
 
 
 def id_width(tokenizer_path: str) -> int:
@@ -24,11 +26,15 @@ def ids_of(blob: bytes, width: int) -> np.ndarray:
     return np.frombuffer(blob, dtype=f"<u{width}")
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tie, ids): every whole text's ids and ``end_id``; ``tie`` orders rows of equal ids.
+def encoded(
+    docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", bounds: list[int] | None = None
+) -> DataFrame:
+    """(part, doc_id, tie, ids): every whole text's ids and ``end_id``; ``tie`` orders rows of equal ids.
 
-    A null text counts as empty. Other columns are not read.
+    ``part`` is the number of ``bounds`` below the id (nulls come first). A null
+    text counts as empty. Other columns are not read.
     """
+    edges = np.array(bounds or [], dtype=np.int64)
     ship(docs.sparkSession)
     width = id_width(tokenizer_path)
 
@@ -38,8 +44,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "do
             for at, part in row_slices(batch.column(2), OUT_BYTES):
                 blobs = [np.append(ids, end_id).astype(f"<u{width}").tobytes() for ids in tokens.encode_texts(part.to_pylist())]
                 rows = batch.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(blobs, pa.binary())], ["doc_id", "tie", "ids"])
+                names = rows.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+                part = pa.array(np.searchsorted(edges, names, side="left").astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part, rows.column(0), rows.column(1), pa.array(blobs, pa.binary())], ["part", "doc_id", "tie", "ids"]
+                )
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
+    return rows.mapInArrow(run, "part int, doc_id long, tie long, ids binary")

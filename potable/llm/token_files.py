@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potable.llm.common import scratch_path, ship, total_text_bytes
-from potable.llm.encoding import encoded, id_width, ids_of
+from potable.llm.encoding import NULL_ID, encoded, id_width, ids_of
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIIQ")
@@ -51,7 +51,6 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 19
 #: text bytes that make one file
 FILE_BYTES = 24 << 20
-NULL_ID = -(1 << 63)
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
@@ -176,12 +175,6 @@ def write_token_files(
         row = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), quantiles, 100 * files).alias("q")).first()
         bounds = sorted(set(row["q"] or []))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            file = np.searchsorted(np.array(bounds, dtype=np.int64), ids, side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), *batch.columns], ["file", *batch.schema.names])
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number, before, held = None, 0, 0, 0
         names: list[int | None] = []
@@ -194,7 +187,7 @@ def write_token_files(
             )
 
         for batch in batches:
-            for f, d, blob in zip(*(batch.column(c).to_pylist() for c in ("file", "doc_id", "ids")), strict=True):
+            for f, d, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
                 if rows and (f != file or held >= SEGMENT_IDS):
                     yield close()
                     number, before, held, names, rows = number + 1, before + held, 0, [], []
@@ -206,11 +199,9 @@ def write_token_files(
         if rows:
             yield close()
 
-    dealt = encoded(docs, tokenizer_path, end_id, id_col, text_col).mapInArrow(
-        deal, "file int, doc_id long, tie long, ids binary"
-    )
     (
-        dealt.repartition(len(bounds) + 1, "file").sortWithinPartitions("file", "doc_id", "tie")
+        encoded(docs, tokenizer_path, end_id, id_col, text_col, bounds)
+        .repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "tie")
         .mapInArrow(pack, "file int, segment int, n_ids long, image binary")
         .write.mode("overwrite").option("compression", "none").parquet(path)
     )
