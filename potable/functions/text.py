@@ -31,12 +31,12 @@ def _c(col: Column | str) -> Column:
 
 def js_trim(col: Column | str) -> Column:
     """``String.trim``: strip the JS whitespace set from both ends."""
-    return F.regexp_replace(_c(col), f"^{JS_WS_CLASS}+|{JS_WS_CLASS}+$", "")
+    return F.regexp_replace(_c(col), f"\\A{JS_WS_CLASS}+|{JS_WS_CLASS}+\\z", "")
 
 
 def is_blank(col: Column | str) -> Column:
     """True when the string is empty or only JS whitespace (null counts as blank)."""
-    return F.coalesce(_c(col), F.lit("")).rlike(f"^{JS_WS_CLASS}*$")
+    return F.coalesce(_c(col), F.lit("")).rlike(f"\\A{JS_WS_CLASS}*\\z")
 
 
 def is_untranslated(msgstr: Column | str) -> Column:
@@ -62,7 +62,7 @@ def is_integer_key(col: Column | str) -> Column:
     parser's contexts and msgids.
     """
     c = _c(col)
-    canonical = c.rlike("^(0|[1-9][0-9]{0,9})$")
+    canonical = c.rlike("\\A(0|[1-9][0-9]{0,9})\\z")
     return canonical & (F.when(canonical, c.cast("bigint")).otherwise(F.lit(None)) <= F.lit(4294967294))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from potable.operators.spread import spread_join
+
 MAX_ATTEMPTS = 4
 # Wait before attempt 2, 3, 4 (milliseconds).
 RETRY_DELAYS_MS = [1000, 2000, 4000]
@@ -123,7 +125,7 @@ def committed_prefix(outcomes: DataFrame) -> DataFrame:
     stops = outcomes.where(F.col("outcome") != "succeeded").groupBy("catalog_id").agg(
         F.min("batch_no").alias("stop_batch")
     )
-    return outcomes.join(stops, on="catalog_id", how="left").withColumn(
+    return spread_join(outcomes, stops, ["catalog_id"], by=["batch_no"], how="left").withColumn(
         "committed",
         (F.col("outcome") == "succeeded") & (F.col("stop_batch").isNull() | (F.col("batch_no") < F.col("stop_batch"))),
     )

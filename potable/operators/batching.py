@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potable.operators.numbering import dense_ordinal
+from potable.operators.select import parser_key
+from potable.operators.spread import spread_join
 
 # Fixed value: items per model request.
 BATCH_SIZE = 15
 
 
-def number_batches(work: DataFrame, size: int = BATCH_SIZE, order: str = "seq") -> DataFrame:
-    """Add ``item_no`` (1-based, per catalog, by ``order``), ``batch_no`` and ``pos``."""
-    numbered = dense_ordinal(work, ["catalog_id"], [order], "item_no")
+def number_batches(work: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """Add ``item_no`` (1-based, per catalog, in parser order), ``batch_no`` and ``pos``."""
+    numbered = dense_ordinal(work, ["catalog_id"], parser_key(), "item_no")
     return numbered.withColumn("batch_no", (F.floor((F.col("item_no") - 1) / size) + 1).cast("bigint")).withColumn(
         "pos", ((F.col("item_no") - 1) % size).cast("int")
     )
@@ -49,7 +51,7 @@ def batch_summary(requests: DataFrame) -> DataFrame:
     per_cat = requests.groupBy("catalog_id").agg(
         F.sum("n_items").alias("catalog_items"), F.max("batch_no").alias("max_batch")
     )
-    s = requests.select("catalog_id", "batch_no", "n_items").join(per_cat, on="catalog_id", how="inner")
+    s = spread_join(requests.select("catalog_id", "batch_no", "n_items"), per_cat, ["catalog_id"], by=["batch_no"])
     total = F.ceil(F.col("catalog_items") / F.lit(BATCH_SIZE)).cast("bigint")
     return s.select(
         "catalog_id",

@@ -7,11 +7,12 @@ pushed filters, so persisting them as columns keeps pushdown possible.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from potable.functions.text import integer_key_value, is_fuzzy, is_untranslated
 from potable.operators.numbering import dense_ordinal
+from potable.operators.spread import spread_join
 
 KEY = ["catalog_id", "msgctxt", "msgid"]
 
@@ -27,8 +28,9 @@ def with_status(entries: DataFrame) -> DataFrame:
 
 
 def untranslated_msgids(entries: DataFrame) -> DataFrame:
-    """msgids of untranslated entries (fuzzy ignored, duplicates across contexts kept)."""
-    return skip_header(entries).where(is_untranslated("msgstr")).select("catalog_id", "seq", "msgctxt", "msgid")
+    """msgids of untranslated entries in parser order (fuzzy ignored, duplicates across contexts kept)."""
+    blank = skip_header(entries).where(is_untranslated("msgstr"))
+    return listed(blank).select("catalog_id", "order_no", "seq", "msgctxt", "msgid")
 
 
 def worklist(entries: DataFrame, include_fuzzy: bool | str = False) -> DataFrame:
@@ -53,8 +55,8 @@ def worklist(entries: DataFrame, include_fuzzy: bool | str = False) -> DataFrame
 
 
 def entry_keys(work: DataFrame) -> DataFrame:
-    """``{context, msgid}`` of selected entries."""
-    return work.select("catalog_id", "seq", F.col("msgctxt").alias("context"), "msgid")
+    """``{context, msgid}`` of selected entries, in parser order."""
+    return listed(work).select("catalog_id", "order_no", "seq", F.col("msgctxt").alias("context"), "msgid")
 
 
 def request_item(work: DataFrame) -> DataFrame:
@@ -74,31 +76,33 @@ def nothing_to_do(catalogs: DataFrame, work: DataFrame) -> DataFrame:
     return catalogs.join(work.select("catalog_id").distinct(), on="catalog_id", how="left_anti")
 
 
-def parser_order(entries: DataFrame) -> DataFrame:
-    """Position of each entry in the parser's iteration order (``order_no``).
+def with_parser_key(entries: DataFrame) -> DataFrame:
+    """Add ``ctx_first``: where the entry's context is first seen in its catalog."""
+    first = entries.groupBy("catalog_id", "msgctxt").agg(F.min("seq").alias("ctx_first"))
+    return spread_join(entries, first, ["catalog_id", "msgctxt"], by=["seq"])
+
+
+def parser_key() -> list[Column]:
+    """Sort columns of the parser's iteration order inside a catalog.
 
     Contexts in first-seen order, msgids in file order inside a context; keys
     that are JS array indices (``"7"``) come first, ascending — for contexts and
-    for msgids. ``ctx_first`` is a per-(catalog, context) aggregate joined back,
-    then the ordinal is computed skew-proof.
+    for msgids.
     """
-    first = entries.groupBy("catalog_id", "msgctxt").agg(F.min("seq").alias("ctx_first"))
-    keyed = (
-        entries.join(first, on=["catalog_id", "msgctxt"], how="inner")
-        .withColumn("ctx_int", integer_key_value("msgctxt"))
-        .withColumn("id_int", integer_key_value("msgid"))
-    )
-    order = [
-        F.col("ctx_int").isNull(),
-        F.col("ctx_int"),
-        F.col("ctx_first"),
-        F.col("id_int").isNull(),
-        F.col("id_int"),
-        F.col("seq"),
-    ]
-    return dense_ordinal(keyed, ["catalog_id"], order, "order_no").drop("ctx_int", "id_int")
+    context, msgid = integer_key_value("msgctxt"), integer_key_value("msgid")
+    return [context.isNull(), context, F.col("ctx_first"), msgid.isNull(), msgid, F.col("seq")]
+
+
+def listed(entries: DataFrame) -> DataFrame:
+    """Add ``order_no``: position in parser order among these entries of the catalog."""
+    return dense_ordinal(entries, ["catalog_id"], parser_key(), "order_no")
+
+
+def parser_order(entries: DataFrame) -> DataFrame:
+    """Position of each entry in the parser's iteration order (``order_no``)."""
+    return listed(entries if "ctx_first" in entries.columns else with_parser_key(entries))
 
 
 def dry_run(work: DataFrame) -> DataFrame:
-    """The listing a dry run prints: msgids in catalog order (no call, no write)."""
-    return work.select("catalog_id", "seq", "msgid").orderBy("catalog_id", "seq")
+    """The listing a dry run prints: msgids in parser order (no call, no write)."""
+    return listed(work).select("catalog_id", "order_no", "seq", "msgid")

@@ -23,7 +23,7 @@ from potable.functions.text import JS_WS_CLASS, is_blank, js_trim
 RETRYABLE_CODES = ("CTX_MISMATCH", "ID_MISMATCH", "PLURAL_MISMATCH")
 RETRYABLE_STATUS = (429, 500, 503)
 
-_FENCE = f"(?s)^```(?:json)?{JS_WS_CLASS}*\\n?(.*?)\\n?```{JS_WS_CLASS}*$"
+_FENCE = f"(?s)\\A```(?:json)?{JS_WS_CLASS}*\\n?(.*?)\\n?```{JS_WS_CLASS}*\\z"
 
 
 def strip_json_fences(content: Column | str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from potable.operators.locale import parse_headers, with_language_fields
 from potable.operators.numbering import materialize
+from potable.operators.select import with_parser_key
 from potable.sources import fixture
 
 _MEMO: dict[tuple[str, str, str], DataFrame] = {}
@@ -26,7 +27,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-duplicated catalog entries (header rows included)."""
     k = _key(spark, sf_dir, "entries")
     if k not in _MEMO:
-        _MEMO[k] = materialize(fixture.catalog_entries(spark, sf_dir), "entries")
+        _MEMO[k] = materialize(with_parser_key(fixture.catalog_entries(spark, sf_dir)), "entries")
     return _MEMO[k]
 
 

@@ -55,24 +55,28 @@ lines as (
   select doc_id, lang, source, cast(i - 1 as bigint) as line_no, string_split(text, chr(10))[i] as line
   from (select *, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)
 ),
-u as (select *, source || '.' || lang as catalog_id, doc_id * 31 + line_no * 7 as h, substr(line, 1, 80) as base from lines),
+u as (select *, source || '.' || lang as catalog_id, doc_id * 31 + line_no * 7 as h, line as base from lines),
 e as (
   select catalog_id, lang, row_number() over (partition by catalog_id order by doc_id, line_no) as seq, h, base,
-    case when doc_id % 3 = 0 then 'ctx' || cast(doc_id % 2 as varchar) else '' end as msgctxt,
-    case when h % 101 = 0 then '' when line_no % 5 = 1 then base || ' %d'
+    case when doc_id % 17 = 1 then cast(doc_id % 4 as varchar) when doc_id % 3 = 0 then 'ctx' || cast(doc_id % 2 as varchar) else '' end as msgctxt,
+    case when h % 101 = 0 then '' when h % 97 = 5 then cast(h % 50 as varchar)
+         when h % 97 = 6 then cast(h % 50 as varchar) || chr(10) when line_no % 5 = 1 then base || ' %d'
          when line_no % 5 = 2 then '<b>' || base || '</b> {{name}}' else base end as msgid,
     case when h % 8 = 0 then 'fuzzy' when h % 8 = 1 then 'c-format, fuzzy' when h % 8 = 2 then 'c-format'
          when h % 8 = 3 then ' Fuzzy ' when h % 8 = 4 then 'fuzzy-ish' when h % 8 = 5 then '' end as flag,
     case when h % 9 = 0 then 'ai-translated' when h % 9 = 1 then 'TODO' || chr(10) || 'ai-translated'
          when h % 9 = 2 then 'note' when h % 9 = 3 then '' end as translator,
-    case when h % 11 = 0 then null when h % 7 = 0 then cast([] as varchar[]) when h % 7 = 1 then list_value('')
+    case when h % 11 = 0 then null when h % 7 = 0 then cast([] as varchar[]) when h % 13 = 5 then list_value(chr(133))
+         when h % 13 = 6 then list_value(base || ' ' || chr(133)) when h % 7 = 1 then list_value('')
          when h % 7 = 2 then list_value(chr(9) || chr(160)) when h % 7 = 3 then list_value('', 'x')
          else list_value('t:' || base) end as msgstr
   from u
 ),
 f as (select *, case when h % 6 = 0 then msgid || ' (pl)' end as msgid_plural from e),
 d as (
-  select * exclude (rn) from (
+  select * exclude (rn), min(seq) over (partition by catalog_id, msgctxt) as ctx_first,
+    {int_key('msgctxt')} as ctx_int, {int_key('msgid')} as id_int
+  from (
     select *, row_number() over (partition by catalog_id, msgctxt, msgid order by seq desc) as rn from f
   ) q where rn = 1
 ),
@@ -80,6 +84,11 @@ st as (select *, {untrans('msgstr')} as untranslated, {fuzzy('flag')} as fuzzy f
 """
 
 
+# position in the parser's iteration order inside a catalog
+PORDER = "ctx_int is null, ctx_int, ctx_first, id_int is null, id_int, seq"
+ORDER_NO = f"cast(row_number() over (partition by catalog_id order by {PORDER}) as bigint) as order_no"
+
+
 def worklist_cte(include_fuzzy: bool | str) -> str:
     """``include_fuzzy``: job-wide flag, or a SQL condition (per-catalog options)."""
     if isinstance(include_fuzzy, str):
@@ -99,10 +108,10 @@ w as (
 def numbered_cte(include_fuzzy: bool | str = False) -> str:
     return (
         worklist_cte(include_fuzzy)
-        + """,
+        + f""",
 nb as (
   select *, item_no, cast(floor((item_no - 1) / 15) + 1 as bigint) as batch_no, cast((item_no - 1) % 15 as bigint) as pos
-  from (select *, cast(row_number() over (partition by catalog_id order by seq) as bigint) as item_no from w) z
+  from (select *, cast(row_number() over (partition by catalog_id order by {PORDER}) as bigint) as item_no from w) z
 )"""
     )
 
@@ -142,7 +151,7 @@ from (select *, unnest(range(1, len(string_split(flag, ',')) + 1)) as k from d w
 
 oracle(
     "untranslated_msgids",
-    with_entries() + "select catalog_id, seq, msgctxt, msgid from st where untranslated",
+    with_entries() + f"select catalog_id, {ORDER_NO}, seq, msgctxt, msgid from st where untranslated",
 )
 
 _WORK_SELECT = """
@@ -162,7 +171,7 @@ select catalog_id, seq, msgid_plural is not null as is_plural, req_msgstr is not
 from w""",
 )
 
-oracle("entry_keys", with_entries(worklist_cte(False)) + "select catalog_id, seq, msgctxt as context, msgid from w")
+oracle("entry_keys", with_entries(worklist_cte(False)) + f"select catalog_id, {ORDER_NO}, seq, msgctxt as context, msgid from w")
 
 oracle(
     "request_item",
@@ -181,22 +190,10 @@ select catalog_id from (select distinct source || '.' || lang as catalog_id from
 where catalog_id not in (select catalog_id from w)""",
 )
 
-oracle(
-    "parser_order",
-    with_entries()
-    + f"""
-, po as (
-  select *, min(seq) over (partition by catalog_id, msgctxt) as ctx_first,
-    {int_key('msgctxt')} as ctx_int, {int_key('msgid')} as id_int
-  from d where msgid <> ''
-)
-select catalog_id, seq, cast(row_number() over (partition by catalog_id
-  order by ctx_int is null, ctx_int, ctx_first, id_int is null, id_int, seq) as bigint) as order_no
-from po""".replace("\n, po as", ", po as", 1),
-)
+oracle("parser_order", with_entries() + f"select catalog_id, seq, {ORDER_NO} from st")
 
-oracle("dry_run", with_entries(worklist_cte(False)) + "select catalog_id, seq, msgid from w")
-oracle("dry_run_include_fuzzy", with_entries(worklist_cte(True)) + "select catalog_id, seq, msgid from w")
+oracle("dry_run", with_entries(worklist_cte(False)) + f"select catalog_id, {ORDER_NO}, seq, msgid from w")
+oracle("dry_run_include_fuzzy", with_entries(worklist_cte(True)) + f"select catalog_id, {ORDER_NO}, seq, msgid from w")
 
 oracle(
     "batch_number",
@@ -207,7 +204,7 @@ oracle(
     "batch_requests",
     with_entries(numbered_cte())
     + """
-select catalog_id, batch_no, cast(count(*) as bigint) as n_items, min(seq) as first_seq, max(seq) as last_seq,
+select catalog_id, batch_no, cast(count(*) as bigint) as n_items, arg_min(seq, pos) as first_seq, arg_max(seq, pos) as last_seq,
   string_agg(coalesce(msgid_plural, msgid), chr(31) order by pos) as items_text
 from nb group by catalog_id, batch_no""",
 )

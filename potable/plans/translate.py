@@ -20,7 +20,8 @@ from potable.operators import batching, merge, validate
 from potable.operators import select as sel
 from potable.operators.locale import lookup_plural_samples, valid_source_languages
 from potable.operators.numbering import materialize
-from potable.operators.request import with_payload
+from potable.operators.request import DEFAULT_MODEL, with_payload
+from potable.operators.spread import spread_join
 from potable.plans.catalog import _key, catalogs, entries
 from potable.providers.pseudo import pseudo_attempts
 
@@ -50,7 +51,7 @@ def _entries_for(spark: SparkSession, sf: str, opts: Options) -> DataFrame:
     if not opts.per_catalog:
         return e
     o = catalog_options(spark, sf).select("catalog_id", "include_fuzzy", "add_fuzzy")
-    return e.join(o, on="catalog_id", how="left")
+    return spread_join(e, o, ["catalog_id"], by=["seq"], how="left")
 
 
 def requests_table(spark: SparkSession, sf: str, opts: Options = Options()) -> DataFrame:
@@ -64,16 +65,16 @@ def requests_table(spark: SparkSession, sf: str, opts: Options = Options()) -> D
         # a catalog whose source language is not a known code is rejected before
         # any request is built (reported by invalid_source_languages)
         ok = valid_source_languages(catalog_options(spark, sf), "source_lang").select("catalog_id")
-        work = work.join(ok, on="catalog_id", how="left_semi")
+        work = spread_join(work, ok, ["catalog_id"], by=["seq"], how="left_semi")
     # number only what a request item needs
-    work = work.select("catalog_id", "seq", "msgctxt", "msgid", "msgid_plural")
-    reqs = batching.batch_requests(batching.number_batches(work)).join(cats, on="catalog_id", how="inner")
+    work = work.select("catalog_id", "seq", "ctx_first", "msgctxt", "msgid", "msgid_plural")
+    reqs = spread_join(batching.batch_requests(batching.number_batches(work)), cats, ["catalog_id"], by=["batch_no"])
     if opts.per_catalog:
         o = catalog_options(spark, sf).select("catalog_id", "source_lang", "context", "model")
-        reqs = reqs.join(o, on="catalog_id", how="left")
+        reqs = spread_join(reqs, o, ["catalog_id"], by=["batch_no"], how="left")
         return with_payload(
             reqs, source_language=F.col("source_lang"), context=F.col("context"),
-            model=F.coalesce(F.col("model"), F.lit(opts.model or "gpt-5.4")),
+            model=F.coalesce(F.col("model"), F.lit(opts.model or DEFAULT_MODEL)),
         ).drop("source_lang", "context")
     src = F.lit(opts.source_language) if opts.source_language is not None else None
     ctx = F.lit(opts.context) if opts.context is not None else None

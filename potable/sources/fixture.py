@@ -30,14 +30,13 @@ def _arr(*items: Column) -> Column:
 
 def raw_entries(lines: DataFrame) -> DataFrame:
     """Lines -> entries before key de-duplication (``f`` in FIXTURES.md)."""
-    # only the first 80 characters of a line are used: keep just those
     u = lines.select(
         F.concat_ws(".", "source", "lang").alias("catalog_id"),
         "lang",
         "doc_id",
         "line_no",
         (F.col("doc_id") * 31 + F.col("line_no") * 7).alias("h"),
-        F.substring("line", 1, 80).alias("base"),
+        F.col("line").alias("base"),
     )
     e = dense_ordinal(u, ["catalog_id"], ["doc_id", "line_no"], "seq")
     h = F.col("h")
@@ -49,10 +48,13 @@ def raw_entries(lines: DataFrame) -> DataFrame:
         "seq",
         "h",
         "base",
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ctx"), (F.col("doc_id") % 2).cast("string")))
+        F.when(F.col("doc_id") % 17 == 1, (F.col("doc_id") % 4).cast("string"))
+        .when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ctx"), (F.col("doc_id") % 2).cast("string")))
         .otherwise(F.lit(""))
         .alias("msgctxt"),
         F.when(h % 101 == 0, F.lit(""))
+        .when(h % 97 == 5, (h % 50).cast("string"))
+        .when(h % 97 == 6, F.concat((h % 50).cast("string"), F.lit("\n")))
         .when(line_no % 5 == 1, F.concat(base, F.lit(" %d")))
         .when(line_no % 5 == 2, F.concat(F.lit("<b>"), base, F.lit("</b> {name}")))
         .otherwise(base)
@@ -71,6 +73,8 @@ def raw_entries(lines: DataFrame) -> DataFrame:
         .alias("translator"),
         F.when(h % 11 == 0, F.lit(None).cast("array<string>"))
         .when(h % 7 == 0, F.array().cast("array<string>"))
+        .when(h % 13 == 5, _arr(F.lit("\u0085")))
+        .when(h % 13 == 6, _arr(F.concat(base, F.lit(" \u0085"))))
         .when(h % 7 == 1, _arr(F.lit("")))
         .when(h % 7 == 2, _arr(F.lit("\t\u00a0")))
         .when(h % 7 == 3, _arr(F.lit(""), F.lit("x")))
@@ -87,13 +91,13 @@ ENTRY_COLUMNS = ["catalog_id", "lang", "seq", "h", "base", "msgctxt", "msgid", "
 def dedupe_keys(entries: DataFrame, key: tuple[str, ...] = ("catalog_id", "msgctxt", "msgid")) -> DataFrame:
     """One entry per key; the one latest in the file (largest ``seq``) wins.
 
-    An aggregate (``max_by``) rather than a window: it combines map-side, so a
-    hot key never lands whole in one task.
+    The winners are found on hashed keys and numbers alone (combined map-side, 128
+    bits a key), then the rows are taken by ``(catalog_id, seq)``, which is unique.
     """
-    rest = [c for c in entries.columns if c not in key]
-    return entries.groupBy(*key).agg(F.max_by(F.struct(*rest), "seq").alias("__e")).select(
-        *key, *[F.col("__e")[c].alias(c) for c in rest]
-    ).select(*entries.columns)
+    catalog, *rest = key
+    narrow = entries.select(catalog, F.xxhash64(*rest).alias("__k1"), F.xxhash64(F.lit("key"), *rest).alias("__k2"), "seq")
+    winners = narrow.groupBy(catalog, "__k1", "__k2").agg(F.max("seq").alias("seq")).select(catalog, "seq")
+    return entries.join(winners, on=[catalog, "seq"], how="left_semi").select(*entries.columns)
 
 
 def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

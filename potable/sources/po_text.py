@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from potable.functions.text import js_trim
 from potable.operators.locale import parse_headers, with_language_fields
 from potable.operators.numbering import dense_ordinal
+from potable.operators.select import with_parser_key
+from potable.sources.fixture import dedupe_keys
 
 _SENTINEL = "\u0000"
 
@@ -35,8 +37,8 @@ def unescape(col: Column) -> Column:
     return F.when(F.instr(col, "\\") > 0, s).otherwise(col)
 
 
-_KW = r'^(msgctxt|msgid_plural|msgid|msgstr(?:\[[0-9]+\])?)[ \t]+"(.*)"[ \t]*$'
-_CONT = r'^[ \t]*"(.*)"[ \t]*$'
+_KW = r'(?s)\A(msgctxt|msgid_plural|msgid|msgstr(?:\[[0-9]+\])?)[ \t]*"(.*)"[ \t]*\z'
+_CONT = r'(?s)\A[ \t]*"(.*)"[ \t]*\z'
 _RANK = {"comment": 0, "msgctxt": 1, "msgid": 2, "msgid_plural": 3, "msgstr": 4}
 
 
@@ -273,13 +275,19 @@ def file_order(entries: DataFrame) -> DataFrame:
     return dense_ordinal(entries, ["catalog_id"], ["path", "entry_no"], "seq")
 
 
+def scanned_entries(lines: DataFrame) -> DataFrame:
+    """Numbered lines -> entries as a keyed map gives them: the last of equal keys
+    wins; with the sort key of the parser's order."""
+    return with_parser_key(dedupe_keys(file_order(assemble_entries(classify_line_rows(lines)))))
+
+
 def po_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, catalogs) of every PO file under ``path``.
 
     Entries keep the header row (``msgid ''``); catalogs carry the parsed
     header map and language fields.
     """
-    ents = file_order(assemble_entries(classify_line_rows(read_po_lines(spark, path))))
+    ents = scanned_entries(read_po_lines(spark, path))
     head = ents.where((F.col("msgctxt") == "") & (F.col("msgid") == "")).select(
         "catalog_id", F.coalesce(F.try_element_at("msgstr", F.lit(1)), F.lit("")).alias("header_text")
     )

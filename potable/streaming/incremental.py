@@ -17,11 +17,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from potable.operators import batching
 from potable.operators import select as sel
-from potable.sources.po_text import assemble_entries, classify_line_rows, file_order, number_lines
+from potable.sources.po_text import number_lines, scanned_entries
 
 
 def _requests_of(raw_lines: DataFrame, include_fuzzy: bool) -> DataFrame:
-    entries = file_order(assemble_entries(classify_line_rows(number_lines(raw_lines))))
+    entries = scanned_entries(number_lines(raw_lines))
     work = sel.worklist(entries, include_fuzzy=include_fuzzy)
     return batching.batch_requests(batching.number_batches(work))
 
