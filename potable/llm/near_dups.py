@@ -165,8 +165,11 @@ def sizes_fit(percent: int) -> Column:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest reachable node of each node on an edge (a, b)."""
+    def state(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before = state(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -178,10 +181,10 @@ def components(edges: DataFrame) -> DataFrame:
             low.select("u", F.col("m").alias("v"))
         )
         now = written(small.where("u <> v").distinct(), "edges")
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
+        after = state(now)
+        if after == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
+        before = after
 
 
 def priority_of(column: str) -> Column:
@@ -203,9 +206,6 @@ def near_duplicates(
     classes = written(
         linkable.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "classes"
     )
-    members = linkable.select("doc_id", *fingerprint).join(classes.drop("buckets"), fingerprint).select("doc_id", "rep")
-    links = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-
     exploded = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("buckets").alias("bucket"))
     priority = priority_of("doc_id")
     shared = written(
@@ -243,35 +243,48 @@ def near_duplicates(
         .groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("t")).select("bucket", F.col("t.comp").alias("top"))
     )
     mixed = written(mixed.join(written(top, "largest-parts"), "bucket"), "open-members")
+    # all bucket keys of a member, so that a pair is made in its first common bucket only
+    keys = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "buckets")
+    mixed = mixed.join(keys, ["doc_id", "n_shingles"])
     minor = mixed.where("comp <> top").select(
-        "bucket", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx")
+        "bucket", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx"), F.col("buckets").alias("bx")
     )
     other = mixed.select(
-        "bucket", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("comp").alias("cy"), "top"
-    )
-    ordered = F.sort_array(
-        F.array(F.struct(F.col("x").alias("id"), F.col("nx").alias("n")), F.struct(F.col("y").alias("id"), F.col("ny").alias("n")))
+        "bucket", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("comp").alias("cy"), "top", F.col("buckets").alias("by")
     )
+    common = F.array_intersect("bx", "by")
     rest = (
         minor.join(other, "bucket")
         # a pair of two minor members is met from its smaller side only
         .where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))))
-        .withColumn("p", ordered)
-        .select(F.expr("p[0].id").alias("a"), F.expr("p[0].n").alias("na"), F.expr("p[1].id").alias("b"), F.expr("p[1].n").alias("nb"))
-        .where(sizes_fit(percent))
-        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n")).where("n > 1")
-        .select("a", "b", "na", "nb")
+        .where((F.least("nx", "ny") * 100) >= (F.greatest("nx", "ny") * percent))
+        .where((F.size(common) > 1) & (F.get(common, F.lit(0)) == F.col("bucket")))
+        .select(F.col("x").alias("a"), F.col("nx").alias("na"), F.col("y").alias("b"), F.col("ny").alias("nb"))
     )
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # pairs that a star edge has tested before go, whichever way round
+    tested = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = written(rest.join(tested, ["a", "b"], "left_anti"), "open-pairs")
     more = _confirm(rest, texts, k, percent)
 
-    final = written(components(found.union(more).union(links)), "components")
-    return signed.select("doc_id", "n_shingles").join(
-        final, F.col("doc_id") == F.col("node"), "left"
-    ).select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    # from here on between components: what the open pairs and the rows of one doc_id link
+    labels = classes.select("rep").distinct().join(labels, F.col("rep") == F.col("node"), "left").select(
+        "rep", F.coalesce("component", "rep").alias("first")
+    )
+    labels = written(labels, "first-components")
+    members = linkable.select("doc_id", *fingerprint).join(classes.drop("buckets"), fingerprint).select("doc_id", "rep")
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a <> hi").select("doc_id", "a")
+    one_id = members.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    between = more.union(one_id)
+    for side in ("a", "b"):
+        between = between.join(labels.withColumnRenamed("rep", side), side).withColumn(side, F.col("first")).drop("first")
+    final = components(between.select("a", "b"))
+    labels = labels.join(final, F.col("first") == F.col("node"), "left").select("rep", F.coalesce("component", "first").alias("component"))
+    known = written(classes.drop("buckets").join(labels, "rep").drop("rep"), "class-components")
+
+    rows = signed.select("doc_id", *fingerprint).join(known, fingerprint, "left")
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+        "kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
     )
 
 
