@@ -77,15 +77,16 @@ def split_lines(col: Column | str) -> Column:
     return F.split(_c(col), "\\r?\\n|\\r")
 
 
-# Placeholder grammar the prompt tells the model to keep.
-# printf (%s %d %f %1$s %(name)s and friends), brace variables ({name} {0}),
-# template interpolation (${name}) and HTML/XML tags.
-PLACEHOLDER_PATTERN = (
-    "%(?:[0-9]+\\$)?(?:\\([A-Za-z_][A-Za-z0-9_]*\\))?[-+ #0]*[0-9]*(?:\\.[0-9]+)?[hlLqjzt]*[diouxXeEfFgGcrsaAp%]"
-    "|\\$\\{[^{}]*\\}"
-    "|\\{[A-Za-z0-9_]*\\}"
-    "|</?[A-Za-z][A-Za-z0-9:-]*(?:[ \\t\\n\\r][^<>]*)?/?>"
-)
+# Placeholder grammar, by kind. A conversion with the space flag is
+# left out: "50% discount" is text.
+PLACEHOLDER_KINDS = {
+    "printf conversions, numbered or named ones too":
+        "%(?:[0-9]+\\$)?(?:\\([A-Za-z_][A-Za-z0-9_]*\\))?[-+#0]*[0-9]*(?:\\.[0-9]+)?[hlLqjzt]*[diouxXeEfFgGcrsaAp%]",
+    "interpolations in a dollar sign and braces": "\\$\\{[^{}]*\\}",
+    "names or numbers in braces": "\\{[A-Za-z0-9_]*\\}",
+    "HTML and XML tags": "</?[A-Za-z][A-Za-z0-9:-]*(?:[ \\t\\n\\r][^<>]*)?/?>",
+}
+PLACEHOLDER_PATTERN = "|".join(PLACEHOLDER_KINDS.values())
 
 
 def placeholders(col: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potable.operators.numbering import dense_ordinal
-from potable.operators.select import parser_key
+from potable.operators.select import parser_key, with_parser_key
 from potable.operators.spread import spread_join
 
 # Fixed value: items per model request.
@@ -15,7 +15,7 @@ BATCH_SIZE = 15
 
 def number_batches(work: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """Add ``item_no`` (1-based, per catalog, in parser order), ``batch_no`` and ``pos``."""
-    numbered = dense_ordinal(work, ["catalog_id"], parser_key(), "item_no")
+    numbered = dense_ordinal(with_parser_key(work), ["catalog_id"], parser_key(), "item_no")
     return numbered.withColumn("batch_no", (F.floor((F.col("item_no") - 1) / size) + 1).cast("bigint")).withColumn(
         "pos", ((F.col("item_no") - 1) % size).cast("int")
     )

@@ -87,6 +87,15 @@ LANGUAGES: dict[str, str] = {
     "uk": "east_slavic", "ur": "not_one", "uz": "not_one", "vi": "one", "zh": "one",
 }
 
+# The two-letter codes of ISO 639-1.
+ISO_639_1 = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es "
+    "et eu fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki "
+    "kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no "
+    "nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw ta te "
+    "tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
+
 SAMPLE_SEARCH_MAX = 200
 
 
@@ -218,13 +227,13 @@ def lookup_plural_samples(catalogs: DataFrame, spark: SparkSession | None = None
 
 
 def invalid_source_languages(requested: DataFrame, column: str = "source_lang") -> DataFrame:
-    """Rows whose ``trim().toLowerCase()`` code is not a known language."""
-    dim = language_dim(requested.sparkSession).select(F.col("code").alias("__code"))
-    norm = requested.withColumn("__code", F.lower(js_trim(column)))
-    return norm.join(F.broadcast(dim), on="__code", how="left_anti").drop("__code")
+    """Rows whose ``trim().toLowerCase()`` code is not an ISO 639-1 code (null: not either)."""
+    return requested.where(~_is_language(column))
 
 
 def valid_source_languages(requested: DataFrame, column: str = "source_lang") -> DataFrame:
-    dim = language_dim(requested.sparkSession).select(F.col("code").alias("__code"))
-    norm = requested.withColumn("__code", F.lower(js_trim(column)))
-    return norm.join(F.broadcast(dim), on="__code", how="left_semi").drop("__code")
+    return requested.where(_is_language(column))
+
+
+def _is_language(column: str) -> Column:
+    return F.coalesce(F.lower(js_trim(column)).isin(ISO_639_1), F.lit(False))

@@ -11,41 +11,11 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from potable.functions.text import is_blank
+from potable.functions.text import PLACEHOLDER_KINDS, is_blank
 
 DEFAULT_MODEL = "gpt-5.4"
 DEFAULT_SOURCE_LANGUAGE = "en"
 
-# Own wording of the translation contract the model is held to.
-BASE_SYSTEM_MESSAGE = """You translate gettext PO catalog entries and answer with one JSON object that follows the given response schema.
-
-For every input entry write its translation into "msgstr". Output entries correspond one to one, in the same order, to input entries. Never alter, drop or reorder "msgid", "msgid_plural" or "msgctxt"; only "msgstr" is yours to fill.
-
-Keep every placeholder and every non-linguistic token exactly as written, byte for byte; never translate, edit, move, drop, escape or unescape one. That covers printf conversions (%s, %d, %f, %1$s, %(name)s), brace variables ({name}, {0}, {count}), template interpolation (${name}), ICU/template tokens and HTML/XML tags. Translate only the natural language around them.
-
-The input object holds "formula" (the target plural formula), "target_language", "source_language", the ordered "translations" array and, optionally, "plural_samples": a list of {"plural": form, "sample": count} giving one example count per plural form (1, 2, 5 for Ukrainian).
-
-An entry {"msgid": text} gets a single translated string in "msgstr" and keeps "msgid" unchanged.
-An entry {"msgid_plural": text} gets an array of strings in "msgstr", one per plural form and keeps "msgid_plural" unchanged. With "plural_samples" the array has exactly that many items and item i translates the count plural_samples[i].sample; without it the formula decides the number and order of forms.
-
-Reply with the JSON object only: no markdown, no code fences, no text before or after it. Keep the input order and do not add, drop or rename fields."""
-
-PROJECT_SECTION_HEADER = "\n\nProject-specific instructions (follow them within the rules above):\n\n"
-
-
-def system_message(context: Column | str | None) -> Column:
-    """Base message plus a project section when the context is not blank.
-
-    The blank test trims; the inserted context is not trimmed.
-    """
-    if context is None:
-        return F.lit(BASE_SYSTEM_MESSAGE)
-    c = F.col(context) if isinstance(context, str) else context
-    return F.when(c.isNotNull() & ~is_blank(c), F.concat(F.lit(BASE_SYSTEM_MESSAGE + PROJECT_SECTION_HEADER), c)).otherwise(
-        F.lit(BASE_SYSTEM_MESSAGE)
-    )
-
-
 # The response contract (strict JSON schema). Each translated item
 # is singular (msgid + string msgstr) or plural (msgid_plural + string-array
 # msgstr), each with or without msgctxt; nothing else is allowed.
@@ -102,6 +72,51 @@ RESPONSE_SCHEMA = {
         },
     },
 }
+
+
+def _member_shapes() -> list[str]:
+    """One line per allowed member of the reply, read from the response schema."""
+    kinds = {"string": "string", "array": "list of strings"}
+    shapes = RESPONSE_SCHEMA["schema"]["properties"]["translations"]["items"]["anyOf"]
+    return ["  - " + ", ".join(f"{name} ({kinds[p['type']]})" for name, p in shape["properties"].items()) for shape in shapes]
+
+
+BASE_SYSTEM_MESSAGE = "\n".join([
+    "Fill in a gettext message catalog.",
+    "",
+    "INPUT. One JSON object:",
+    "  - translations: the messages, as members with msgid or msgid_plural, and msgctxt where a message has a context",
+    "  - source_language, target_language: codes of the languages to translate from and into",
+    "  - formula: the Plural-Forms rule of the target language",
+    "  - plural_samples (optional): for each plural form its number and a count that selects it",
+    "",
+    f"OUTPUT. One JSON value that is valid under the schema {RESPONSE_SCHEMA['name']}, and nothing around it.",
+    "Its member k answers input member k; both lists are equally long. A member has exactly the fields of one of these shapes:",
+    *_member_shapes(),
+    "Your text goes into msgstr. All other fields are copies of the input's.",
+    "A list in msgstr holds a text per plural form: one per plural_samples member, in that order and fit for its count,",
+    "or, where plural_samples is missing, the forms that the formula numbers.",
+    "",
+    "CODE INSIDE MESSAGES. These parts reach msgstr character by character as they are:",
+    *[f"  - {name}" for name in PLACEHOLDER_KINDS],
+])
+
+PROJECT_SECTION_HEADER = "\n\nNOTES FROM THE PROJECT. They add to the above and never replace it:\n\n"
+
+
+def system_message(context: Column | str | None) -> Column:
+    """Base message plus a project section when the context is not blank.
+
+    The blank test trims; the inserted context is not trimmed.
+    """
+    if context is None:
+        return F.lit(BASE_SYSTEM_MESSAGE)
+    c = F.col(context) if isinstance(context, str) else context
+    return F.when(c.isNotNull() & ~is_blank(c), F.concat(F.lit(BASE_SYSTEM_MESSAGE + PROJECT_SECTION_HEADER), c)).otherwise(
+        F.lit(BASE_SYSTEM_MESSAGE)
+    )
+
+
 RESPONSE_FORMAT_JSON = json.dumps({"type": "json_schema", "json_schema": RESPONSE_SCHEMA}, separators=(",", ":"))
 
 

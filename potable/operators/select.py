@@ -77,7 +77,9 @@ def nothing_to_do(catalogs: DataFrame, work: DataFrame) -> DataFrame:
 
 
 def with_parser_key(entries: DataFrame) -> DataFrame:
-    """Add ``ctx_first``: where the entry's context is first seen in its catalog."""
+    """Add ``ctx_first``: where the entry's context is first seen in its catalog (unless it is there)."""
+    if "ctx_first" in entries.columns:
+        return entries
     first = entries.groupBy("catalog_id", "msgctxt").agg(F.min("seq").alias("ctx_first"))
     return spread_join(entries, first, ["catalog_id", "msgctxt"], by=["seq"])
 
@@ -95,12 +97,12 @@ def parser_key() -> list[Column]:
 
 def listed(entries: DataFrame) -> DataFrame:
     """Add ``order_no``: position in parser order among these entries of the catalog."""
-    return dense_ordinal(entries, ["catalog_id"], parser_key(), "order_no")
+    return dense_ordinal(with_parser_key(entries), ["catalog_id"], parser_key(), "order_no")
 
 
 def parser_order(entries: DataFrame) -> DataFrame:
     """Position of each entry in the parser's iteration order (``order_no``)."""
-    return listed(entries if "ctx_first" in entries.columns else with_parser_key(entries))
+    return listed(entries)
 
 
 def dry_run(work: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from potable.functions.text import JS_WS_CLASS_RE2 as WS
 from potable.functions.text import PLACEHOLDER_PATTERN
-from potable.operators.locale import LANGUAGES, PLURAL_RULES, SAMPLE_SEARCH_MAX
+from potable.operators.locale import ISO_639_1, LANGUAGES, PLURAL_RULES, SAMPLE_SEARCH_MAX
 from potable.operators.request import BASE_SYSTEM_MESSAGE, DEFAULT_MODEL, PROJECT_SECTION_HEADER
 from potable.operators.attempts import CATEGORY_ADVICE
 from potable.plans.options import JOB_CONFIG
@@ -21,6 +21,9 @@ def _q(s: str | None) -> str:
     return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 
 
+_ISO = ", ".join(f"'{code}'" for code in ISO_639_1)
+
+
 def _langdim() -> str:
     rows = ", ".join(
         f"({_q(code)}, {_q(fam)}, {PLURAL_RULES[fam][0]}, {_q(PLURAL_RULES[fam][1])})" for code, fam in LANGUAGES.items()
@@ -282,7 +285,7 @@ def model(*extra: str) -> str:
 
 _PER_CATALOG_WORK = (
     "(untranslated or (fuzzy and catalog_id in (select catalog_id from opt where include_fuzzy))) "
-    f"and catalog_id in (select catalog_id from opt where lower({jtrim('source_lang')}) in (select code from langdim))"
+    f"and catalog_id in (select catalog_id from opt where lower({jtrim('source_lang')}) in ({_ISO}))"
 )
 
 
@@ -324,7 +327,7 @@ oracle(
 oracle(
     "invalid_source_lang",
     cats(_overrides().strip())
-    + f"select catalog_id, source_lang from ovr where source_lang is not null and lower({jtrim('source_lang')}) not in (select code from langdim)",
+    + f"select catalog_id, source_lang from ovr where source_lang is not null and lower({jtrim('source_lang')}) not in ({_ISO})",
 )
 oracle(
     "resolve_options",
@@ -336,8 +339,8 @@ oracle(
     cats(_overrides().strip())
     + f"""
 select catalog_id, (context is not null and not {blank('context')}) as has_project_section,
-  cast({len(BASE_SYSTEM_MESSAGE)} + case when context is not null and not {blank('context')}
-    then {len(PROJECT_SECTION_HEADER)} + length(context) else 0 end as bigint) as message_length
+  {_q(BASE_SYSTEM_MESSAGE)} || case when context is not null and not {blank('context')}
+    then {_q(PROJECT_SECTION_HEADER)} || context else '' end as message
 from opt""",
 )
 

@@ -14,7 +14,7 @@ from potable.operators.locale import (
     plural_sample_dim,
     samples_text,
 )
-from potable.operators.request import system_message
+from potable.operators.request import PROJECT_SECTION_HEADER, system_message
 from potable.plans.catalog import catalogs, entries, msgstr_text
 from potable.plans.options import catalog_overrides, resolve_options
 from potable.plans.queries import query
@@ -84,8 +84,8 @@ def q_system_message(spark: SparkSession, sf: str) -> DataFrame:
     msg = system_message(F.col("context"))
     return o.select(
         "catalog_id",
-        msg.contains("Project-specific instructions").alias("has_project_section"),
-        F.length(msg).cast("bigint").alias("message_length"),
+        msg.contains(PROJECT_SECTION_HEADER).alias("has_project_section"),
+        msg.alias("message"),
     )
 
 

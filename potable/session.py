@@ -41,8 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (read from the
     session; it is a core setting and cannot be changed at run time). Only when
-    it is absent (local tests) the SparkContext's checkpoint folder is used, or
-    a new scratch folder is made and registered with ``setCheckpointDir``.
+    it is absent the SparkContext's checkpoint folder is used, or, with a local
+    master (tests), a new scratch folder is made and registered with
+    ``setCheckpointDir``. Any other master without a shared folder is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -53,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     app = sc.applicationId
     if app not in _LOCAL_DIRS:
         current = sc.getCheckpointDir()
+        if not current and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not current:
             current = tempfile.mkdtemp(prefix="potable-ckpt-")
             sc.setCheckpointDir(current)

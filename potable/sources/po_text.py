@@ -1,13 +1,13 @@
 """Scan gettext PO files into the entries and catalogs tables.
 
-A multi-file scan job: each file is read whole (a PO file is the natural unit
-and one catalog), split into lines, and every line is classified. Windows over
-the lines of one file carry the current keyword onto continuation lines and
-number the entries: a new entry starts whenever a line belongs to an earlier
-section than the line before it (comments < msgctxt < msgid < msgid_plural <
-msgstr), so entries that follow without a blank line are still split.
+A multi-file scan job: files are read in splits, and every line is numbered and
+classified. Windows over chunks of lines carry the current keyword onto
+continuation lines and number the entries: a new entry starts whenever a line
+belongs to an earlier section than the line before it (comments < msgctxt < msgid <
+msgid_plural < msgstr), so entries that follow without a blank line are still split.
 Entries are then assembled with one ``groupBy(file, entry)`` whose groups hold a
-handful of lines. Obsolete ``#~`` lines are kept apart as opaque text.
+handful of lines. Obsolete ``#~`` blocks are kept apart, with their comments, as
+opaque text. Of equal keys in one catalog the last entry wins.
 """
 
 from __future__ import annotations
@@ -39,61 +39,18 @@ def unescape(col: Column) -> Column:
 
 _KW = r'(?s)\A(msgctxt|msgid_plural|msgid|msgstr(?:\[[0-9]+\])?)[ \t]*"(.*)"[ \t]*\z'
 _CONT = r'(?s)\A[ \t]*"(.*)"[ \t]*\z'
-_RANK = {"comment": 0, "msgctxt": 1, "msgid": 2, "msgid_plural": 3, "msgstr": 4}
+_RANK = {"comment": 0, "msgctxt": 1, "msgid": 2, "msgid_plural": 3, "msgstr": 4, "obsolete": 5}
 
 
-def read_po_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text — one row per file (``wholetext``)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
-    )
-
-
-def catalog_id_of(path: Column) -> Column:
-    """``.../catalog_id=X/...`` (partitioned writes) or the file stem."""
-    part = F.regexp_extract(path, "catalog_id=([^/]+)", 1)
-    stem = F.regexp_extract(path, "([^/]+?)(\\.po)?$", 1)
-    return F.when(part != "", part).otherwise(stem)
-
-
-def classify_lines(files: DataFrame) -> DataFrame:
-    """One row per significant line with section, keyword, piece and entry number.
-
-    Each per-line value is computed once as a column and regexes only run on
-    the lines they apply to (keyword regex on ``msg`` lines, and so on).
-    """
-    lines = files.select(
-        "path", F.posexplode(F.split(F.col("text"), "\r?\n")).alias("line_no", "line")
-    ).withColumn("line_no", F.col("line_no").cast("bigint"))
-    lead = F.regexp_replace("line", "^[ \\t]+", "")
-    lines = lines.withColumn("lead", lead)
-    ld = F.col("lead")
-    kind = (
-        F.when(ld.startswith("#~"), F.lit("obsolete"))
-        .when(ld.startswith("#"), F.lit("comment"))
-        .when(ld.startswith("msg") & ld.rlike(_KW), F.lit("keyword"))
-        .when(ld.startswith('"'), F.lit("cont"))
-        .otherwise(F.lit("other"))
-    )
-    sig = lines.withColumn("kind", kind).where(F.col("kind").isin("comment", "keyword", "cont"))
-    sig = sig.withColumn("kw_here", F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 1)))
-    w = Window.partitionBy("path").orderBy("line_no")
-    keyword = F.when(F.col("kind") == "keyword", F.col("kw_here")).when(F.col("kind") == "comment", F.lit("comment"))
-    sig = sig.withColumn("kw", F.last(keyword, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    section = F.when(F.col("kw").startswith("msgstr"), F.lit("msgstr")).otherwise(F.col("kw"))
-    rank = F.coalesce(*[F.when(section == k, F.lit(v)) for k, v in _RANK.items()])
-    sig = sig.withColumn("rank", rank)
-    prev = F.lag("rank").over(w)
-    start = F.when(prev.isNull() | (F.col("rank") < prev), 1).otherwise(0)
-    sig = sig.withColumn("entry_no", F.sum(start).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    piece = F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 2)).when(
-        F.col("kind") == "cont", F.regexp_extract("lead", _CONT, 1)
-    )
-    is_c = F.col("kind") == "comment"
-    ctype = F.when(is_c, F.substring(ld, 1, 2))
-    ctext = F.when(is_c, js_trim(F.expr("substr(lead, 3)")))
-    ttext = F.when(is_c, js_trim(F.expr("substr(lead, 2)")))
-    return sig.withColumn("piece", piece).withColumn("ctype", ctype).withColumn("ctext", ctext).withColumn("ttext", ttext)
+def catalog_id_of(path: Column, root: str) -> Column:
+    """``.../catalog_id=X/...`` (partitioned writes), or the file's path below ``root``
+    without ``.po`` (``de/LC_MESSAGES/app``); the file stem where ``root`` is the file."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    part = F.regexp_extract(plain, "catalog_id=([^/]+)", 1)
+    base = root.split("://", 1)[-1].rstrip("/") + "/"
+    at = F.instr(plain, base)
+    below = F.when(at > 0, F.substring(plain, at + len(base), 1 << 30)).otherwise(F.substring_index(plain, "/", -1))
+    return F.when(part != "", part).otherwise(F.regexp_replace(below, r"\.po\z", ""))
 
 
 CHUNK_LINES = 100_000
@@ -103,7 +60,7 @@ def read_po_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, line — files read in splits, so one large file is spread
     over many tasks. A line's place in its file is (split start, position in
     the split); the skew-proof ordinal turns that into a line number per file."""
-    raw = spark.read.text(path).select(
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.col("value").alias("line"),
@@ -127,8 +84,9 @@ def _rank_of(kw: Column) -> Column:
 
 
 def classify_line_rows(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """Same output as ``classify_lines`` from numbered line rows, with every
-    window bounded: windows run per chunk of ``chunk_lines`` consecutive lines,
+    """One row per significant line with section, keyword, piece and entry number.
+
+    Regexes only run on the lines they apply to, and every window is bounded: windows run per chunk of ``chunk_lines`` consecutive lines,
     and what a chunk inherits (the last keyword, the entries started before it)
     comes from a small per-chunk table."""
     ld = F.regexp_replace("line", "^[ \\t]+", "")
@@ -141,10 +99,10 @@ def classify_line_rows(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> Data
         .when(lead.startswith('"'), F.lit("cont"))
         .otherwise(F.lit("other"))
     )
-    sig = x.withColumn("kind", kind).where(F.col("kind").isin("comment", "keyword", "cont"))
+    sig = x.withColumn("kind", kind).where(F.col("kind") != "other")
     sig = sig.withColumn(
         "kw_here",
-        F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 1)).when(F.col("kind") == "comment", F.lit("comment")),
+        F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 1)).when(F.col("kind") != "cont", F.col("kind")),
     )
     # carry-in keyword per chunk: last keyword of all earlier chunks
     per_chunk = sig.groupBy("path", "__chunk").agg(
@@ -159,7 +117,9 @@ def classify_line_rows(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> Data
         F.coalesce(F.last("kw_here", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("__carry_kw")),
     ).withColumn("rank", _rank_of(F.col("kw")))
     prev = F.coalesce(F.lag("rank").over(w), _rank_of(F.col("__carry_kw")))
-    sig = sig.withColumn("__start", F.when(prev.isNull() | (F.col("rank") < prev), 1).otherwise(0))
+    # an obsolete block takes the comments before it, but never a live entry's lines
+    fresh = prev.isNull() | (F.col("rank") < prev) | ((F.col("kind") == "obsolete") & prev.between(1, 4))
+    sig = sig.withColumn("__start", F.when(fresh, 1).otherwise(0))
     # entries started in earlier chunks
     starts = sig.groupBy("path", "__chunk").agg(F.sum("__start").alias("__n"))
     before = starts.select(
@@ -186,8 +146,9 @@ def _joined(cond: Column, value: Column, sep: str) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda p: p["v"]), sep))
 
 
-def assemble_entries(lines: DataFrame) -> DataFrame:
-    """Group classified lines into entries (``entry_no`` = number within the file)."""
+def assemble_entries(lines: DataFrame, root: str) -> DataFrame:
+    """Group classified lines into entries (``entry_no`` = number within the file).
+    Groups of obsolete lines, with the comments before them, give no entry."""
     kw = F.col("kw")
     is_str = F.col("kind").isin("keyword", "cont")
     is_c = F.col("kind") == "comment"
@@ -229,7 +190,7 @@ def assemble_entries(lines: DataFrame) -> DataFrame:
         ).otherwise(F.concat(acc, F.array(F.struct(x["k"].alias("k"), x["v"].alias("v"))))),
     )
     return g.where(F.col("msgid_raw").isNotNull()).select(
-        catalog_id_of(F.col("path")).alias("catalog_id"),
+        catalog_id_of(F.col("path"), root).alias("catalog_id"),
         "path",
         F.col("entry_no").cast("bigint").alias("entry_no"),
         F.coalesce(unescape(F.col("msgctxt_raw")), F.lit("")).alias("msgctxt"),
@@ -251,34 +212,28 @@ def assemble_entries(lines: DataFrame) -> DataFrame:
     )
 
 
-def obsolete_lines(files: DataFrame) -> DataFrame:
-    """``#~`` lines as rows (catalog_id, path, line_no, line): opaque text the
-    sink carries to the end of the catalog. One row per line, never gathered."""
-    lines = files.select("path", F.posexplode(F.split(F.col("text"), "\r?\n")).alias("line_no", "line"))
-    return lines.where(F.regexp_replace("line", "^[ \\t]+", "").startswith("#~")).select(
-        catalog_id_of(F.col("path")).alias("catalog_id"), "path", F.col("line_no").cast("bigint").alias("line_no"), "line"
-    )
-
-
 def po_scan_obsolete(spark: SparkSession, path: str) -> DataFrame:
-    """``#~`` lines of every file under ``path`` (split read, numbered per file)."""
-    lines = read_po_lines(spark, path)
-    return lines.where(F.regexp_replace("line", "^[ \\t]+", "").startswith("#~")).select(
-        catalog_id_of(F.col("path")).alias("catalog_id"), "path", "line_no", "line"
+    """``#~`` lines and the comments that belong to them, as opaque rows (catalog_id,
+    path, line_no, line) that the sink carries to the end of the catalog."""
+    lines = classify_line_rows(read_po_lines(spark, path))
+    blocks = lines.where(F.col("kind") == "obsolete").select("path", "entry_no").distinct()
+    return lines.where(F.col("kind").isin("obsolete", "comment")).join(blocks, on=["path", "entry_no"], how="left_semi").select(
+        catalog_id_of(F.col("path"), path).alias("catalog_id"), "path", "line_no", "line"
     )
 
 
 def file_order(entries: DataFrame) -> DataFrame:
     """``seq`` = position of the entry in its catalog: a catalog may be written
-    as several ordered part files, so order by (file path, entry number) with
-    the skew-proof ordinal."""
-    return dense_ordinal(entries, ["catalog_id"], ["path", "entry_no"], "seq")
+    as several ordered part files, so order by (part number, file path, entry
+    number) with the skew-proof ordinal."""
+    part = F.coalesce(F.regexp_extract("path", "/part-([0-9]+)[^/]*\\z", 1).try_cast("bigint"), F.lit(0))
+    return dense_ordinal(entries, ["catalog_id"], [part, F.col("path"), F.col("entry_no")], "seq")
 
 
-def scanned_entries(lines: DataFrame) -> DataFrame:
+def scanned_entries(lines: DataFrame, root: str) -> DataFrame:
     """Numbered lines -> entries as a keyed map gives them: the last of equal keys
     wins; with the sort key of the parser's order."""
-    return with_parser_key(dedupe_keys(file_order(assemble_entries(classify_line_rows(lines)))))
+    return with_parser_key(dedupe_keys(file_order(assemble_entries(classify_line_rows(lines), root))))
 
 
 def po_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +242,7 @@ def po_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Entries keep the header row (``msgid ''``); catalogs carry the parsed
     header map and language fields.
     """
-    ents = scanned_entries(read_po_lines(spark, path))
+    ents = scanned_entries(read_po_lines(spark, path), path)
     head = ents.where((F.col("msgctxt") == "") & (F.col("msgid") == "")).select(
         "catalog_id", F.coalesce(F.try_element_at("msgstr", F.lit(1)), F.lit("")).alias("header_text")
     )

@@ -20,8 +20,8 @@ from potable.operators import select as sel
 from potable.sources.po_text import number_lines, scanned_entries
 
 
-def _requests_of(raw_lines: DataFrame, include_fuzzy: bool) -> DataFrame:
-    entries = scanned_entries(number_lines(raw_lines))
+def _requests_of(raw_lines: DataFrame, in_dir: str, include_fuzzy: bool) -> DataFrame:
+    entries = scanned_entries(number_lines(raw_lines), in_dir)
     work = sel.worklist(entries, include_fuzzy=include_fuzzy)
     return batching.batch_requests(batching.number_batches(work))
 
@@ -33,6 +33,7 @@ def incremental_worklist(
     stream = (
         spark.readStream.format("text")
         .schema(StructType([StructField("value", StringType())]))
+        .option("recursiveFileLookup", "true")
         .load(in_dir)
         .select(
             F.col("_metadata.file_path").alias("path"),
@@ -44,7 +45,7 @@ def incremental_worklist(
     def each(batch: DataFrame, epoch: int) -> None:
         # one folder per micro-batch, overwritten as a whole: a replayed epoch
         # (after a failure) replaces its own output instead of appending twice
-        reqs = _requests_of(batch, include_fuzzy)
+        reqs = _requests_of(batch, in_dir, include_fuzzy)
         reqs.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/epoch={epoch}")
 
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -24,3 +24,12 @@ def test_headers_and_language_fields(spark):
     assert got["c"]["target_language"] == "" and got["c"]["formula"] == ""
     assert got["d"]["headers"]["MIME-Version"] == "1.0" and got["d"]["locale"] == "de_DE"
     assert got["e"]["target_language"] == "fr extra" and got["e"]["locale"] == "fr"
+
+
+def test_source_languages_are_the_iso_codes(spark):
+    from potable.operators.locale import ISO_639_1, invalid_source_languages, valid_source_languages
+
+    assert len(ISO_639_1) == len(set(ISO_639_1)) == 183
+    rows = spark.createDataFrame([(c,) for c in (" CY ", "la", "zu", "fil", "zz", "en-gb", "")], "source_lang string")
+    assert {r[0] for r in valid_source_languages(rows).collect()} == {" CY ", "la", "zu"}
+    assert {r[0] for r in invalid_source_languages(rows).collect()} == {"fil", "zz", "en-gb", ""}

@@ -89,19 +89,20 @@ def test_hot_catalog_written_as_ordered_parts(spark, tmp_path):
 
 
 def test_fold(spark, tmp_path):
-    long = "A long string that should be wrapped when compilePo receives an explicit fold length override for compatibility."
+    # the 76th character falls inside "upstairs", so the cut is behind "goes"
+    long = "Every second lamp in the corridor stays dark until the night porter goes upstairs and turns the old brass key twice."
     ents = spark.createDataFrame([("c", 1, "", long, None, [""], None, None)],
                                  "catalog_id string, seq long, msgctxt string, msgid string, msgid_plural string, msgstr array<string>, flag string, translator string")
     cats = spark.createDataFrame([("c",)], "catalog_id string").withColumn("headers", F.create_map())
     flat = " ".join(r["text"] for r in catalog_blocks(ents, cats).collect())
     assert f'msgid "{long}"' in flat
     folded = " ".join(r["text"] for r in catalog_blocks(ents, cats, fold_length=76).collect())
-    assert 'msgid ""\n"A long string that should be wrapped when compilePo receives an explicit "' in folded
+    assert 'msgid ""\n"Every second lamp in the corridor stays dark until the night porter goes "' in folded
     assert fold_chunks("a\\nb", 76) == ["a\\n", "b"]
     plural = spark.createDataFrame([("c", 1, "", "one", "many", [long, "x"], None, None)],
                                    "catalog_id string, seq long, msgctxt string, msgid string, msgid_plural string, msgstr array<string>, flag string, translator string")
     ptext = " ".join(r["text"] for r in catalog_blocks(plural, cats, fold_length=76).collect())
-    assert 'msgstr[0] ""\n"A long string that should be wrapped when compilePo receives an explicit "' in ptext
+    assert 'msgstr[0] ""\n"Every second lamp in the corridor stays dark until the night porter goes "' in ptext
     assert 'msgstr[1] "x"' in ptext
 
 
@@ -118,10 +119,8 @@ def test_repeated_flag_lines_are_newline_joined(spark, tmp_path):
     assert row["flag"] == "c-format\nfuzzy" and row["z"] is False
 
 
-def test_split_read_matches_whole_file_read_for_any_chunk(spark, tmp_path):
-    from potable.sources.po_text import (
-        assemble_entries, classify_line_rows, classify_lines, read_po_files, read_po_lines,
-    )
+def test_split_read_is_the_same_for_any_chunk(spark, tmp_path):
+    from potable.sources.po_text import assemble_entries, classify_line_rows, read_po_lines
 
     d = tmp_path / "in"
     d.mkdir()
@@ -134,7 +133,48 @@ def test_split_read_matches_whole_file_read_for_any_chunk(spark, tmp_path):
             for r in df.collect()
         )
 
-    whole = key(assemble_entries(classify_lines(read_po_files(spark, str(d)))))
-    for chunk in (1, 2, 3, 100_000):
-        split = key(assemble_entries(classify_line_rows(read_po_lines(spark, str(d)), chunk_lines=chunk)))
-        assert split == whole, chunk
+    found = [key(assemble_entries(classify_line_rows(read_po_lines(spark, str(d)), chunk_lines=c), str(d))) for c in (100_000, 1, 2, 3)]
+    assert [(r[0], r[3]) for r in found[0] if r[0] == "de"] == [("de", "A"), ("de", "C")]
+    assert found[1:] == [found[0]] * 3
+
+
+REAL = """# Copyright holders
+#, fuzzy
+msgid ""
+msgstr "Language: de\\n"
+
+msgid "D"
+msgstr ""
+
+#, fuzzy
+#~ msgid "Old"
+#~ msgstr "Alt"
+
+msgid "Next"
+msgstr "Weiter"
+msgid"a\u2028b"
+msgstr ""
+"x\u0085y"
+#~ msgid "Gone"
+#~ msgstr "Weg"
+msgid "D"
+msgstr "done"
+"""
+
+
+def test_files_as_merge_tools_write_them(spark, tmp_path):
+    d = tmp_path / "in"
+    for lang in ("de", "fr"):
+        (d / lang / "LC_MESSAGES").mkdir(parents=True)
+        (d / lang / "LC_MESSAGES" / "app.po").write_text(REAL, encoding="utf-8")
+    ents, cats = po_scan(spark, str(d))
+    rows = {(r["catalog_id"], r["msgid"]): r for r in ents.collect()}
+    assert {c for c, _ in rows} == {"de/LC_MESSAGES/app", "fr/LC_MESSAGES/app"} and cats.count() == 2
+    one = {m: r for (c, m), r in rows.items() if c.startswith("de")}
+    # the flag belongs to the obsolete block; the last of equal keys wins; separators stay inside strings
+    assert set(one) == {"", "D", "Next", "a\u2028b"}
+    assert one["Next"]["flag"] is None and one["D"]["msgstr"] == ["done"] and one["a\u2028b"]["msgstr"] == ["x\u0085y"]
+    gone = [r["line"] for r in po_scan_obsolete(spark, str(d)).where("catalog_id like 'de%'").orderBy("line_no").collect()]
+    assert gone == ["#, fuzzy", '#~ msgid "Old"', '#~ msgstr "Alt"', '#~ msgid "Gone"', '#~ msgstr "Weg"']
+    text = catalog_blocks(ents, cats).where("catalog_id like 'de%' and h = 0").first()["text"]
+    assert text.startswith("# Copyright holders\n#, fuzzy\nmsgid")

@@ -1,3 +1,5 @@
+import pytest
+
 from potable import session
 
 
@@ -11,6 +13,7 @@ class _Conf:
 
 class _SC:
     applicationId = "app-test-unset"
+    master = "local[2]"
 
     def __init__(self):
         self.dir = None
@@ -43,3 +46,11 @@ def test_checkpoint_dir_unset_makes_local_scratch_without_setting_conf():
     d = session.checkpoint_dir(s)
     assert d and s.sparkContext.dir == d
     assert session.checkpoint_dir(s) == d  # stable within the application
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    s = _Spark(None)
+    s.sparkContext.master = "spark://host:7077"
+    s.sparkContext.applicationId = "app-test-cluster"
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(s)

@@ -41,3 +41,12 @@ def test_placeholders(spark):
     data = [("Hi %s, you have %d items and %(n)s {name} ${x} <b>bold</b> 100%%",)]
     out = _one(spark, F.array_join(placeholders("s"), " "), data, "s string")
     assert out == ["${x} %(n)s %d %s </b> <b> {name}"]
+
+
+def test_only_the_end_of_the_text_ends_a_match(spark):
+    from potable.functions.text import is_blank, is_integer_key, js_trim, placeholders
+
+    row = spark.sql("select '\\u0085' as nel, 'a \\u0085' as tail, '7\\n' as key, '50% discount' as pct").select(
+        is_blank("nel").alias("b"), js_trim("tail").alias("t"), is_integer_key("key").alias("k"), placeholders("pct").alias("p")
+    ).first()
+    assert (row.b, row.t, row.k, row.p) == (False, "a \u0085", False, [])
