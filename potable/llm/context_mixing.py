@@ -57,7 +57,7 @@ SLOTS = sum(1 << b for b in BITS)
 #: slots of one piece of a table on its way to the driver
 PIECE = 1 << 16
 SLICE_BYTES = 2 << 20
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 MOST_HELD = 800_000
 ROUNDS = 3
 BATCH = 1 << 15
