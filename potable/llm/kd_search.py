@@ -120,9 +120,9 @@ class KDTree:
             if not len(at):
                 continue
             q, lf = query[at], leaf[at]
-            new_ids = self.ids[lf]
+            new_ids = np.where(self.ids[lf] == own[q][:, None], NO_ID, self.ids[lf])
             new = np.matmul(self.points[lf], queries[q][:, :, None])[:, :, 0]
-            new = np.where((new_ids == NO_ID) | (new_ids == own[q][:, None]), -np.inf, new)
+            new = np.where(new_ids == NO_ID, -np.inf, new)
             all_scores, all_ids = np.concatenate([scores[q], new], axis=1), np.concatenate([ids[q], new_ids], axis=1)
             best = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
             scores[q], ids[q] = np.take_along_axis(all_scores, best, axis=1), np.take_along_axis(all_ids, best, axis=1)
