@@ -105,13 +105,13 @@ w as (
 )"""
 
 
-def numbered_cte(include_fuzzy: bool | str = False) -> str:
+def numbered_cte(include_fuzzy: bool | str = False, order: str = PORDER) -> str:
     return (
         worklist_cte(include_fuzzy)
         + f""",
 nb as (
   select *, item_no, cast(floor((item_no - 1) / 15) + 1 as bigint) as batch_no, cast((item_no - 1) % 15 as bigint) as pos
-  from (select *, cast(row_number() over (partition by catalog_id order by {PORDER}) as bigint) as item_no from w) z
+  from (select *, cast(row_number() over (partition by catalog_id order by {order}) as bigint) as item_no from w) z
 )"""
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from potable.plans.oracle import blank, jtrim, oracle, untrans, with_entries
+from potable.plans.oracle import blank, jtrim, numbered_cte, oracle, untrans, with_entries
 from potable.plans.oracle_model import CATALOGS, model
 
 oracle(
@@ -18,6 +18,23 @@ select catalog_id, msgctxt, msgid, msgid_plural,
 from d where not (msgctxt = '' and msgid = '')""",
 )
 
+# a file keeps one string of an entry without plural, and its header comes first
+_FILE_WORK = f"case when msgid_plural is null then {blank('msgstr[1]')} else untranslated end"
+_FILE_ORDER = "ctx_int is null, ctx_int, msgctxt <> '', ctx_first, id_int is null, id_int, seq"
+
+oracle(
+    "translate_po_files",
+    model(numbered=numbered_cte(_FILE_WORK, _FILE_ORDER))
+    + f"""
+select catalog_id, msgctxt, msgid, msgid_plural,
+  case when msgid_plural is null then coalesce(new_msgstr[1], '')
+       when len(coalesce(new_msgstr, cast([] as varchar[]))) = 0 then NULL
+       else array_to_string(list_transform(new_msgstr, lambda x: coalesce(x, '')), chr(31)) end as msgstr_text,
+  case when flag is null or flag = '' then NULL else {jtrim('flag')} end as flag,
+  case when new_translator is null or new_translator = '' then NULL else new_translator end as translator
+from mg where not (msgctxt = '' and msgid = '')""",
+)
+
 oracle(
     "po_scan_headers",
     with_entries(CATALOGS.strip())
@@ -47,7 +64,7 @@ oracle(
 oracle(
     "response_log_scan",
     model()
-    + "select catalog_id, batch_no, attempt, cast(status as bigint) as status, content is not null as has_content from lg",
+    + "select catalog_id, batch_no, attempt, cast(status as bigint) as status, md5(content) as content_md5 from lg",
 )
 
 oracle(

@@ -279,8 +279,8 @@ mg as (
 )"""
 
 
-def model(*extra: str) -> str:
-    return with_entries(CATALOGS.strip(), numbered_cte().strip(), REQUESTS.strip(), *extra)
+def model(*extra: str, numbered: str | None = None) -> str:
+    return with_entries(CATALOGS.strip(), (numbered or numbered_cte()).strip(), REQUESTS.strip(), *extra)
 
 
 _PER_CATALOG_WORK = (

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from potable.operators.numbering import materialize
 from potable.plans.catalog import _MEMO, _key, catalogs, entries, msgstr_text
 from potable.plans.queries import query
-from potable.plans.translate import translate
+from potable.plans.translate import LOG_COLUMNS, requests_table, run_attempts, translate, translate_files
+from potable.providers.recorded import recorded_provider
 from potable.session import run_folder
 from potable.sinks.po_compile import catalog_blocks, catalog_stats, write_catalogs
 from potable.sources.po_text import po_scan
@@ -43,6 +44,25 @@ def q_po_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("translate_po_files")
+def q_translate_po_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog files -> scan -> recorded replies -> merge -> new files, scanned again."""
+    k = _key(spark, sf, "translated-files")
+    if k not in _MEMO:
+        folder = compiled_folder(spark, sf)
+        ents, cats = po_scan(spark, folder)
+        ents = materialize(ents, "scanned")
+        log = run_attempts(materialize(requests_table(ents, cats), "requests"))  # what a service answered
+        out = _new_folder(spark, "po-translated")
+        translate_files(spark, folder, out, recorded_provider(log.select(*LOG_COLUMNS)))
+        _MEMO[k] = out  # type: ignore[assignment]
+    back, _ = po_scan(spark, _MEMO[k])  # type: ignore[arg-type]
+    body = back.where(~((F.col("msgctxt") == "") & (F.col("msgid") == "")))
+    return body.select(
+        "catalog_id", "msgctxt", "msgid", "msgid_plural", msgstr_text().alias("msgstr_text"), "flag", "translator"
+    )
+
+
 @query("po_scan_headers")
 def q_po_scan_headers(spark: SparkSession, sf: str) -> DataFrame:
     _, cats = po_scan(spark, compiled_folder(spark, sf))
@@ -94,7 +114,7 @@ def q_response_log_scan(spark: SparkSession, sf: str) -> DataFrame:
     log = response_log_scan(spark, _MEMO[k])  # type: ignore[arg-type]
     return log.select(
         "catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), F.col("status").cast("bigint").alias("status"),
-        F.col("content").isNotNull().alias("has_content"),
+        F.md5("content").alias("content_md5"),
     )
 
 

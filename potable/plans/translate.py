@@ -24,6 +24,8 @@ from potable.operators.request import DEFAULT_MODEL, with_payload
 from potable.operators.spread import spread_join
 from potable.plans.catalog import _key, catalogs, entries
 from potable.providers.pseudo import pseudo_attempts
+from potable.sinks.po_compile import catalog_blocks, write_catalogs
+from potable.sources.po_text import po_scan, po_scan_obsolete
 
 Provider = Callable[[DataFrame, int], DataFrame]
 LOG_COLUMNS = ["catalog_id", "batch_no", "attempt", "status", "code", "message", "content"]
@@ -46,31 +48,33 @@ def catalog_options(spark: SparkSession, sf: str) -> DataFrame:
     return resolve_options(catalog_overrides(spark, sf))
 
 
-def _entries_for(spark: SparkSession, sf: str, opts: Options) -> DataFrame:
-    e = entries(spark, sf)
-    if not opts.per_catalog:
-        return e
-    o = catalog_options(spark, sf).select("catalog_id", "include_fuzzy", "add_fuzzy")
-    return spread_join(e, o, ["catalog_id"], by=["seq"], how="left")
+def with_entry_options(ents: DataFrame, options: DataFrame | None) -> DataFrame:
+    """Entries with their catalog's ``include_fuzzy`` and ``add_fuzzy`` (per-catalog runs only)."""
+    if options is None:
+        return ents
+    own = options.select("catalog_id", "include_fuzzy", "add_fuzzy")
+    return spread_join(ents, own, ["catalog_id"], by=["seq"], how="left")
 
 
-def requests_table(spark: SparkSession, sf: str, opts: Options = Options()) -> DataFrame:
-    """One row per (catalog, batch) with items, language fields, samples and payload."""
-    cats = lookup_plural_samples(catalogs(spark, sf)).select(
-        "catalog_id", "target_language", "formula", "locale", "samples"
-    )
-    inc: bool | str = "include_fuzzy" if opts.per_catalog else opts.include_fuzzy
-    work = sel.worklist(_entries_for(spark, sf, opts), include_fuzzy=inc)
-    if opts.per_catalog:
+def requests_table(ents: DataFrame, cats: DataFrame, opts: Options = Options(), options: DataFrame | None = None) -> DataFrame:
+    """One row per (catalog, batch) with items, language fields, samples and payload.
+
+    ``ents`` and ``cats`` come from any scan; ``options`` (one resolved row per
+    catalog) drives the run where it is given.
+    """
+    cats = lookup_plural_samples(cats).select("catalog_id", "target_language", "formula", "locale", "samples")
+    inc: bool | str = opts.include_fuzzy if options is None else "include_fuzzy"
+    work = sel.worklist(with_entry_options(ents, options), include_fuzzy=inc)
+    if options is not None:
         # a catalog whose source language is not a known code is rejected before
         # any request is built (reported by invalid_source_languages)
-        ok = valid_source_languages(catalog_options(spark, sf), "source_lang").select("catalog_id")
+        ok = valid_source_languages(options, "source_lang").select("catalog_id")
         work = spread_join(work, ok, ["catalog_id"], by=["seq"], how="left_semi")
     # number only what a request item needs
     work = work.select("catalog_id", "seq", "ctx_first", "msgctxt", "msgid", "msgid_plural")
     reqs = spread_join(batching.batch_requests(batching.number_batches(work)), cats, ["catalog_id"], by=["batch_no"])
-    if opts.per_catalog:
-        o = catalog_options(spark, sf).select("catalog_id", "source_lang", "context", "model")
+    if options is not None:
+        o = options.select("catalog_id", "source_lang", "context", "model")
         reqs = spread_join(reqs, o, ["catalog_id"], by=["batch_no"], how="left")
         return with_payload(
             reqs, source_language=F.col("source_lang"), context=F.col("context"),
@@ -134,6 +138,39 @@ def committed_results(requests: DataFrame, log: DataFrame) -> tuple[DataFrame, D
     return outcomes, validate.align_response(validate.parse_replies(with_items))
 
 
+def run_job(
+    ents: DataFrame, cats: DataFrame, opts: Options, provider: Provider, options: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Requests, attempts, outcomes, results and merged entries of one run, by name."""
+    reqs = materialize(requests_table(ents, cats, opts, options), "requests")
+    log = run_attempts(reqs, provider)
+    outcomes, results = committed_results(reqs, log)
+    outcomes, results = materialize(outcomes, "outcomes"), materialize(results, "results")
+    if options is None:
+        merged = merge.apply_translations(ents, results, include_fuzzy=opts.include_fuzzy, add_fuzzy_flag=opts.add_fuzzy)
+    else:
+        merged = merge.apply_translations(
+            with_entry_options(ents, options), results, include_fuzzy="include_fuzzy", add_fuzzy_flag="add_fuzzy"
+        ).drop("include_fuzzy", "add_fuzzy")
+    return {"requests": reqs, "attempts": log, "validated": log, "outcomes": outcomes, "results": results, "merged": merged}
+
+
+def translate_files(
+    spark: SparkSession, in_dir: str, out_dir: str, provider: Provider, opts: Options = Options(), fold_length: int = 0
+) -> dict[str, DataFrame]:
+    """The job on catalog files: scan, translate, merge, and write new versions to ``out_dir``.
+
+    Obsolete blocks and header comments are carried over; the input is never
+    overwritten.
+    """
+    ents, cats = po_scan(spark, in_dir)
+    ents, cats = materialize(ents, "scanned"), materialize(cats, "scanned-catalogs")
+    tables = run_job(ents, cats, opts, provider)
+    blocks = catalog_blocks(tables["merged"], cats, fold_length, po_scan_obsolete(spark, in_dir))
+    write_catalogs(blocks, out_dir)
+    return tables
+
+
 _RUNS: dict[tuple, dict[str, DataFrame]] = {}
 
 
@@ -141,29 +178,8 @@ def translate(spark: SparkSession, sf: str, opts: Options = Options(), provider:
     """Run (or reuse) the whole job for ``sf``; returns its tables by name."""
     k = _key(spark, sf, "translate") + (opts, provider)
     if k not in _RUNS:
-        reqs = requests_table(spark, sf, opts)
-        reqs = materialize(reqs, "requests")
-        log = run_attempts(reqs, provider)
-        validated = log
-        outcomes, results = committed_results(reqs, log)
-        outcomes = materialize(outcomes, "outcomes")
-        results = materialize(results, "results")
-        if opts.per_catalog:
-            merged = merge.apply_translations(
-                _entries_for(spark, sf, opts), results, include_fuzzy="include_fuzzy", add_fuzzy_flag="add_fuzzy"
-            ).drop("include_fuzzy", "add_fuzzy")
-        else:
-            merged = merge.apply_translations(
-                entries(spark, sf), results, include_fuzzy=opts.include_fuzzy, add_fuzzy_flag=opts.add_fuzzy
-            )
-        _RUNS[k] = {
-            "requests": reqs,
-            "attempts": log,
-            "validated": validated,
-            "outcomes": outcomes,
-            "results": results,
-            "merged": merged,
-        }
+        options = catalog_options(spark, sf) if opts.per_catalog else None
+        _RUNS[k] = run_job(entries(spark, sf), catalogs(spark, sf), opts, provider, options)
     return _RUNS[k]
 
 
