@@ -34,12 +34,15 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -345,8 +348,22 @@ def event_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.nda
     return word.view(np.uint64), code, n
 
 
-def fit_tables(counted: DataFrame, tree: Tree) -> list[np.ndarray]:
-    """Slot counts of all contexts, summed in Spark; the driver receives the fixed-size tables in pieces."""
+_TABLES: dict[str, list[np.ndarray]] = {}
+
+
+def table_arrays(key: str, pieces: dict[int, bytes]) -> list[np.ndarray]:
+    """The tables of one model from compressed pieces; a worker process keeps the last model's."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        whole = np.zeros(SLOTS, dtype=np.uint16)
+        for number, data in pieces.items():
+            whole[number * PIECE : (number + 1) * PIECE] = np.frombuffer(zstandard.decompress(data), dtype=np.uint16)
+        _TABLES[key] = np.split(whole, FIRST[1:])
+    return _TABLES[key]
+
+
+def fit_tables(counted: DataFrame, tree: Tree) -> dict[int, bytes]:
+    """Slot counts of all contexts, summed in Spark; the driver receives the fixed-size tables in compressed pieces."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,33 +382,46 @@ def fit_tables(counted: DataFrame, tree: Tree) -> list[np.ndarray]:
         out = np.zeros(PIECE, dtype=np.uint16)
         zeros, ones = (stored(table.column(c).to_numpy()).astype(np.uint16) for c in ("zeros", "ones"))
         out[table.column("slot").to_numpy() % PIECE] = zeros | (ones << np.uint16(8))
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zstandard.compress(out.tobytes())], pa.binary())})
 
     summed = (
         counted.mapInArrow(expand, "slot long, zeros long, ones long")
         .groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
         .withColumn("piece", F.shiftright("slot", 16).cast("int"))
     )
-    whole = np.zeros(SLOTS, dtype=np.uint16)
-    for r in summed.groupBy("piece").applyInArrow(piece, "piece int, data binary").collect():
-        whole[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["data"], dtype=np.uint16)
-    return np.split(whole, FIRST[1:])
+    pieces = summed.groupBy("piece").applyInArrow(piece, "piece int, data binary").collect()
+    return {r["piece"]: bytes(r["data"]) for r in pieces}
+
+
+@dataclass
+class Trained:
+    """A model on its way to the tasks: the tables as one broadcast, the rest by value."""
+
+    key: str
+    tree: Tree
+    pieces: Broadcast
+    weights: np.ndarray
+    refined: np.ndarray
+
+    def model(self) -> Model:
+        return Model(self.tree, table_arrays(self.key, self.pieces.value), self.weights, self.refined)
 
 
-def train(counted: DataFrame) -> Model:
+def train(counted: DataFrame) -> Trained:
     """The model of counted events: tables, rounds of online learning, last table."""
     context = counted.sparkSession.sparkContext
     counts = np.zeros(256, dtype=np.int64)
     for r in counted.groupBy(F.col("code").bitwiseAND(F.lit(255)).alias("b")).agg(F.sum("n").alias("n")).collect():
         counts[r["b"]] = r["n"]
     tree = Tree.of(counts)
-    tables = context.broadcast(fit_tables(counted, tree))
+    key = uuid.uuid4().hex
+    pieces = context.broadcast(fit_tables(counted, tree))
 
     def shares(work) -> np.ndarray:
         """Sum over tasks of arrays of a fixed, small size."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = work(tables.value, batches)
+            out = work(table_arrays(key, pieces.value), batches)
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["k", "data"])
 
         def add(table: pa.Table) -> pa.Table:
@@ -404,9 +434,9 @@ def train(counted: DataFrame) -> Model:
         found = [np.frombuffer(r["data"], dtype=np.float64) for r in some.collect()]
         return np.sum(found, axis=0)
 
-    model = Model(tree, [])
+    weights = Model(tree, []).weights
     for _ in range(ROUNDS):
-        now = model.weights
+        now = weights
 
         def learn(own: list[np.ndarray], batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> np.ndarray:
             local = Model(tree, own, now.copy())
@@ -416,8 +446,7 @@ def train(counted: DataFrame) -> Model:
             return np.concatenate([(local.weights.ravel() * seen), seen])
 
         moved, seen = np.split(shares(learn), 2)
-        model.weights = np.where(seen > 0, moved / np.maximum(seen, 1e-9), now.ravel()).reshape(now.shape)
-    weights = model.weights
+        weights = np.where(seen > 0, moved / np.maximum(seen, 1e-9), now.ravel()).reshape(now.shape)
 
     def tally(own: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         local = Model(tree, own, weights)
@@ -429,10 +458,7 @@ def train(counted: DataFrame) -> Model:
     times, ones = np.split(shares(tally), 2)
     prior = 1 / (1 + np.exp(-(np.arange(CELLS) - (CELLS - 1) / 2) / 2))
     p = (ones + 30 * np.tile(prior, 256)) / (times + 30)
-    model.refined = np.log(p / (1 - p))
-    tables.unpersist()
-    model.tables = tables.value
-    return model
+    return Trained(key, tree, pieces, weights, np.log(p / (1 - p)))
 
 
 # --- scoring --------------------------------------------------------------------
@@ -452,7 +478,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = (row["n"] or 0) + ends
     vocabulary = row["v"] + (ends > 0)
     counted = written(count_events(training), "events")
-    model = spark.sparkContext.broadcast(train(counted))
+    trained = train(counted)
 
     blocks = max(1, -(-total_text_bytes(docs, text_col) // BLOCK_BYTES))
     rows = docs.select(
@@ -469,7 +495,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"block": block, "h": found.view(np.int64)})
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = model.value
+        own = trained.model()
         at = np.argsort(right.column("h").to_numpy())
         known, times = right.column("h").to_numpy()[at], right.column("c").to_numpy()[at]
         out: dict[str, list[np.ndarray]] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
