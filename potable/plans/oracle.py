@@ -66,7 +66,8 @@ e as (
          when h % 8 = 3 then ' Fuzzy ' when h % 8 = 4 then 'fuzzy-ish' when h % 8 = 5 then '' end as flag,
     case when h % 9 = 0 then 'ai-translated' when h % 9 = 1 then 'TODO' || chr(10) || 'ai-translated'
          when h % 9 = 2 then 'note' when h % 9 = 3 then '' end as translator,
-    case when h % 11 = 0 then null when h % 7 = 0 then cast([] as varchar[]) when h % 13 = 5 then list_value(chr(133))
+    case when starts_with(catalog_id, 'src19.') then list_value('t:' || base)
+         when h % 11 = 0 then null when h % 7 = 0 then cast([] as varchar[]) when h % 13 = 5 then list_value(chr(133))
          when h % 13 = 6 then list_value(base || ' ' || chr(133)) when h % 7 = 1 then list_value('')
          when h % 7 = 2 then list_value(chr(9) || chr(160)) when h % 7 = 3 then list_value('', 'x')
          else list_value('t:' || base) end as msgstr

@@ -71,7 +71,9 @@ def raw_entries(lines: DataFrame) -> DataFrame:
         .when(h % 9 == 2, F.lit("note"))
         .when(h % 9 == 3, F.lit(""))
         .alias("translator"),
-        F.when(h % 11 == 0, F.lit(None).cast("array<string>"))
+        # one source is translated throughout, so its catalogs have nothing to do
+        F.when(F.col("catalog_id").startswith("src19."), _arr(F.concat(F.lit("t:"), base)))
+        .when(h % 11 == 0, F.lit(None).cast("array<string>"))
         .when(h % 7 == 0, F.array().cast("array<string>"))
         .when(h % 13 == 5, _arr(F.lit("\u0085")))
         .when(h % 13 == 6, _arr(F.concat(base, F.lit(" \u0085"))))
