@@ -23,8 +23,9 @@ Group columns must be non-null.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from potable.session import run_folder
@@ -49,6 +50,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there completely."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def once(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:
+    """The table at ``path``; made and written only if it isn't there from an earlier try."""
+    if not finished(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def dense_ordinal(
     df: DataFrame,
     groups: list[str],

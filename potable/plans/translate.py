@@ -9,6 +9,7 @@ only the batches whose latest attempt failed with a retryable error.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,11 +20,12 @@ from potable.operators import attempts as att
 from potable.operators import batching, merge, validate
 from potable.operators import select as sel
 from potable.operators.locale import lookup_plural_samples, valid_source_languages
-from potable.operators.numbering import materialize
+from potable.operators.numbering import materialize, once
 from potable.operators.request import DEFAULT_MODEL, with_payload
 from potable.operators.spread import spread_join
 from potable.plans.catalog import _key, catalogs, entries
 from potable.providers.pseudo import pseudo_attempts
+from potable.session import run_folder
 from potable.sinks.po_compile import catalog_blocks, write_catalogs
 from potable.sources.po_text import po_scan, po_scan_obsolete
 
@@ -88,27 +90,31 @@ def requests_table(ents: DataFrame, cats: DataFrame, opts: Options = Options(),
 VERDICT_COLUMNS = ["error_code", "error_pos", "retryable"]
 
 
-def _verdicts(requests: DataFrame, raw: DataFrame, label: str) -> DataFrame:
-    """Validate a written reply table and write the log with its verdicts.
+def _checked(requests: DataFrame, raw: DataFrame) -> DataFrame:
+    """The log of a written reply table with its verdicts.
 
-    Reading verdicts back from a table keeps later filters from re-inlining the
-    whole validation expression."""
+    Callers write it, as reading verdicts back from a table keeps later filters
+    from re-inlining the whole validation expression."""
     checked = validate.validate(requests.join(raw, on=["catalog_id", "batch_no"], how="inner"))
-    return materialize(checked.select(*LOG_COLUMNS, *VERDICT_COLUMNS), label)
+    return checked.select(*LOG_COLUMNS, *VERDICT_COLUMNS)
 
 
-def run_attempts(requests: DataFrame, provider: Provider = pseudo_attempts, label: str = "attempts") -> DataFrame:
+def run_attempts(requests: DataFrame, provider: Provider = pseudo_attempts, run_id: str | None = None) -> DataFrame:
     """Retry rounds: attempt 1 for every request, then only retryable failures.
 
     Each round first writes the raw replies (a paid call happens once even if
     later stages are recomputed), then the validated log. Returns the
-    append-only attempt log of all rounds with verdict columns.
+    append-only attempt log of all rounds with verdict columns. The tables are named
+    by run and round: a run that is started again under its ``run_id`` reads the
+    rounds it has finished and sends only what is missing.
     """
+    spark = requests.sparkSession
+    folder = run_folder(spark, f"run-{run_id or uuid.uuid4().hex}")
     pending = requests
     rounds: list[DataFrame] = []
     for k in range(1, att.MAX_ATTEMPTS + 1):
-        raw = materialize(provider(pending, k).select(*LOG_COLUMNS), f"{label}-raw{k}")
-        log = _verdicts(requests, raw, f"{label}-round{k}")
+        raw = once(spark, lambda: provider(pending, k).select(*LOG_COLUMNS), f"{folder}/replies-{k}")  # noqa: B023
+        log = once(spark, lambda: _checked(requests, raw), f"{folder}/round-{k}")  # noqa: B023
         rounds.append(log)
         if k == att.MAX_ATTEMPTS:
             break
@@ -139,11 +145,16 @@ def committed_results(requests: DataFrame, log: DataFrame) -> tuple[DataFrame, D
 
 
 def run_job(
-    ents: DataFrame, cats: DataFrame, opts: Options, provider: Provider, options: DataFrame | None = None
+    ents: DataFrame, cats: DataFrame, opts: Options, provider: Provider, options: DataFrame | None = None, run_id: str | None = None
 ) -> dict[str, DataFrame]:
-    """Requests, attempts, outcomes, results and merged entries of one run, by name."""
-    reqs = materialize(requests_table(ents, cats, opts, options), "requests")
-    log = run_attempts(reqs, provider)
+    """Requests, attempts, outcomes, results and merged entries of one run, by name.
+
+    With a ``run_id``, requests and finished rounds of an earlier try are used again.
+    """
+    spark = ents.sparkSession
+    run_id = run_id or uuid.uuid4().hex
+    reqs = once(spark, lambda: requests_table(ents, cats, opts, options), run_folder(spark, f"run-{run_id}") + "/requests")
+    log = run_attempts(reqs, provider, run_id)
     outcomes, results = committed_results(reqs, log)
     outcomes, results = materialize(outcomes, "outcomes"), materialize(results, "results")
     if options is None:
@@ -156,16 +167,17 @@ def run_job(
 
 
 def translate_files(
-    spark: SparkSession, in_dir: str, out_dir: str, provider: Provider, opts: Options = Options(), fold_length: int = 0
+    spark: SparkSession, in_dir: str, out_dir: str, provider: Provider, opts: Options = Options(), fold_length: int = 0,
+    run_id: str | None = None,
 ) -> dict[str, DataFrame]:
     """The job on catalog files: scan, translate, merge, and write new versions to ``out_dir``.
 
     Obsolete blocks and header comments are carried over; the input is never
-    overwritten.
+    overwritten. Started again under its ``run_id``, it sends no request twice.
     """
     ents, cats = po_scan(spark, in_dir)
     ents, cats = materialize(ents, "scanned"), materialize(cats, "scanned-catalogs")
-    tables = run_job(ents, cats, opts, provider)
+    tables = run_job(ents, cats, opts, provider, run_id=run_id)
     blocks = catalog_blocks(tables["merged"], cats, fold_length, po_scan_obsolete(spark, in_dir))
     write_catalogs(blocks, out_dir)
     return tables
@@ -194,7 +206,7 @@ def full_attempt_matrix(spark: SparkSession, sf: str, opts: Options = Options())
             one = pseudo_attempts(reqs, a).select(*LOG_COLUMNS)
             log = one if log is None else log.unionByName(one)
         raw = materialize(log, "attempt-matrix-raw")
-        _RUNS[k] = {"validated": _verdicts(reqs, raw, "attempt-matrix"), "raw": raw}
+        _RUNS[k] = {"validated": materialize(_checked(reqs, raw), "attempt-matrix"), "raw": raw}
     return _RUNS[k]["validated"]
 
 

@@ -28,9 +28,63 @@ def test_recorded_provider_replays_log(spark):
     assert [r[0] for r in missing] == [599]
 
 
+def _checked(spark, log):
+    return validate(_requests(spark).join(log, on=["catalog_id", "batch_no"]))
+
+
 def test_live_provider_runs_the_call_on_executors(spark):
     def call(model, system, payload):
         return 200, None, None, '{"translations":[{"msgid":"Hello","msgstr":"Привіт"}]}'
 
-    out = validate(live_provider(call)(_requests(spark), 1)).select("error_code", F.col("attempt")).collect()
+    out = _checked(spark, live_provider(call)(_requests(spark), 1)).select("error_code", F.col("attempt")).collect()
     assert [(r[0], r[1]) for r in out] == [("OK", 1), ("OK", 1)]
+
+
+def test_live_provider_keeps_replies_beside_a_failed_call_and_waits(spark, tmp_path):
+    waits = str(tmp_path / "waits")
+
+    def call(model, system, payload):
+        if model == "bad":
+            raise TimeoutError("no answer")
+        return 200, None, None, "{}"
+
+    def wait(seconds):
+        with open(waits, "a") as f:
+            f.write(f"{seconds}\n")
+
+    asked = _requests(spark).withColumn("model", F.when(F.col("batch_no") == 2, "bad").otherwise("m")).coalesce(1)
+    got = live_provider(call, wait)(asked, 3).orderBy("batch_no").collect()
+    assert [(r["status"], r["code"], r["message"], r["content"]) for r in got] == [
+        (200, None, None, "{}"), (598, "TimeoutError", "no answer", None)]
+    assert open(waits).read() == "2.0\n"
+
+
+def test_a_restarted_run_sends_nothing_twice(spark):
+    import uuid
+
+    import pytest
+
+    from potable.plans.translate import run_attempts
+
+    sent, down = [], [True]
+
+    def provider(requests, attempt):
+        if attempt == 3 and down:
+            down.clear()
+            raise RuntimeError("the driver went down")
+        sent.append(attempt)
+        status = F.when(F.col("batch_no") == 1, 200).otherwise(429 if attempt < 4 else 200).cast("int")
+        ok = F.lit('{"translations":[{"msgid":"Hello","msgstr":"x"}]}')
+        return requests.select(
+            "catalog_id", "batch_no", F.lit(attempt).cast("int").alias("attempt"), status.alias("status"),
+            F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("message"),
+            F.when(status == 200, ok).alias("content"))
+
+    run = uuid.uuid4().hex
+    with pytest.raises(RuntimeError):
+        run_attempts(_requests(spark), provider, run_id=run)
+    log = run_attempts(_requests(spark), provider, run_id=run)
+    assert sent == [1, 2, 3, 4]
+    again = run_attempts(_requests(spark), provider, run_id=run)
+    assert sent == [1, 2, 3, 4] and sorted((r["batch_no"], r["attempt"]) for r in again.collect()) == [(1, 1), (2, 1), (2, 2), (2, 3), (2, 4)]
+    assert log.count() == 5
