@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from potable.llm.common import ship, total_text_bytes, written
 from potable.llm.kneser_ney import stream, windows
 from potable.llm.shingles import row_slices, word_hashes, words_of
+from potable.llm.workers import over_batches, over_group, over_pair
 
 ORDERS = (1, 2, 3, 4, 5)
 CONTEXTS = len(ORDERS) + 1
@@ -126,6 +127,7 @@ def event_keys(word: np.ndarray, code: np.ndarray) -> np.ndarray:
 def count_events(docs: DataFrame) -> DataFrame:
     """(tail, word, code, n) of a text column; ``tail`` (the last two context bytes) keeps contexts together."""
 
+    @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
         for batch in batches:
@@ -161,6 +163,7 @@ def event_rows(held: tuple[np.ndarray, ...]) -> pa.RecordBatch:
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, c): occurrences of each word by its 64-bit hash."""
 
+    @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in row_slices(batch.column(0), 4 * SLICE_BYTES):
@@ -365,6 +368,7 @@ def table_arrays(key: str, pieces: dict[int, bytes]) -> list[np.ndarray]:
 def fit_tables(counted: DataFrame, tree: Tree) -> dict[int, bytes]:
     """Slot counts of all contexts, summed in Spark; the driver receives the fixed-size tables in compressed pieces."""
 
+    @over_batches
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, code, n = event_columns(batch)
@@ -378,6 +382,7 @@ def fit_tables(counted: DataFrame, tree: Tree) -> dict[int, bytes]:
                     ["slot", "zeros", "ones"],
                 )
 
+    @over_pair
     def piece(key: tuple, table: pa.Table) -> pa.Table:
         out = np.zeros(PIECE, dtype=np.uint16)
         zeros, ones = (stored(table.column(c).to_numpy()).astype(np.uint16) for c in ("zeros", "ones"))
@@ -420,10 +425,12 @@ def train(counted: DataFrame) -> Trained:
     def shares(work) -> np.ndarray:
         """Sum over tasks of arrays of a fixed, small size."""
 
+        @over_batches
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = work(table_arrays(key, pieces.value), batches)
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["k", "data"])
 
+        @over_group
         def add(table: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(b, dtype=np.float64) for b in table.column("data").to_pylist())
             return pa.table({"k": pa.array([0], pa.int32()), "data": pa.array([total.tobytes()], pa.binary())})
@@ -486,6 +493,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         doc_id.alias("doc_id"), held_out.alias("held_out"), text.alias("text"),
     ).repartition(blocks, "block")
 
+    @over_group
     def distinct(table: pa.Table) -> pa.Table:
         found = np.zeros(0, dtype=np.uint64)
         for chunk in table.column("text").chunks:
@@ -494,6 +502,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         block = np.full(len(found), table.column("block")[0].as_py(), dtype=np.int32)
         return pa.table({"block": block, "h": found.view(np.int64)})
 
+    @over_pair
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         own = trained.model()
         at = np.argsort(right.column("h").to_numpy())

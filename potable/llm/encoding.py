@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from potable.llm.common import ship
 from potable.llm.shingles import row_slices
 from potable.llm.word_tokens import word_tokens
+from potable.llm.workers import over_batches
 
 OUT_BYTES = 8 << 20
 #: stands for a null id in files and orders
@@ -38,6 +39,7 @@ def encoded(
     ship(docs.sparkSession)
     width = id_width(tokenizer_path)
 
+    @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer_path)
         for batch in batches:

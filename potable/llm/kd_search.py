@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from potable.llm.common import ship, written
+from potable.llm.workers import over_pair
 
 SHARD_ROWS = 4096
 BLOCK_ROWS = 2048
@@ -206,6 +207,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     blocks = max(1, -(-queries.count() // BLOCK_ROWS))
     spot = F.struct("shard", "block")
 
+    @over_pair
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         return search_shard(left, right, k)
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potable.llm.shingles import row_slices
+from potable.llm.workers import over_batches
 
 #: start and end mark; white space inside a stream is always a blank
 MARK = "\n"
@@ -72,6 +73,7 @@ def count_grams(docs: DataFrame, order: int) -> DataFrame:
     Sums are made inside each task first.
     """
 
+    @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pd.Series(dtype=np.int64)
         for batch in batches:

@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from potable.llm.common import ship, written
 from potable.llm.shingles import shingle_sets
+from potable.llm.workers import over_batches
 
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,6 +98,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, f1, f2, buckets): size, fingerprint and bucket keys of each document's set."""
     bins = bands * rows
 
+    @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in shingle_sets(batch.column(1), k):
@@ -120,6 +122,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, shingles): sorted 64-bit shingle hashes as bytes."""
 
+    @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in shingle_sets(batch.column(1), k):
@@ -144,6 +147,7 @@ def common_counts(left: pa.Array, right: pa.Array) -> pa.Array:
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) whose full sets reach the similarity."""
 
+    @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common = common_counts(batch.column("sa"), batch.column("sb"))

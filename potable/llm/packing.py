@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from potable.llm.common import total_text_bytes
 from potable.llm.encoding import encoded, id_width, ids_of
+from potable.llm.workers import over_pair
 
 GROUP_BYTES = 8 << 20
 
@@ -162,6 +163,7 @@ def pack_documents(
     groups = max(1, -(-total_text_bytes(docs, text_col) // GROUP_BYTES))
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.col("tie"), F.octet_length("ids")), F.lit(groups)).cast("int")
 
+    @over_pair
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         group = key[0].as_py()
         table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending")])

@@ -37,6 +37,7 @@ from potable.llm.common import ship, written
 from potable.llm.kneser_ney import SYMBOLS, count_grams, discounts, grams, shorter
 from potable.llm.quality_classifier import spread_join
 from potable.llm.shingles import rolling, row_slices, word_hashes, words_of
+from potable.llm.workers import over_batches
 
 ORDER = 5
 #: a prime, so that remainders spread; bounds the arrays of an order at 8.4 million entries
@@ -157,6 +158,7 @@ def quality_rules(
     )
     model = spark.sparkContext.broadcast(build_model(texts))
 
+    @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = model.value
         for batch in batches:

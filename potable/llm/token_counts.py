@@ -39,6 +39,7 @@ from potable.llm.shingles import row_slices
 from potable.llm.word_tokens import (
     DIGIT, LETTER, SPACE, WordTokens, binary_list, byte_letters, pretoken_array, text_slices,
 )
+from potable.llm.workers import over_batches
 
 # splitter states
 NONE, WORD, RUN, QUOTE, Q_R, Q_V, Q_L, DONE = range(8)
@@ -260,6 +261,7 @@ def token_counts(
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text."""
 
+    @over_batches
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(tokenizer_path)
         for batch in batches:

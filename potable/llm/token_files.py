@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from potable.llm.common import scratch_path, ship, total_text_bytes
 from potable.llm.encoding import NULL_ID, encoded, id_width, ids_of
+from potable.llm.workers import over_batches
 
 MAGIC = b"PFR1"
 HEAD = struct.Struct("<4sIIIQ")
@@ -175,6 +176,7 @@ def write_token_files(
         row = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), quantiles, 100 * files).alias("q")).first()
         bounds = sorted(set(row["q"] or []))
 
+    @over_batches
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, number, before, held = None, 0, 0, 0
         names: list[int | None] = []
@@ -221,6 +223,7 @@ def read_token_files(spark, path: str) -> DataFrame:
     for f in sorted(sums):
         before[f], total = total, total + sums[f]
 
+    @over_batches
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
