@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from potable.plans.oracle import blank, jtrim, numbered_cte, oracle, untrans, with_entries
-from potable.plans.oracle_model import CATALOGS, model
+from potable.plans.oracle_model import CATALOGS, model, per_catalog_model
 
 oracle(
     "po_scan",
@@ -56,9 +56,14 @@ from catl c left join (select catalog_id, count(*) as n_msgid, count_if(msgctxt
   from d where not (msgctxt = '' and msgid = '') group by catalog_id) n using (catalog_id)""",
 )
 
+_COMMITTED = """
+select '{run}' as run_id, 'result' as kind, catalog_id, batch_no, cast(pos as bigint) as n, array_to_string(rmsgstr, chr(31)) as value from res
+union all
+select '{run}', 'attempt', catalog_id, batch_no, cast(attempt as bigint), cast(status as varchar) from lg"""
+
 oracle(
     "commit_results",
-    model() + "select catalog_id, batch_no, cast(pos as bigint) as pos, array_to_string(rmsgstr, chr(31)) as msgstr_text from res",
+    f"select * from ({model()} {_COMMITTED.format(run='run-1')}) union all select * from ({per_catalog_model()} {_COMMITTED.format(run='run-2')})",
 )
 
 oracle(

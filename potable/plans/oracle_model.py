@@ -516,9 +516,13 @@ select catalog_id, seq, case when flag is null or length(flag) = 0 then flag whe
 from tk""".replace("\n, tk as", ", tk as", 1),
 )
 
+def per_catalog_model() -> str:
+    return with_entries(CATALOGS.strip(), _overrides().strip(), numbered_cte(_PER_CATALOG_WORK).strip(), REQUESTS.strip())
+
+
 oracle(
     "translate_catalog_options",
-    with_entries(CATALOGS.strip(), _overrides().strip(), numbered_cte(_PER_CATALOG_WORK).strip(), REQUESTS.strip())
+    per_catalog_model()
     + f"""
 , m1 as (select mg.*, o.include_fuzzy as o_inc, o.add_fuzzy as o_add from mg left join opt o using (catalog_id)),
 m2 as (select *, case when translated_now and o_inc then {_clear('flag')} else flag end as flag1 from m1),

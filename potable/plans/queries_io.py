@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from potable.operators.numbering import materialize
 from potable.plans.catalog import _MEMO, _key, catalogs, entries, msgstr_text
 from potable.plans.queries import query
-from potable.plans.translate import LOG_COLUMNS, requests_table, run_attempts, translate, translate_files
+from potable.plans.translate import LOG_COLUMNS, Options, commit_run, requests_table, run_attempts, translate, translate_files
 from potable.providers.recorded import recorded_provider
 from potable.session import run_folder
 from potable.sinks.po_compile import catalog_blocks, catalog_stats, write_catalogs
@@ -85,22 +85,20 @@ def q_po_compile_folded(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("commit_results")
 def q_commit_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Committed results kept per run (partitioned by run id), read back.
-
-    Dynamic partition overwrite: re-running a run replaces only its own
-    partition, so a retried commit never duplicates results and earlier runs
-    stay untouched."""
+    """Results and attempts of two runs (job-wide and per-catalog options), kept by run id and read back."""
     k = _key(spark, sf, "commit-results")
     if k not in _MEMO:
-        out = _new_folder(spark, "results")
-        r = translate(spark, sf)["results"].withColumn("run_id", F.lit("run-1"))
-        for _ in range(2):  # the second write stands for a retried commit
-            r.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(out)
-        _MEMO[k] = spark.read.parquet(out)
-    back = _MEMO[k]
-    return back.select(
-        "catalog_id", "batch_no", F.col("pos").cast("bigint").alias("pos"), msgstr_text().alias("msgstr_text")
-    )
+        out = _new_folder(spark, "committed")
+        commit_run(translate(spark, sf), out, "run-1")
+        commit_run(translate(spark, sf, Options(per_catalog=True)), out, "run-2")
+        _MEMO[k] = out  # type: ignore[assignment]
+    results, attempts = (spark.read.parquet(f"{_MEMO[k]}/{name}") for name in ("results", "attempts"))
+    return results.select(
+        "run_id", F.lit("result").alias("kind"), "catalog_id", "batch_no", F.col("pos").cast("bigint").alias("n"), msgstr_text().alias("value")
+    ).unionByName(attempts.select(
+        "run_id", F.lit("attempt").alias("kind"), "catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("n"),
+        F.col("status").cast("string").alias("value"),
+    ))
 
 
 @query("response_log_scan")

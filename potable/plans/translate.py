@@ -183,6 +183,19 @@ def translate_files(
     return tables
 
 
+def commit_run(tables: dict[str, DataFrame], out_dir: str, run_id: str) -> None:
+    """Keep a run's results and attempts, a partition per run id.
+
+    Dynamic partition overwrite: committing a run again replaces its own partition
+    only, so nothing doubles and earlier runs stay untouched.
+    """
+    for name in ("results", "attempts"):
+        (
+            tables[name].withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{out_dir.rstrip('/')}/{name}")
+        )
+
+
 _RUNS: dict[tuple, dict[str, DataFrame]] = {}
 
 
