@@ -4,7 +4,7 @@
 mark. Each byte is a path of binary choices in one Huffman tree over all 256 byte
 values, so the probabilities of all texts sum to one.
 
-*Predictors.* Six contexts predict a choice: the last 1 to 5 bytes, and the word so
+*Predictors.* Five contexts predict a choice: the last 2 to 5 bytes, and the word so
 far. Context and tree node are hashed to one of the slots of that context's table,
 which holds how often each side was taken. The tables' size is fixed (``BITS``, 67 MB),
 whatever the input.
@@ -18,7 +18,7 @@ counts, so the mixer sees what it would see on new text. A last adaptive table m
 (node, log odds) to observed frequencies and is averaged in.
 
 *On Spark.* Equal events (word so far, five bytes, next byte) of all training texts
-are counted inside tasks, then by one shuffle; tables, weights and the last table are
+are counted inside tasks, then by one shuffle of packed arrays; tables, weights and the last table are
 made from those counted events. For scoring, texts are dealt to blocks by a hash;
 every block evaluates each of its distinct events once. The unigram base needs each
 word's count: distinct words of a block (64-bit hashes) are joined with the counts
@@ -51,19 +51,22 @@ from potable.llm.kneser_ney import stream, windows
 from potable.llm.shingles import row_slices, word_hashes, words_of
 from potable.llm.workers import over_batches, over_group, over_pair
 
-ORDERS = (1, 2, 3, 4, 5)
+ORDERS = (2, 3, 4, 5)
 CONTEXTS = len(ORDERS) + 1
 WIDTH = max(ORDERS) + 1
 #: slots of each context's table, as a power of two (the word so far has the most contexts)
-BITS = (16, 22, 22, 22, 22, 24)
+BITS = (22, 22, 22, 22, 24)
 FIRST = [sum(1 << b for b in BITS[:j]) for j in range(CONTEXTS)]
 SLOTS = sum(1 << b for b in BITS)
 #: slots of one piece of a table on its way to the driver
 PIECE = 1 << 16
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 20
 BLOCK_BYTES = 16 << 20
-MOST_HELD = 800_000
-ROUNDS = 3
+#: text bytes for each bucket of counted events
+BUCKET_BYTES = 4 << 20
+#: entries a counting task holds before it merges them or passes them on
+MOST_HELD = 2_000_000
+ROUNDS = 2
 BATCH = 1 << 15
 STEP = 0.2
 #: counts up to this are kept exactly, larger ones on a logarithmic scale (one byte each)
@@ -124,27 +127,71 @@ def event_keys(word: np.ndarray, code: np.ndarray) -> np.ndarray:
 # --- counting -----------------------------------------------------------------
 
 
-def count_events(docs: DataFrame) -> DataFrame:
-    """(tail, word, code, n) of a text column; ``tail`` (the last two context bytes) keeps contexts together."""
+def count_events(docs: DataFrame, buckets: int) -> DataFrame:
+    """Occurrences of each event of a text column, as rows of packed arrays (bucket, word, code, n).
+
+    A bucket holds the events of a share of the contexts (by a hash of their last
+    three bytes); tasks sum their own events, and each bucket's sums are merged while
+    they stream by, at most ``MOST_HELD`` entries at a time.
+    """
 
     @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
+        held = Held()
         for batch in batches:
             for _, part in row_slices(batch.column(0), SLICE_BYTES):
                 word, code, _ = events(part)
-                new = merged(event_keys(word, code), word, code, np.ones(len(code), dtype=np.int64))
-                held = new if held is None else merged(*(np.concatenate(x) for x in zip(held, new, strict=True)))
-                if len(held[0]) > MOST_HELD:
-                    yield event_rows(held)
-                    held = None
-        if held is not None and len(held[0]):
-            yield event_rows(held)
-
-    tail = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    rows = docs.mapInArrow(run, "word long, code long, n long").withColumn("tail", tail)
+                if held.add(merged(event_keys(word, code), word, code, np.ones(len(code), dtype=np.int64))):
+                    yield bucket_rows(held.take(), buckets)
+        if held.parts:
+            yield bucket_rows(held.take(), buckets)
+
+    @over_batches
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = -1, Held()
+        for batch in batches:
+            for b, (word, code, n) in zip(batch.column("bucket").to_pylist(), packed_events(batch), strict=True):
+                if b != bucket and held.parts:
+                    yield packed_rows([bucket], [held.take()])
+                bucket = b
+                if held.add((event_keys(word, code), word, code, n)):
+                    yield packed_rows([bucket], [held.take()])
+        if held.parts:
+            yield packed_rows([bucket], [held.take()])
+
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "tail").groupBy("tail", "word", "code").agg(F.sum("n").alias("n"))
+    dealt = docs.mapInArrow(run, PACKED).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(merge, PACKED)
+
+
+PACKED = "bucket int, word binary, code binary, n binary"
+
+
+class Held:
+    """Sums of equal events so far; ``add`` tells when they should be passed on."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, part: tuple[np.ndarray, ...]) -> bool:
+        self.parts.append(part)
+        self.size += len(part[0])
+        if self.size <= MOST_HELD:
+            return False
+        self.parts = [self.merge()]
+        self.size = len(self.parts[0][0])
+        return self.size > MOST_HELD // 2
+
+    def merge(self) -> tuple[np.ndarray, ...]:
+        if len(self.parts) == 1:
+            return self.parts[0]
+        return merged(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        out = self.merge()
+        self.parts, self.size = [], 0
+        return out
 
 
 def merged(key: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -155,23 +202,44 @@ def merged(key: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -
     return found, word[first], code[first], total
 
 
-def event_rows(held: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    _, word, code, n = held
-    return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(code), pa.array(n)], ["word", "code", "n"])
+def packed_rows(buckets: list[int], parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    arrays = [pa.array([p[i].tobytes() for p in parts], pa.binary()) for i in (1, 2, 3)]
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *arrays], ["bucket", "word", "code", "n"])
+
+
+def bucket_rows(part: tuple[np.ndarray, ...], buckets: int) -> pa.RecordBatch:
+    bucket = (mixed(((part[2].astype(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFFFF)) * _A) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    ends = [*starts[1:], len(order)]
+    return packed_rows(found.tolist(), [tuple(x[order[a:b]] for x in part) for a, b in zip(starts, ends, strict=True)])
+
+
+def packed_events(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for word, code, n in zip(*(batch.column(c).to_pylist() for c in ("word", "code", "n")), strict=True):
+        yield np.frombuffer(word, np.uint64), np.frombuffer(code, np.int64), np.frombuffer(n, np.int64)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(h, c): occurrences of each word by its 64-bit hash."""
+    """(h, c): occurrences of each word by its 64-bit hash, summed in the task first."""
 
     @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
+
+        def rows() -> pa.RecordBatch:
+            _, h, _, n = held.take()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "c"])
+
         for batch in batches:
-            for _, part in row_slices(batch.column(0), 4 * SLICE_BYTES):
+            for _, part in row_slices(batch.column(0), 2 * SLICE_BYTES):
                 words, _ = words_of(part)
                 hashes, codes, _ = word_hashes(words)
-                if len(hashes):
-                    n = np.bincount(codes, minlength=len(hashes)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["h", "c"])
+                n = np.bincount(codes, minlength=len(hashes)).astype(np.int64)
+                if held.add((hashes, hashes, hashes, n)):
+                    yield rows()
+        if held.parts:
+            yield rows()
 
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -346,11 +414,6 @@ class Model:
         return sums[first[1:]] - sums[first[:-1]], np.diff(first)
 
 
-def event_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    word, code, n = (batch.column(c).to_numpy() for c in ("word", "code", "n"))
-    return word.view(np.uint64), code, n
-
-
 _TABLES: dict[str, list[np.ndarray]] = {}
 
 
@@ -371,31 +434,53 @@ def fit_tables(counted: DataFrame, tree: Tree) -> dict[int, bytes]:
     @over_batches
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, code, n = event_columns(batch)
-            row, node, bit = tree.choices(code)
-            for j, h in enumerate(context_hashes(word, code)):
-                group, found = pd.factorize(slots(j, h[row], node))
-                ones = np.bincount(group, weights=n[row] * bit, minlength=len(found))
-                both = np.bincount(group, weights=n[row], minlength=len(found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found + FIRST[j]), pa.array((both - ones).astype(np.int64)), pa.array(ones.astype(np.int64))],
-                    ["slot", "zeros", "ones"],
-                )
+            for word, code, n in packed_events(batch):
+                row, node, bit = tree.choices(code)
+                times = n[row].astype(np.float64)
+                for j, h in enumerate(context_hashes(word, code)):
+                    group, found = pd.factorize(slots(j, h[row], node))
+                    ones = np.bincount(group, weights=times * bit, minlength=len(found))
+                    both = np.bincount(group, weights=times, minlength=len(found))
+                    yield slot_rows(found + FIRST[j], both - ones, ones)
 
-    @over_pair
-    def piece(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(PIECE, dtype=np.uint16)
-        zeros, ones = (stored(table.column(c).to_numpy()).astype(np.uint16) for c in ("zeros", "ones"))
-        out[table.column("slot").to_numpy() % PIECE] = zeros | (ones << np.uint16(8))
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([zstandard.compress(out.tobytes())], pa.binary())})
-
-    summed = (
-        counted.mapInArrow(expand, "slot long, zeros long, ones long")
-        .groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-        .withColumn("piece", F.shiftright("slot", 16).cast("int"))
-    )
-    pieces = summed.groupBy("piece").applyInArrow(piece, "piece int, data binary").collect()
-    return {r["piece"]: bytes(r["data"]) for r in pieces}
+    @over_batches
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, sums = -1, np.zeros((2, PIECE))
+
+        def row() -> pa.RecordBatch:
+            zeros, ones = (stored(x).astype(np.uint16) for x in sums)
+            data = zstandard.compress((zeros | (ones << np.uint16(8))).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([data], pa.binary())], ["piece", "data"])
+
+        for batch in batches:
+            for number, data in zip(batch.column("piece").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if number != piece and piece >= 0:
+                    yield row()
+                    sums[:] = 0
+                piece = number
+                part = np.frombuffer(data, dtype=SLOT)
+                sums[0, part["at"]] += part["zeros"]
+                sums[1, part["at"]] += part["ones"]
+        if piece >= 0:
+            yield row()
+
+    parts = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.mapInArrow(expand, "piece int, data binary").repartition(parts, "piece").sortWithinPartitions("piece")
+    return {r["piece"]: bytes(r["data"]) for r in dealt.mapInArrow(total, "piece int, data binary").collect()}
+
+
+#: a slot's counts on their way (more than a stored count can tell apart)
+SLOT = np.dtype([("at", "<u2"), ("zeros", "<u4"), ("ones", "<u4")])
+
+
+def slot_rows(slot: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(slot)
+    rows = np.empty(len(slot), dtype=SLOT)
+    rows["at"] = slot[order] % PIECE
+    rows["zeros"], rows["ones"] = (np.minimum(x[order], 4e9) for x in (zeros, ones))
+    piece, starts = np.unique(slot[order] // PIECE, return_index=True)
+    data = [rows[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(data, pa.binary())], ["piece", "data"])
 
 
 @dataclass
@@ -415,19 +500,13 @@ class Trained:
 def train(counted: DataFrame) -> Trained:
     """The model of counted events: tables, rounds of online learning, last table."""
     context = counted.sparkSession.sparkContext
-    counts = np.zeros(256, dtype=np.int64)
-    for r in counted.groupBy(F.col("code").bitwiseAND(F.lit(255)).alias("b")).agg(F.sum("n").alias("n")).collect():
-        counts[r["b"]] = r["n"]
-    tree = Tree.of(counts)
-    key = uuid.uuid4().hex
-    pieces = context.broadcast(fit_tables(counted, tree))
 
     def shares(work) -> np.ndarray:
         """Sum over tasks of arrays of a fixed, small size."""
 
         @over_batches
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = work(table_arrays(key, pieces.value), batches)
+            out = work(part for batch in batches for part in packed_events(batch))
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["k", "data"])
 
         @over_group
@@ -439,30 +518,42 @@ def train(counted: DataFrame) -> Trained:
         # sums of sums: a task adds at most some dozens of arrays at either step
         some = parts.withColumn("k", (F.rand(1) * 64).cast("int")).groupBy("k").applyInArrow(add, "k int, data binary")
         found = [np.frombuffer(r["data"], dtype=np.float64) for r in some.collect()]
-        return np.sum(found, axis=0)
+        return np.sum(found, axis=0) if found else np.zeros(0)
 
+    def bytes_seen(parts: Iterator) -> np.ndarray:
+        out = np.zeros(256)
+        for _, code, n in parts:
+            out += np.bincount(code & 255, weights=n, minlength=256)
+        return out
+
+    counts = shares(bytes_seen)
+    tree = Tree.of(counts if len(counts) else np.zeros(256))
+    key = uuid.uuid4().hex
+    pieces = context.broadcast(fit_tables(counted, tree))
     weights = Model(tree, []).weights
     for _ in range(ROUNDS):
         now = weights
 
-        def learn(own: list[np.ndarray], batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> np.ndarray:
-            local = Model(tree, own, now.copy())
+        def learn(parts: Iterator, now: np.ndarray = now) -> np.ndarray:
+            local = Model(tree, table_arrays(key, pieces.value), now.copy())
             seen = np.zeros(now.size)
-            for batch in batches:
-                seen += local.learn(*event_columns(batch))
+            for word, code, n in parts:
+                seen += local.learn(word, code, n)
             return np.concatenate([(local.weights.ravel() * seen), seen])
 
-        moved, seen = np.split(shares(learn), 2)
+        found = shares(learn)
+        moved, seen = np.split(found if len(found) else np.zeros(2 * now.size), 2)
         weights = np.where(seen > 0, moved / np.maximum(seen, 1e-9), now.ravel()).reshape(now.shape)
 
-    def tally(own: list[np.ndarray], batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        local = Model(tree, own, weights)
+    def tally(parts: Iterator) -> np.ndarray:
+        local = Model(tree, table_arrays(key, pieces.value), weights)
         out = np.zeros((2, 256 * CELLS))
-        for batch in batches:
-            out += local.tally(*event_columns(batch))
+        for word, code, n in parts:
+            out += local.tally(word, code, n)
         return out.ravel()
 
-    times, ones = np.split(shares(tally), 2)
+    found = shares(tally)
+    times, ones = np.split(found if len(found) else np.zeros(2 * 256 * CELLS), 2)
     prior = 1 / (1 + np.exp(-(np.arange(CELLS) - (CELLS - 1) / 2) / 2))
     p = (ones + 30 * np.tile(prior, 256)) / (times + 30)
     return Trained(key, tree, pieces, weights, np.log(p / (1 - p)))
@@ -484,7 +575,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total = (row["n"] or 0) + ends
     vocabulary = row["v"] + (ends > 0)
-    counted = written(count_events(training), "events")
+    counted = written(count_events(training, max(64, total_text_bytes(docs, text_col) // BUCKET_BYTES)), "events")
     trained = train(counted)
 
     blocks = max(1, -(-total_text_bytes(docs, text_col) // BLOCK_BYTES))
