@@ -497,6 +497,25 @@ class Trained:
         return Model(self.tree, table_arrays(self.key, self.pieces.value), self.weights, self.refined)
 
 
+def shuffled(parts: Iterator) -> Iterator[tuple[np.ndarray, ...]]:
+    """Events of many buckets in a seeded random order (a bucket's contexts are alike)."""
+    held, size = [], 0
+
+    def mixed_up() -> tuple[np.ndarray, ...]:
+        whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+        order = np.random.default_rng(size).permutation(size)
+        return tuple(x[order] for x in whole)
+
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= MOST_HELD // 2:
+            yield mixed_up()
+            held, size = [], 0
+    if held:
+        yield mixed_up()
+
+
 def train(counted: DataFrame) -> Trained:
     """The model of counted events: tables, rounds of online learning, last table."""
     context = counted.sparkSession.sparkContext
@@ -537,7 +556,7 @@ def train(counted: DataFrame) -> Trained:
         def learn(parts: Iterator, now: np.ndarray = now) -> np.ndarray:
             local = Model(tree, table_arrays(key, pieces.value), now.copy())
             seen = np.zeros(now.size)
-            for word, code, n in parts:
+            for word, code, n in shuffled(parts):
                 seen += local.learn(word, code, n)
             return np.concatenate([(local.weights.ravel() * seen), seen])
 
