@@ -41,5 +41,5 @@ def test_replayed_epoch_is_idempotent(spark, tmp_path):
     (src / "uk.po").write_text(PO.format(lang="uk"), encoding="utf-8")
     raw = spark.read.text(str(src)).selectExpr("_metadata.file_path as path", "_metadata.file_block_start as __block", "value as line")
     for _ in range(2):
-        _requests_of(raw, False).write.mode("overwrite").parquet(f"{out}/epoch=0")
+        _requests_of(raw, str(src), False).write.mode("overwrite").parquet(f"{out}/epoch=0")
     assert spark.read.parquet(str(out)).count() == 1
