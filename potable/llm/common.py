@@ -37,7 +37,7 @@ def ship(spark: SparkSession) -> None:
     Whole texts make wide rows, so an unchanged Arrow batch size is lowered.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

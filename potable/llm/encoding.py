@@ -14,7 +14,7 @@ from potable.llm.shingles import row_slices
 from potable.llm.word_tokens import word_tokens
 from potable.llm.workers import over_batches
 
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 #: stands for a null id in files and orders
 NULL_ID = -(1 << 63)
 

@@ -137,7 +137,7 @@ def binary_list(array: pa.Array) -> list[bytes]:
 
 class WordTokens:
     #: distinct pre-tokens whose ids are kept (about 200 bytes each)
-    CACHE = 250_000
+    CACHE = 120_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
