@@ -60,12 +60,12 @@ FIRST = [sum(1 << b for b in BITS[:j]) for j in range(CONTEXTS)]
 SLOTS = sum(1 << b for b in BITS)
 #: slots of one piece of a table on its way to the driver
 PIECE = 1 << 16
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 #: text bytes for each bucket of counted events
 BUCKET_BYTES = 4 << 20
 #: entries a counting task holds before it merges them or passes them on
-MOST_HELD = 2_000_000
+MOST_HELD = 1_000_000
 ROUNDS = 2
 BATCH = 1 << 15
 STEP = 0.2
