@@ -30,7 +30,7 @@ def _without(docs: DataFrame, verdicts: DataFrame, label: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents outside their language's perplexity quantiles go."""
-    verdicts = classify_quality(docs.select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+    verdicts = classify_quality(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"))
     return _without(docs, verdicts.select("doc_id", "kept"), "rejected")
 
 

@@ -1,10 +1,10 @@
 """Quality rules with perplexity bands.
 
-Model: byte n-grams of all documents are counted in Spark, continuation counts of
-the lower orders follow by aggregation, and contexts are hashed to ``CONTEXTS``
-values an order. So an order has at most ``CONTEXTS * 256`` entries whatever the
-input (8 bytes each); they are kept as one sorted array of hashes and one of
-discounted estimates, which every task searches by bisection.
+Model: byte 5-grams of all documents are counted in Spark, continuation counts of
+the lower orders follow by aggregation. Grams and contexts are kept whole, as
+integers of their bytes; estimates come from joins sharded by gram and by context,
+and no model is ever held in one place. Documents are dealt to blocks, and each
+block's distinct grams meet the estimates in a join (as in ``quality_classifier``).
 
 Verdict: documents that fail the base rules (fewer than 20 words, or over 30 % of
 the words in repeated 8-word windows) are out. Of the others, those whose
@@ -17,13 +17,12 @@ quality loses next to nothing. A short text's mean is first pulled towards its l
 Defined results: a null or empty text has no words, fails the base rules, and its
 end mark alone is scored; a null language is a language of its own; repeated rows
 count as often as they occur and get equal verdicts; an empty table gives an
-empty result; only id, text and language are read. 8-word windows are compared by
+empty result; only id, text, language and source are read. 8-word windows are compared by
 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,13 +34,10 @@ from pyspark.sql import functions as F
 
 from potable.llm.common import ship, written
 from potable.llm.kneser_ney import SYMBOLS, count_grams, discounts, grams, shorter
-from potable.llm.quality_classifier import spread_join
-from potable.llm.shingles import rolling, row_slices, word_hashes, words_of
-from potable.llm.workers import over_batches
+from potable.llm.quality_classifier import estimates, perplexities, spread_join
+from potable.llm.shingles import rolling, word_hashes, words_of
 
 ORDER = 5
-#: a prime, so that remainders spread; bounds the arrays of an order at 8.4 million entries
-CONTEXTS = 32749
 PRIOR = 200
 BELOW = 3.5
 ABOVE = 2.5
@@ -54,52 +50,34 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 @dataclass
 class OrderArrays:
-    keys: np.ndarray  # sorted: context hash * 256 + last byte
-    estimate: np.ndarray  # discounted share of each key
-    gamma: np.ndarray  # by context hash: what is left for the lower order
+    """One order of a model that is held in one place; the exact form that the joins are tested against."""
 
-
-def hashed(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context hash, key) of the order-``k`` end of each gram."""
-    low = gram & ((1 << (8 * k)) - 1)
-    context = (low >> 8) % CONTEXTS
-    return context, context * SYMBOLS + (low & 255)
+    keys: np.ndarray  # sorted grams
+    estimate: np.ndarray  # discounted share of each gram
+    contexts: np.ndarray  # sorted
+    gamma: np.ndarray  # by context: what is left for the lower order
 
 
 def order_arrays(keys: np.ndarray, n: np.ndarray) -> OrderArrays:
     at = np.argsort(keys)
     keys, n = keys[at], n[at].astype(np.float64)
     d = np.array([0.0, *discounts([int((n == i).sum()) for i in range(1, 5)])])[np.minimum(n, 3).astype(int)]
-    context = keys // SYMBOLS
-    total = np.bincount(context, weights=n, minlength=CONTEXTS)
-    freed = np.bincount(context, weights=d, minlength=CONTEXTS)
-    gamma = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
-    return OrderArrays(keys.astype(np.uint32), ((n - d) / total[context]).astype(np.float32), gamma.astype(np.float32))
-
-
-def build_model(docs: DataFrame, order: int = ORDER) -> list[OrderArrays]:
-    """Arrays per order from 1; the driver receives at most ``CONTEXTS * 256`` sums an order."""
-    table = written(count_grams(docs.select("text", F.lit(True)), order), f"rules-grams-{order}")
-    model: list[OrderArrays] = []
-    for k in range(order, 0, -1):
-        context = F.shiftright("gram", 8) % F.lit(CONTEXTS)
-        sums = (
-            table.select((context * SYMBOLS + F.col("gram").bitwiseAND(F.lit(255))).alias("key"), "n")
-            .groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-        )
-        model.append(order_arrays(sums.column("key").to_numpy().astype(np.int64), sums.column("n").to_numpy()))
-        if k > 1:
-            table = written(shorter(table, k - 1), f"rules-grams-{k - 1}")
-    return model[::-1]
+    contexts, context = np.unique(keys // SYMBOLS, return_inverse=True)
+    total = np.bincount(context, weights=n)
+    return OrderArrays(keys, (n - d) / total[context], contexts, np.bincount(context, weights=d) / total)
+
+
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], otherwise)
 
 
 def log_probabilities(gram: np.ndarray, model: list[OrderArrays]) -> np.ndarray:
     p = np.full(len(gram), 1.0 / SYMBOLS)
     for k, arrays in enumerate(model, start=1):
-        context, key = hashed(gram, k)
-        at = np.minimum(np.searchsorted(arrays.keys, key.astype(np.uint32)), max(len(arrays.keys) - 1, 0))
-        known = arrays.keys[at] == key if len(arrays.keys) else np.zeros(len(gram), dtype=bool)
-        p = np.where(known, arrays.estimate[at] if len(arrays.keys) else 0.0, 0.0) + arrays.gamma[context] * p
+        key = gram & ((1 << (8 * k)) - 1)
+        gamma = looked_up(arrays.contexts, arrays.gamma, key >> 8, 1.0)
+        p = looked_up(arrays.keys, arrays.estimate, key, 0.0) + gamma * p
     return np.log(p)
 
 
@@ -147,36 +125,16 @@ FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    least_words: int = 20, most_repeated_percent: int = 30,
+    least_words: int = 20, most_repeated_percent: int = 30, source_col: str = "source",
 ) -> DataFrame:
     """(doc_id, counts, base_failed, n_bytes, perplexity, lower, upper, kept), a row per document row."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    ship(docs.sparkSession)
+    table = written(count_grams(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(True)), ORDER), "rules-grams")
+    # every gram of every document was counted, so no document needs an unseen gram's estimate
+    scores = estimates(table, ORDER)[-1][0].select("gram", F.log("p").alias("lp"))
+    scored = written(
+        perplexities(docs, scores, ORDER, id_col, text_col, lang_col, source_col, base_features, FEATURES), "rules-documents"
     )
-    model = spark.sparkContext.broadcast(build_model(texts))
-
-    @over_batches
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = model.value
-        for batch in batches:
-            for at, part in row_slices(batch.column(2)):
-                part = pa.concat_arrays([part])
-                features = base_features(part)
-                gram, first = grams(part, len(arrays))
-                code, found = pd.factorize(gram)
-                lp = per_text(log_probabilities(found, arrays)[code], first)
-                rows = batch.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), *(pa.array(features[f].astype(np.int64)) for f in FEATURES),
-                     pa.array(np.diff(first)), pa.array(lp)],
-                    ["doc_id", "lang", *FEATURES, "n", "lp"],
-                )
-
-    counts = ", ".join(f"{f} long" for f in FEATURES)
-    scored = written(texts.mapInArrow(run, f"doc_id long, lang string, {counts}, n long, lp double"), "rules-documents")
     means = scored.groupBy("lang").agg((F.sum("lp") / F.sum("n")).alias("mean"))
     surprise = -(F.col("lp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
     pulled = written(spread_join(scored, means).withColumn("surprise", surprise), "rules-surprise")

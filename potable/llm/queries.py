@@ -64,7 +64,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify_quality(documents(spark, sf_dir).select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+    return classify_quality(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), read_table(spark, sf_dir, "labels"))
 
 
 @query
@@ -84,4 +84,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))

@@ -119,3 +119,23 @@ def test_quality_classifier(spark, docs_of, corpus):
     without = classify_quality(docs_of(corpus), labels.limit(0)).collect()
     assert all(r.kept and r.perplexity is None for r in without) and len(without) == len(corpus)
     assert classify_quality(docs_of([]), labels).count() == 0
+
+
+def _exact_model(texts, order):
+    table = Counter(g for t in texts for g in grams(pa.array([t or ""]), order)[0].tolist())
+    model = []
+    for k in range(order, 0, -1):
+        model.append(order_arrays(np.array(list(table)), np.array(list(table.values()))))
+        table = Counter(g & ((1 << (8 * (k - 1))) - 1) for g in table)
+    return model[::-1]
+
+
+def test_rules_tell_all_contexts_apart(docs_of):
+    """Texts of many scripts have far more contexts than a small table of hashes holds."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(map(chr, rng.integers(0x900 + 0x80 * (i % 9), 0x980 + 0x80 * (i % 9), 6))) for _ in range(40)) for i in range(60)]
+    model = _exact_model(texts, 5)
+    lp = [log_probabilities(grams(pa.array([t]), 5)[0], model) for t in texts]
+    got = {r.doc_id: r for r in quality_rules(docs_of([(i, t, str(i), "a") for i, t in enumerate(texts)])).collect()}
+    # a language of one document is pulled towards its own mean
+    assert all(abs(math.log(got[i].perplexity) + x.mean()) < 1e-9 and got[i].n_bytes == len(x) for i, x in enumerate(lp))
