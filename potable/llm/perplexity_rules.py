@@ -8,11 +8,12 @@ block's distinct grams meet the estimates in a join (as in ``quality_classifier`
 
 Verdict: documents that fail the base rules (fewer than 20 words, or over 30 % of
 the words in repeated 8-word windows) are out. Of the others, those whose
-perplexity leaves its language's band are out. The band reaches ``BELOW``
-interquartile ranges of the logarithm below the first quartile of all documents of
-that language, and ``ABOVE`` such ranges above the third, so a language of even
-quality loses next to nothing. A short text's mean is first pulled towards its language's mean by
-``PRIOR`` bytes.
+perplexity leaves its language's band are out. The band is laid around the bulk of
+the language's documents that pass the base rules (``bands.bulk``: distinct contents,
+tempered by source): ``BELOW`` half lengths of the shortest half below its mean and
+``ABOVE`` above it, which on a bell curve are 5.4 and 4 deviations. So neither copies
+nor junk of less than half of the weight move it past the junk. A short text's mean
+is first pulled towards the bulk's mean by ``PRIOR`` bytes.
 
 Defined results: a null or empty text has no words, fails the base rules, and its
 end mark alone is scored; a null language is a language of its own; repeated rows
@@ -32,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from potable.llm.bands import bulk
 from potable.llm.common import ship, written
 from potable.llm.kneser_ney import SYMBOLS, count_grams, discounts, grams, shorter
 from potable.llm.quality_classifier import estimates, perplexities, spread_join
@@ -39,8 +41,9 @@ from potable.llm.shingles import rolling, word_hashes, words_of
 
 ORDER = 5
 PRIOR = 200
-BELOW = 3.5
-ABOVE = 2.5
+#: in half lengths of the bulk's shortest half
+BELOW = 8
+ABOVE = 6
 WINDOW = 8
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -135,18 +138,26 @@ def quality_rules(
     scored = written(
         perplexities(docs, scores, ORDER, id_col, text_col, lang_col, source_col, base_features, FEATURES), "rules-documents"
     )
-    means = scored.groupBy("lang").agg((F.sum("lp") / F.sum("n")).alias("mean"))
-    surprise = -(F.col("lp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
-    pulled = written(spread_join(scored, means).withColumn("surprise", surprise), "rules-surprise")
-    bands = pulled.groupBy("lang").agg(F.percentile_approx("surprise", [0.25, 0.75], 10_000).alias("q")).select(
-        "lang", (F.col("q")[0] - BELOW * (F.col("q")[1] - F.col("q")[0])).alias("lo"),
-        (F.col("q")[1] + ABOVE * (F.col("q")[1] - F.col("q")[0])).alias("hi"),
-    )
     failed = (F.col("n_words") < least_words) | (
         100 * F.col("n_repeat_words") > most_repeated_percent * F.col("n_words")
     )
+    scored = scored.withColumn("failed", failed).withColumn("raw", -F.col("lp") / F.col("n"))
+    passing = scored.where("not failed")
+    # a language without a passing document has its mean and no band
+    means = scored.groupBy("lang").agg((-F.sum("lp") / F.sum("n")).alias("mean"))
+    typical = bulk(passing, "raw").select(F.col("lang").alias("l"), "center")
+    centers = means.join(typical, F.col("lang").eqNullSafe(F.col("l")), "left").select(
+        "lang", F.coalesce("center", "mean").alias("target")
+    )
+    surprise = (-F.col("lp") + PRIOR * F.col("target")) / (F.col("n") + PRIOR)
+    pulled = written(spread_join(scored, centers).withColumn("surprise", surprise).drop("target"), "rules-surprise")
+    found = bulk(pulled.where("not failed"), "surprise").withColumnRenamed("lang", "l")
+    bands = means.select("lang").join(found, F.col("lang").eqNullSafe(F.col("l")), "left").select(
+        "lang", (F.col("center") - BELOW * F.col("half")).alias("lo"), (F.col("center") + ABOVE * F.col("half")).alias("hi"),
+    )
+    inside = F.coalesce(F.col("surprise").between(F.col("lo"), F.col("hi")), F.lit(False))
     return spread_join(pulled, bands).select(
-        "doc_id", *FEATURES, failed.alias("base_failed"), F.col("n").alias("n_bytes"),
+        "doc_id", *FEATURES, F.col("failed").alias("base_failed"), F.col("n").alias("n_bytes"),
         F.exp("surprise").alias("perplexity"), F.exp("lo").alias("lower"), F.exp("hi").alias("upper"),
-        (~failed & F.col("surprise").between(F.col("lo"), F.col("hi"))).alias("kept"),
+        (~F.col("failed") & inside).alias("kept"),
     )

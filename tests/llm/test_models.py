@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -139,3 +140,14 @@ def test_rules_tell_all_contexts_apart(docs_of):
     got = {r.doc_id: r for r in quality_rules(docs_of([(i, t, str(i), "a") for i, t in enumerate(texts)])).collect()}
     # a language of one document is pulled towards its own mean
     assert all(abs(math.log(got[i].perplexity) + x.mean()) < 1e-9 and got[i].n_bytes == len(x) for i, x in enumerate(lp))
+
+
+def test_band_rejects_well_formed_garble_of_a_hot_source(docs_of):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    clean = [(i, _prose(rng, 60 + i % 50), "en", f"s{i % 3}") for i in range(200)]
+    garbled = [(500 + i, " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(80)), "en", "hot") for i in range(100)]
+    got = {r.doc_id: r for r in quality_rules(docs_of(clean + garbled)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[i].kept for i, *_ in garbled)
+    assert sum(got[i].kept for i, *_ in clean) >= 199
