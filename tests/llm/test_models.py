@@ -151,3 +151,18 @@ def test_band_rejects_well_formed_garble_of_a_hot_source(docs_of):
     assert not any(r.base_failed for r in got.values())
     assert not any(got[i].kept for i, *_ in garbled)
     assert sum(got[i].kept for i, *_ in clean) >= 199
+
+
+def test_labels_choose_both_sides_and_rare_languages_stay(spark, docs_of):
+    rng = random.Random(12)
+    other = "der alte fluss fließt langsam vorbei an steinernen häusern während menschen abends nach hause gehen".split()
+    clean = [(i, _prose(rng, 60 + i % 50), "en", f"s{i % 3}") for i in range(240)]
+    rare = [(1000 + i, " ".join(rng.choices(other, k=60 + i)), "de", "r") for i in range(30)]
+    repeats = [(500 + i, " ".join([rng.choice(["slowly", "houses", "people", "narrow"])] * (80 + i)), "en", "t") for i in range(40)]
+    labels = [(i, 1, 0) for i in range(200)] + [(500 + i, 0, 0) for i in range(20)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in classify_quality(docs_of(clean + rare + repeats), labels).collect()}
+    # templated junk is no surprise to the model, and half of it has no label
+    assert sum(not got[i].kept for i, *_ in repeats) >= 30
+    assert sum(got[i].kept for i, *_ in clean) >= 239
+    assert all(got[i].kept for i, *_ in rare)
