@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from itertools import permutations
+
 LLM_ORACLE: dict[str, str] = {}
 
 _WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -71,3 +73,78 @@ s as (
   where q.vec_id % 50 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
+
+
+_ORDERS = ", ".join(
+    f"('{''.join(order)}', {step + 1}, {1 << 'ABCDE'.index(letter)}, {sum(1 << 'ABCDE'.index(x) for x in order[:step])})"
+    for order in permutations("ABCDE")
+    for step, letter in enumerate(order)
+)
+
+LLM_ORACLE["op12_filter_audit"] = rf"""
+with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+             length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as capitals,
+             min(doc_id) over (partition by text) as holder from t),
+m as (select doc_id, part,
+        case when len(words) < 100 then 1 else 0 end
+        + case when 100 * len(list_distinct(words)) < 80 * len(words) then 2 else 0 end
+        + case when 100 * capitals > 10 * length(text) then 4 else 0 end
+        + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end
+        + case when coalesce(doc_id > holder, false) then 16 else 0 end as mask from w),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+      from labels group by doc_id),
+c as (select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+      from m left join l using (doc_id) group by part, mask),
+o(filter_order, step, bit, before) as (values {_ORDERS}),
+s as (select part, filter_order, step, bit,
+        sum(case when mask & (before | bit) = 0 then n else 0 end) as kept,
+        sum(case when mask & before = 0 and mask & bit > 0 then n else 0 end) as removed,
+        sum(case when mask & before > 0 and mask & bit > 0 then n else 0 end) as redundant,
+        sum(case when mask = bit then n else 0 end) as unique_fails,
+        sum(case when mask & before = 0 and mask & bit > 0 then good else 0 end) as good_lost,
+        sum(case when mask & before = 0 and mask & bit > 0 then toxic else 0 end) as toxic_lost
+      from c cross join o group by all)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+       cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from s"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Plain assignment and centroids, round by round."""
+    square = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} as materialized (
+  select v.n, any_value(v.vec_id) as vec_id, any_value(v.v) as v, arg_min(c.cluster, {square} * 64 + c.cluster) as cluster,
+         min({square}) as distance
+  from v cross join c{r} c group by v.n)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} as materialized (
+  select cluster, i, cast(floor(sum(v[i])::double / count(*)) as bigint) as x
+  from (select cluster, v, unnest(range(1, 65)) as i from a{r}) group by cluster, i),
+c{r + 1} as materialized (
+  select c.cluster, coalesce(any_value(n.v), any_value(c.v)) as v from c{r} c
+  left join (select cluster, list(x order by i) as v from s{r} group by cluster) n on n.cluster = c.cluster group by c.cluster)""")
+    return ",".join(steps)
+
+
+LLM_ORACLE["op13_heap_clusters"] = f"""
+with v as materialized (
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(embedding) = 64
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+c0 as materialized (
+  select row_number() over (order by sha256('2:' || vec_id), v) - 1 as cluster, v
+  from v where vec_id is not null order by 1 limit 40),{_lloyd(5)},
+i as (select cluster, sum(distance) as cluster_inertia from a5 group by cluster)
+select a.vec_id, cast(a.cluster as int) as cluster, cast(a.distance as bigint) as distance,
+       cast(i.cluster_inertia as bigint) as cluster_inertia,
+       cast((select sum(distance) from a5) as bigint) as inertia,
+       sha256(list_aggregate(list_transform(c.v, lambda x: cast(x as varchar)), 'string_agg', ',')) as centroid_sha256
+from a5 a join i using (cluster) join c5 c using (cluster)"""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from potable.llm.common import documents
 from potable.llm.context_mixing import score_documents
+from potable.llm.filter_audit import TEXT_FILTERS, filter_audit, text_filter_masks
+from potable.llm.heap_clusters import heap_clusters, with_inertia
 from potable.llm.kd_search import top_k
 from potable.llm.line_dedup import line_dedup
 from potable.llm.mixing import mix_sources
@@ -85,3 +87,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = text_filter_masks(documents(spark, sf_dir).select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
+    return filter_audit(masks, TEXT_FILTERS)
+
+
+@query
+def op13_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*heap_clusters(read_table(spark, sf_dir, "embeddings"), k=40, rounds=5))
