@@ -19,6 +19,7 @@ from potable.llm.near_dups import near_duplicates
 from potable.llm.packing import pack_documents
 from potable.llm.perplexity_rules import quality_rules
 from potable.llm.quality_classifier import classify_quality
+from potable.llm.secret_scan import find_secrets, span_digest, train
 from potable.llm.token_counts import token_counts
 from potable.llm.token_files import token_files
 from potable.sources.tables import read_table
@@ -89,6 +90,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
 
 
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return span_digest(find_secrets(docs, train(docs, read_table(spark, sf_dir, "labels"))))
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = text_filter_masks(documents(spark, sf_dir).select("doc_id", "text", "lang"), read_table(spark, sf_dir, "labels"))
