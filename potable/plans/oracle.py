@@ -74,12 +74,13 @@ e as (
   from u
 ),
 f as (select *, case when h % 6 = 0 then msgid || ' (pl)' end as msgid_plural from e),
+-- a key keeps its first place and its last content; a context is where its first line is
+ky as (select catalog_id, msgctxt, msgid, min(seq) as place, max(seq) as latest from f group by all),
+cx as (select catalog_id, msgctxt, min(seq) as ctx_first from f group by all),
 d as (
-  select * exclude (rn), min(seq) over (partition by catalog_id, msgctxt) as ctx_first,
-    {int_key('msgctxt')} as ctx_int, {int_key('msgid')} as id_int
-  from (
-    select *, row_number() over (partition by catalog_id, msgctxt, msgid order by seq desc) as rn from f
-  ) q where rn = 1
+  select f.* replace (ky.place as seq), cx.ctx_first, {int_key('f.msgctxt')} as ctx_int, {int_key('f.msgid')} as id_int
+  from ky join f on f.catalog_id = ky.catalog_id and f.seq = ky.latest
+  join cx on cx.catalog_id = f.catalog_id and cx.msgctxt = f.msgctxt
 ),
 st as (select *, {untrans('msgstr')} as untranslated, {fuzzy('flag')} as fuzzy from d where msgid <> '')
 """

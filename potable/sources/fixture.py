@@ -91,15 +91,20 @@ ENTRY_COLUMNS = ["catalog_id", "lang", "seq", "h", "base", "msgctxt", "msgid", "
 
 
 def dedupe_keys(entries: DataFrame, key: tuple[str, ...] = ("catalog_id", "msgctxt", "msgid")) -> DataFrame:
-    """One entry per key; the one latest in the file (largest ``seq``) wins.
+    """One entry per key, as a map that keeps insertion order gives it: the entry latest
+    in the file overwrites the value, but the key stays where it came first.
 
-    The winners are found on hashed keys and numbers alone (combined map-side, 128
-    bits a key), then the rows are taken by ``(catalog_id, seq)``, which is unique.
+    So a row has the content of its key's largest ``seq``, and the smallest as ``seq``.
+    Both are found on hashed keys and numbers alone (combined map-side, 128 bits a key);
+    the rows are then taken by ``(catalog_id, seq)``, which is unique.
     """
     catalog, *rest = key
     narrow = entries.select(catalog, F.xxhash64(*rest).alias("__k1"), F.xxhash64(F.lit("key"), *rest).alias("__k2"), "seq")
-    winners = narrow.groupBy(catalog, "__k1", "__k2").agg(F.max("seq").alias("seq")).select(catalog, "seq")
-    return entries.join(winners, on=[catalog, "seq"], how="left_semi").select(*entries.columns)
+    kept = narrow.groupBy(catalog, "__k1", "__k2").agg(F.max("seq").alias("seq"), F.min("seq").alias("__place"))
+    return (
+        entries.join(kept.select(catalog, "seq", "__place"), on=[catalog, "seq"], how="inner")
+        .withColumn("seq", F.col("__place")).select(*entries.columns)
+    )
 
 
 def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ belongs to an earlier section than the line before it (comments < msgctxt < msgi
 msgid_plural < msgstr), so entries that follow without a blank line are still split.
 Entries are then assembled with one ``groupBy(file, entry)`` whose groups hold a
 handful of lines. Obsolete ``#~`` blocks are kept apart, with their comments, as
-opaque text. Of equal keys in one catalog the last entry wins.
+opaque text. Of equal keys in one catalog the last entry wins, at the place of the first.
 """
 
 from __future__ import annotations
@@ -231,8 +231,8 @@ def file_order(entries: DataFrame) -> DataFrame:
 
 
 def scanned_entries(lines: DataFrame, root: str) -> DataFrame:
-    """Numbered lines -> entries as a keyed map gives them: the last of equal keys
-    wins; with the sort key of the parser's order."""
+    """Numbered lines -> entries as a keyed map gives them: the last of equal keys wins
+    and stands where the first one stood; with the sort key of the parser's order."""
     return with_parser_key(dedupe_keys(file_order(assemble_entries(classify_line_rows(lines), root))))
 
 

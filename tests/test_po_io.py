@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from potable.operators import batching
+from potable.operators import select as sel
 from potable.sinks.po_compile import catalog_blocks, fold_chunks, write_catalogs
 from potable.sources.po_text import po_scan, po_scan_obsolete
 
@@ -171,10 +173,40 @@ def test_files_as_merge_tools_write_them(spark, tmp_path):
     rows = {(r["catalog_id"], r["msgid"]): r for r in ents.collect()}
     assert {c for c, _ in rows} == {"de/LC_MESSAGES/app", "fr/LC_MESSAGES/app"} and cats.count() == 2
     one = {m: r for (c, m), r in rows.items() if c.startswith("de")}
-    # the flag belongs to the obsolete block; the last of equal keys wins; separators stay inside strings
+    # the flag belongs to the obsolete block; the last of equal keys wins, in place; separators stay inside strings
     assert set(one) == {"", "D", "Next", "a\u2028b"}
     assert one["Next"]["flag"] is None and one["D"]["msgstr"] == ["done"] and one["a\u2028b"]["msgstr"] == ["x\u0085y"]
     gone = [r["line"] for r in po_scan_obsolete(spark, str(d)).where("catalog_id like 'de%'").orderBy("line_no").collect()]
     assert gone == ["#, fuzzy", '#~ msgid "Old"', '#~ msgstr "Alt"', '#~ msgid "Gone"', '#~ msgstr "Weg"']
     text = catalog_blocks(ents, cats).where("catalog_id like 'de%' and h = 0").first()["text"]
     assert text.startswith("# Copyright holders\n#, fuzzy\nmsgid")
+
+
+def test_overwritten_keys_keep_their_place(spark, tmp_path):
+    # a key met again takes the later content, where the key first stood
+    d = tmp_path / "in"
+    d.mkdir()
+    entry = 'msgid "{}"\nmsgstr "{}"\n'
+    (d / "x.po").write_text(entry.format("a", "old") + entry.format("b", "") + entry.format("a", ""), encoding="utf-8")
+    ents, _ = po_scan(spark, str(d))
+    listed = sel.dry_run(sel.worklist(ents)).orderBy("order_no").collect()
+    assert [r["msgid"] for r in listed] == ["a", "b"]
+
+
+def test_overwritten_keys_across_batch_borders(spark, tmp_path):
+    # contexts: "late" is first seen on an entry that a later one overwrites
+    d = tmp_path / "in"
+    d.mkdir()
+    blocks = [("late", "k0", "done")] + [("", f"m{i}", "") for i in range(31)] + [("", "7", "")]
+    blocks += [("", f"m{i}", "x" if i == 3 else "") for i in range(20, 0, -1)]  # again, backwards; m3 is done now
+    blocks += [("late", "k1", ""), ("late", "k0", "")]
+    text = "\n".join((f'msgctxt "{c}"\n' if c else "") + f'msgid "{m}"\nmsgstr "{s}"\n' for c, m, s in blocks)
+    (d / "x.po").write_text(text, encoding="utf-8")
+    ents, _ = po_scan(spark, str(d))
+    reqs = batching.batch_requests(batching.number_batches(sel.worklist(ents))).orderBy("batch_no").collect()
+    seen: dict = {}  # what a map of maps that keeps insertion order holds
+    for c, m, s in blocks:
+        seen.setdefault(c, {})[m] = s
+    ordered = [(c, m) for c, of in seen.items() for m in sorted(of, key=lambda m: (m != "7")) if of[m] == ""]
+    got = [(i["msgctxt"], i["msgid"]) for r in reqs for i in r["items"]]
+    assert got == ordered and [r["n_items"] for r in reqs] == [15, 15, len(ordered) - 30]
