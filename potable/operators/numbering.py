@@ -50,10 +50,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there completely."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+    return exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
 def once(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataFrame:

@@ -33,6 +33,18 @@ def strip_json_fences(content: Column | str) -> Column:
     return F.when(raw.rlike(_FENCE), js_trim(F.regexp_extract(raw, _FENCE, 1))).otherwise(raw)
 
 
+#: stands behind the reply while it is parsed; Spark's parser would ignore text behind the first value
+_END = "end of reply"
+
+
+def reply_document(content: Column | str) -> Column:
+    """The reply as VARIANT; null unless its whole text is one JSON value."""
+    whole = F.try_parse_json(F.concat(F.lit("["), strip_json_fences(content), F.lit(f',"{_END}"]')))
+    parts = F.try_variant_get(whole, "$", "array<variant>")
+    closed = (F.size(parts) == 2) & (F.try_variant_get(whole, "$[1]", "string") == F.lit(_END))
+    return F.when(closed, F.variant_get(whole, "$[0]", "variant"))
+
+
 def _get(v: Column, key: str) -> Column:
     return F.variant_get(v, f"$.{key}", "variant")
 
@@ -104,7 +116,7 @@ def validate(attempts: DataFrame, samples: str = "samples") -> DataFrame:
     """
     api_error = F.col("status").isNotNull() & (F.col("status") != 200)
     staged = (
-        attempts.withColumn("__v", F.try_parse_json(strip_json_fences("content")))
+        attempts.withColumn("__v", reply_document("content"))
         .withColumn("__tr", _get(F.col("__v"), "translations"))
         .withColumn("__arr", F.try_variant_get(F.col("__tr"), "$", "array<variant>"))
         .withColumn("__ns", F.coalesce(F.size(F.col(samples)), F.lit(0)))
@@ -142,7 +154,7 @@ def validate(attempts: DataFrame, samples: str = "samples") -> DataFrame:
 def parse_replies(attempts: DataFrame) -> DataFrame:
     """Accepted attempts only: add ``parsed`` (the reply array) without re-running
     the rule ladder; the verdict columns already say the reply passed."""
-    v = F.try_parse_json(strip_json_fences("content"))
+    v = reply_document("content")
     return attempts.withColumn("parsed", F.try_variant_get(_get(v, "translations"), "$", "array<variant>"))
 
 

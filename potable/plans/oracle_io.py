@@ -69,7 +69,7 @@ oracle(
 oracle(
     "response_log_scan",
     model()
-    + "select catalog_id, batch_no, attempt, cast(status as bigint) as status, md5(content) as content_md5 from lg",
+    + "select catalog_id, batch_no, attempt, cast(status as bigint) as status, md5(content) as content_md5 from ct",
 )
 
 oracle(

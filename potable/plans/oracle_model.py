@@ -14,7 +14,21 @@ from potable.operators.request import BASE_SYSTEM_MESSAGE, DEFAULT_MODEL, PROJEC
 from potable.operators.attempts import CATEGORY_ADVICE
 from potable.plans.options import JOB_CONFIG
 from potable.plans.oracle import ORACLE, blank, jtrim, marker, numbered_cte, oracle, untrans, with_entries
-from potable.providers.pseudo import API_ERRORS, N_MODES
+
+
+# The recorded service's errors by mode 0..8 (status, code, message), and its number of modes.
+N_MODES = 89
+API_ERRORS = [
+    (429, None, "Rate limit reached for requests"),
+    (429, "insufficient_quota", "You exceeded your current quota, please check your plan"),
+    (500, None, "The server had an error while processing your request"),
+    (503, None, "The engine is currently overloaded, please try again later"),
+    (401, None, "Incorrect API key provided"),
+    (403, None, "Country, region, or territory not supported"),
+    (400, None, "Invalid schema for response_format 'translation_payload'"),
+    (400, None, "Invalid value for 'messages'"),
+    (404, None, "The model does not exist"),
+]
 
 
 def _q(s: str | None) -> str:
@@ -153,8 +167,8 @@ rqx as (
 it as (select nb.*, r.n_items, r.target_language, r.n_samples from nb join rqx r using (catalog_id, batch_no)),
 att as (
   select r.*, k.attempt,
-    cast((coalesce(try_cast(regexp_extract(r.catalog_id, '^src([0-9]+)', 1) as bigint), 0) * 7
-      + ascii(string_split(r.catalog_id, '.')[-1]) + r.batch_no * 5 + k.attempt * 3) % {N_MODES} as bigint) as m
+    cast(((coalesce(try_cast(regexp_extract(r.catalog_id, '^src([0-9]+)', 1) as bigint), 0) * 7
+      + ascii(string_split(r.catalog_id, '.')[-1])) * 19 + r.batch_no * 13 + k.attempt * 3) % {N_MODES} as bigint) as m
   from rqx r, (select range as attempt from range(1, 5)) k
 ),
 el0 as (
@@ -246,7 +260,10 @@ va as (
 ),
 term as (select *, (error_code = 'OK' or not retryable or attempt >= 4) as terminal from va),
 fin as (select catalog_id, batch_no, min(attempt) filter (where terminal) as final_attempt from term group by catalog_id, batch_no),
-lg as (select t.* from term t join fin f using (catalog_id, batch_no) where t.attempt <= f.final_attempt),
+lg0 as (select t.*, f.final_attempt from term t join fin f using (catalog_id, batch_no) where t.attempt <= f.final_attempt),
+-- batch by batch: the first one that failed for good ends its catalog
+ends as (select catalog_id, min(batch_no) as stop_batch from lg0 where attempt = final_attempt and error_code <> 'OK' group by catalog_id),
+lg as (select l.* exclude (final_attempt) from lg0 l left join ends e using (catalog_id) where e.stop_batch is null or l.batch_no <= e.stop_batch),
 outc as (
   select l.catalog_id, l.batch_no, count(*) as n_attempts, max(f.final_attempt) as final_attempt,
     max(case when l.attempt = f.final_attempt then l.error_code end) as final_code
@@ -370,12 +387,12 @@ from rqx""",
 
 oracle(
     "strip_json_fences",
-    model() + "select catalog_id, batch_no, attempt, stripped from vd where content is not null",
+    model() + "select catalog_id, batch_no, attempt, stripped from lg where content is not null",
 )
 oracle(
     "validate_responses",
     model()
-    + "select catalog_id, batch_no, attempt, error_code, cast(coalesce(error_pos, -1) as bigint) as error_pos, retryable from va",
+    + "select catalog_id, batch_no, attempt, error_code, cast(coalesce(error_pos, -1) as bigint) as error_pos, retryable from lg",
 )
 oracle(
     "normalize_msgctxt",
@@ -383,7 +400,7 @@ oracle(
     + """
 select catalog_id, batch_no, attempt, cast(pos as bigint) as pos,
   case when json_type(x, '$.msgctxt') = 'VARCHAR' then json_extract_string(x, '$.msgctxt') else '' end as msgctxt_norm
-from ev0""",
+from ev0 semi join lg using (catalog_id, batch_no, attempt)""",
 )
 oracle(
     "coerce_result",
@@ -391,7 +408,7 @@ oracle(
     + """
 select catalog_id, batch_no, attempt, cast(pos as bigint) as pos, array_to_string(rmsgstr, chr(31)) as msgstr_text,
   cast(len(rmsgstr) as bigint) as n_forms
-from okr""",
+from okr semi join lg using (catalog_id, batch_no, attempt)""",
 )
 oracle(
     "classify_api_error",
@@ -404,7 +421,7 @@ select catalog_id, batch_no, attempt, cast(status as bigint) as status, case
   when status = 400 then (case when regexp_matches(coalesce(message, ''), '(?i)response_format|json_schema|structured')
     then 'schema_unsupported' else 'invalid_request' end)
   when status = 500 then 'server_error' when status = 503 then 'overloaded' else 'generic' end as category
-from va where status <> 200""",
+from lg where status <> 200""",
 )
 oracle(
     "is_retryable",
@@ -412,7 +429,7 @@ oracle(
     + """
 select catalog_id, batch_no, attempt,
   coalesce(status in (429, 500, 503), false) or coalesce(error_code in ('CTX_MISMATCH', 'ID_MISMATCH', 'PLURAL_MISMATCH'), false) as retryable
-from va""",
+from lg""",
 )
 
 # ------------------------------------------------------------------- the actual run
@@ -421,8 +438,7 @@ oracle("retry_rounds", model() + "select catalog_id, batch_no, attempt, cast(sta
 oracle(
     "translate_batches",
     model()
-    + "select catalog_id, batch_no, cast(status as bigint) as status, code, message, content is not null as has_content "
-    "from lg where attempt = 1",
+    + "select catalog_id, batch_no, attempt, cast(status as bigint) as status, code, message, md5(content) as content_md5 from lg",
 )
 oracle(
     "backoff_ms",

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from potable.operators.numbering import materialize
 from potable.plans.catalog import _MEMO, _key, catalogs, entries, msgstr_text
 from potable.plans.queries import query
-from potable.plans.translate import LOG_COLUMNS, Options, commit_run, requests_table, run_attempts, translate, translate_files
+from potable.plans.translate import Options, commit_run, requests_table, service_log, translate, translate_files
 from potable.providers.recorded import recorded_provider
 from potable.session import run_folder
 from potable.sinks.po_compile import catalog_blocks, catalog_stats, write_catalogs
 from potable.sources.po_text import po_scan
-from potable.sources.responses import response_log_scan, write_response_log
 from potable.streaming.incremental import incremental_worklist
 
 
@@ -52,9 +51,9 @@ def q_translate_po_files(spark: SparkSession, sf: str) -> DataFrame:
         folder = compiled_folder(spark, sf)
         ents, cats = po_scan(spark, folder)
         ents = materialize(ents, "scanned")
-        log = run_attempts(materialize(requests_table(ents, cats), "requests"))  # what a service answered
+        log = service_log(materialize(requests_table(ents, cats), "requests"))
         out = _new_folder(spark, "po-translated")
-        translate_files(spark, folder, out, recorded_provider(log.select(*LOG_COLUMNS)))
+        translate_files(spark, folder, out, recorded_provider(log))
         _MEMO[k] = out  # type: ignore[assignment]
     back, _ = po_scan(spark, _MEMO[k])  # type: ignore[arg-type]
     body = back.where(~((F.col("msgctxt") == "") & (F.col("msgid") == "")))
@@ -103,14 +102,8 @@ def q_commit_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("response_log_scan")
 def q_response_log_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Attempt log written as provider-shaped JSON bodies, scanned back."""
-    k = _key(spark, sf, "response-log")
-    if k not in _MEMO:
-        out = _new_folder(spark, "responses")
-        write_response_log(translate(spark, sf)["attempts"], out)
-        _MEMO[k] = out  # type: ignore[assignment]
-    log = response_log_scan(spark, _MEMO[k])  # type: ignore[arg-type]
-    return log.select(
+    """The service's reply bodies, scanned (all of them, also those no run asks for)."""
+    return translate(spark, sf)["service_log"].select(
         "catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), F.col("status").cast("bigint").alias("status"),
         F.md5("content").alias("content_md5"),
     )

@@ -18,7 +18,7 @@ from potable.operators.request import PROJECT_SECTION_HEADER, system_message
 from potable.plans.catalog import catalogs, entries, msgstr_text
 from potable.plans.options import catalog_overrides, resolve_options
 from potable.plans.queries import query
-from potable.plans.translate import Options, full_attempt_matrix, parsed_attempt_matrix, translate
+from potable.plans.translate import Options, translate, validated_attempts
 
 # ------------------------------------------------------------------------- language
 
@@ -126,18 +126,23 @@ def q_request_params(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# ------------------------------------------------------------------ replies (all attempts)
+# ------------------------------------------------------------------ replies to the run's attempts
+
+
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    run = translate(spark, sf)
+    return validated_attempts(run["requests"], run["attempts"])
 
 
 @query("strip_json_fences")
 def q_strip_json_fences(spark: SparkSession, sf: str) -> DataFrame:
-    m = full_attempt_matrix(spark, sf).where(F.col("content").isNotNull())
+    m = translate(spark, sf)["attempts"].where(F.col("content").isNotNull())
     return m.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), validate.strip_json_fences("content").alias("stripped"))
 
 
 @query("validate_responses")
 def q_validate_responses(spark: SparkSession, sf: str) -> DataFrame:
-    m = full_attempt_matrix(spark, sf)
+    m = translate(spark, sf)["attempts"]
     return m.select(
         "catalog_id",
         "batch_no",
@@ -150,7 +155,7 @@ def q_validate_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("normalize_msgctxt")
 def q_normalize_msgctxt(spark: SparkSession, sf: str) -> DataFrame:
-    m = parsed_attempt_matrix(spark, sf).where(F.col("parsed").isNotNull())
+    m = _parsed(spark, sf).where(F.col("parsed").isNotNull())
     return m.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), F.posexplode("parsed").alias("pos", "x")).select(
         "catalog_id",
         "batch_no",
@@ -162,7 +167,7 @@ def q_normalize_msgctxt(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("coerce_result")
 def q_coerce_result(spark: SparkSession, sf: str) -> DataFrame:
-    r = validate.align_response(parsed_attempt_matrix(spark, sf))
+    r = validate.align_response(_parsed(spark, sf))
     return r.select(
         "catalog_id",
         "batch_no",
@@ -175,14 +180,14 @@ def q_coerce_result(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("classify_api_error")
 def q_classify_api_error(spark: SparkSession, sf: str) -> DataFrame:
-    m = full_attempt_matrix(spark, sf).where(F.col("status") != 200)
+    m = translate(spark, sf)["attempts"].where(F.col("status") != 200)
     return m.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), F.col("status").cast("bigint").alias("status"),
                     att.classify_api_error().alias("category"))
 
 
 @query("is_retryable")
 def q_is_retryable(spark: SparkSession, sf: str) -> DataFrame:
-    m = full_attempt_matrix(spark, sf)
+    m = translate(spark, sf)["attempts"]
     return m.select("catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), att.is_retryable("status", "error_code").alias("retryable"))
 
 
@@ -197,10 +202,10 @@ def q_retry_rounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("translate_batches")
 def q_translate_batches(spark: SparkSession, sf: str) -> DataFrame:
-    log = translate(spark, sf)["attempts"].where(F.col("attempt") == 1)
-    return log.select(
-        "catalog_id", "batch_no", F.col("status").cast("bigint").alias("status"), "code", "message",
-        F.col("content").isNotNull().alias("has_content"),
+    """The replies of the run, attempt by attempt, as the service log holds them."""
+    return translate(spark, sf)["attempts"].select(
+        "catalog_id", "batch_no", F.col("attempt").cast("bigint").alias("attempt"), F.col("status").cast("bigint").alias("status"), "code", "message",
+        F.md5("content").alias("content_md5"),
     )
 
 

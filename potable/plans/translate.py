@@ -1,10 +1,16 @@
 """End-to-end translation job: work-list -> requests -> attempts -> results -> merge.
 
-The model stage is the only expensive, side-effecting step, so every round of
-attempts is written to the shared checkpoint folder before anything reads it:
-a recomputed lineage can never call the provider twice for the same attempt.
-Rounds are a driver loop of at most ``MAX_ATTEMPTS`` iterations; round k sends
-only the batches whose latest attempt failed with a retryable error.
+The model stage is the only expensive, side-effecting step. A catalog's first failed
+batch ends it, as the batches of one file are translated one after another.
+
+* Live calls run as chains (``providers/live``), in waves of up to ``MOST_WAVE``
+  batches a catalog, each wave without the catalogs that earlier ones ended. Tasks
+  publish their replies as they finish, each by itself, so a run that is killed half-way
+  and started again under its id sends only what has no reply yet.
+* A recorded log is replayed in rounds of at most ``MAX_ATTEMPTS``; round k answers the
+  batches whose latest attempt failed with a retryable error.
+
+Either way the log holds exactly the attempts that going batch by batch would make.
 """
 
 from __future__ import annotations
@@ -20,16 +26,20 @@ from potable.operators import attempts as att
 from potable.operators import batching, merge, validate
 from potable.operators import select as sel
 from potable.operators.locale import lookup_plural_samples, valid_source_languages
-from potable.operators.numbering import materialize, once
+from potable.operators.numbering import exists, finished, materialize, once
 from potable.operators.request import DEFAULT_MODEL, with_payload
 from potable.operators.spread import spread_join
 from potable.plans.catalog import _key, catalogs, entries
+from potable.providers.live import REPLY_SCHEMA, LiveCalls, call_in_order
 from potable.providers.pseudo import pseudo_attempts
+from potable.providers.recorded import recorded_provider
 from potable.session import run_folder
 from potable.sinks.po_compile import catalog_blocks, write_catalogs
 from potable.sources.po_text import po_scan, po_scan_obsolete
+from potable.sources.responses import response_log_scan, write_response_log
 
-Provider = Callable[[DataFrame, int], DataFrame]
+Replay = Callable[[DataFrame, int], DataFrame]
+Provider = Replay | LiveCalls
 LOG_COLUMNS = ["catalog_id", "batch_no", "attempt", "status", "code", "message", "content"]
 
 
@@ -87,6 +97,12 @@ def requests_table(ents: DataFrame, cats: DataFrame, opts: Options = Options(),
     return with_payload(reqs, source_language=src, context=ctx, model=opts.model)
 
 
+def written_requests(ents: DataFrame, cats: DataFrame, opts: Options, options: DataFrame | None, run_id: str) -> DataFrame:
+    """The requests of a run, made once and kept under its id."""
+    spark = ents.sparkSession
+    return once(spark, lambda: requests_table(ents, cats, opts, options), run_folder(spark, f"run-{run_id}") + "/requests")
+
+
 VERDICT_COLUMNS = ["error_code", "error_pos", "retryable"]
 
 
@@ -99,31 +115,101 @@ def _checked(requests: DataFrame, raw: DataFrame) -> DataFrame:
     return checked.select(*LOG_COLUMNS, *VERDICT_COLUMNS)
 
 
-def run_attempts(requests: DataFrame, provider: Provider = pseudo_attempts, run_id: str | None = None) -> DataFrame:
-    """Retry rounds: attempt 1 for every request, then only retryable failures.
+def _stops(log: DataFrame) -> DataFrame:
+    """(catalog_id, stop_batch): the first batch of a catalog that failed for good."""
+    final = log.where((F.col("error_code") != "OK") & (~F.col("retryable") | (F.col("attempt") >= att.MAX_ATTEMPTS)))
+    return final.groupBy("catalog_id").agg(F.min("batch_no").alias("stop_batch"))
 
-    Each round first writes the raw replies (a paid call happens once even if
-    later stages are recomputed), then the validated log. Returns the
-    append-only attempt log of all rounds with verdict columns. The tables are named
-    by run and round: a run that is started again under its ``run_id`` reads the
-    rounds it has finished and sends only what is missing.
-    """
+
+def until_first_failure(rows: DataFrame, stops: DataFrame) -> DataFrame:
+    """``rows`` of batches up to their catalog's first failed one."""
+    found = spread_join(rows, stops, ["catalog_id"], by=["batch_no"], how="left")
+    return found.where(F.col("stop_batch").isNull() | (F.col("batch_no") <= F.col("stop_batch"))).drop("stop_batch")
+
+
+def _union(logs: list[DataFrame]) -> DataFrame:
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log)
+    return out
+
+
+def replayed_attempts(requests: DataFrame, replay: Replay, folder: str) -> DataFrame:
+    """Rounds: attempt 1 for every request, then only retryable failures ahead of a stop."""
     spark = requests.sparkSession
-    folder = run_folder(spark, f"run-{run_id or uuid.uuid4().hex}")
-    pending = requests
-    rounds: list[DataFrame] = []
+    pending, rounds = requests, []
     for k in range(1, att.MAX_ATTEMPTS + 1):
-        raw = once(spark, lambda: provider(pending, k).select(*LOG_COLUMNS), f"{folder}/replies-{k}")  # noqa: B023
+        raw = once(spark, lambda: replay(pending, k).select(*LOG_COLUMNS), f"{folder}/replies-{k}")  # noqa: B023
         log = once(spark, lambda: _checked(requests, raw), f"{folder}/round-{k}")  # noqa: B023
         rounds.append(log)
         if k == att.MAX_ATTEMPTS:
             break
         retry = log.where((F.col("error_code") != "OK") & F.col("retryable")).select("catalog_id", "batch_no")
+        retry = until_first_failure(retry, _stops(_union(rounds)))
         pending = requests.join(retry, on=["catalog_id", "batch_no"], how="left_semi")
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+    whole = _union(rounds)
+    return until_first_failure(whole, _stops(whole))
+
+
+#: batches of a catalog in the first wave, and at most in any (each wave doubles)
+FIRST_WAVE, MOST_WAVE = 16, 512
+
+
+def _published(spark: SparkSession, path: str) -> DataFrame:
+    """Replies that tasks have published there, one per attempt (a repeated task may publish twice)."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], REPLY_SCHEMA)
+    return spark.read.schema(REPLY_SCHEMA).parquet(path).dropDuplicates(["catalog_id", "batch_no", "attempt"])
+
+
+def _publish(replies: DataFrame, path: str) -> None:
+    """Append; every task's file appears when that task ends, not with the job."""
+    replies.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+
+
+def live_attempts(requests: DataFrame, live: LiveCalls, folder: str) -> DataFrame:
+    """Waves of chained calls; no batch behind a failed one is sent.
+
+    Waves grow from ``FIRST_WAVE`` to ``MOST_WAVE`` batches a catalog: a catalog of n
+    batches takes about n / ``MOST_WAVE`` waves, and a task that is lost repeats at most
+    its catalogs' parts of one wave.
+    """
+    spark = requests.sparkSession
+    last = requests.agg(F.max("batch_no").alias("n")).first()["n"] or 0
+    replies, waves = f"{folder}/replies", []
+    low, width, going = 0, FIRST_WAVE, requests
+    while low < last:
+        high = low + width
+        wave = going.where((F.col("batch_no") > low) & (F.col("batch_no") <= high))
+        path = f"{folder}/wave-{low + 1}-{high}"
+        if not finished(spark, path):
+            known = _published(spark, replies).where((F.col("batch_no") > low) & (F.col("batch_no") <= high))
+            answered = known.groupBy("catalog_id", "batch_no").agg(
+                F.collect_list(F.struct("attempt", "status", "code", "message", "content")).alias("answered"))
+            _publish(call_in_order(wave.join(answered, ["catalog_id", "batch_no"], "left"), live), replies)
+        log = once(spark, lambda: _checked(wave, _published(spark, replies)), path)  # noqa: B023
+        waves.append(log)
+        good = log.where("error_code = 'OK'").select("catalog_id", "batch_no").distinct()
+        ended = wave.select("catalog_id", "batch_no").join(good, ["catalog_id", "batch_no"], "left_anti").select("catalog_id").distinct()
+        ended = materialize(ended, "ended-catalogs")
+        going = spread_join(going, ended, ["catalog_id"], by=["batch_no"], how="left_anti")
+        low, width = high, min(2 * width, MOST_WAVE)
+    if not waves:
+        return _checked(requests, _published(spark, replies))
+    whole = _union(waves)
+    return until_first_failure(whole, _stops(whole))
+
+
+def run_attempts(requests: DataFrame, provider: Provider, run_id: str | None = None) -> DataFrame:
+    """The append-only attempt log of a run, with verdict columns.
+
+    Replies are written before anything reads them (a paid call happens once even if
+    later stages are recomputed). The tables are named by run: one that is started again
+    under its ``run_id`` reads what it has and sends only what is missing.
+    """
+    folder = run_folder(requests.sparkSession, f"run-{run_id or uuid.uuid4().hex}")
+    run = live_attempts if isinstance(provider, LiveCalls) else replayed_attempts
+    return materialize(run(requests, provider, folder), "attempts")
 
 
 def validated_attempts(requests: DataFrame, log: DataFrame) -> DataFrame:
@@ -151,9 +237,8 @@ def run_job(
 
     With a ``run_id``, requests and finished rounds of an earlier try are used again.
     """
-    spark = ents.sparkSession
     run_id = run_id or uuid.uuid4().hex
-    reqs = once(spark, lambda: requests_table(ents, cats, opts, options), run_folder(spark, f"run-{run_id}") + "/requests")
+    reqs = written_requests(ents, cats, opts, options, run_id)
     log = run_attempts(reqs, provider, run_id)
     outcomes, results = committed_results(reqs, log)
     outcomes, results = materialize(outcomes, "outcomes"), materialize(results, "results")
@@ -196,35 +281,27 @@ def commit_run(tables: dict[str, DataFrame], out_dir: str, run_id: str) -> None:
         )
 
 
+def service_log(requests: DataFrame) -> DataFrame:
+    """A recorded service's log for ``requests``: reply bodies written as files, scanned back.
+
+    This is input data: what the service said to every request, at every try that a
+    client might make. A run reads only the replies to attempts it makes.
+    """
+    said = [pseudo_attempts(requests, a).select(*LOG_COLUMNS) for a in range(1, att.MAX_ATTEMPTS + 1)]
+    folder = run_folder(requests.sparkSession, f"service-log-{uuid.uuid4().hex}")
+    write_response_log(_union(said), folder)
+    return response_log_scan(requests.sparkSession, folder).select(*LOG_COLUMNS)
+
+
 _RUNS: dict[tuple, dict[str, DataFrame]] = {}
 
 
-def translate(spark: SparkSession, sf: str, opts: Options = Options(), provider: Provider = pseudo_attempts) -> dict[str, DataFrame]:
-    """Run (or reuse) the whole job for ``sf``; returns its tables by name."""
-    k = _key(spark, sf, "translate") + (opts, provider)
+def translate(spark: SparkSession, sf: str, opts: Options = Options()) -> dict[str, DataFrame]:
+    """Run (or reuse) the whole job for ``sf`` on its service log; returns its tables by name."""
+    k = _key(spark, sf, "translate") + (opts,)
     if k not in _RUNS:
         options = catalog_options(spark, sf) if opts.per_catalog else None
-        _RUNS[k] = run_job(entries(spark, sf), catalogs(spark, sf), opts, provider, options)
+        ents, cats, run_id = entries(spark, sf), catalogs(spark, sf), uuid.uuid4().hex
+        log = service_log(written_requests(ents, cats, opts, options, run_id))
+        _RUNS[k] = run_job(ents, cats, opts, recorded_provider(log), options, run_id) | {"service_log": log}
     return _RUNS[k]
-
-
-def full_attempt_matrix(spark: SparkSession, sf: str, opts: Options = Options()) -> DataFrame:
-    """Every request answered at every attempt 1..4 (what each attempt would get),
-    validated. The replies are written once and validation reads the table."""
-    k = _key(spark, sf, "matrix") + (opts,)
-    if k not in _RUNS:
-        reqs = translate(spark, sf, opts)["requests"]
-        log = None
-        for a in range(1, att.MAX_ATTEMPTS + 1):
-            one = pseudo_attempts(reqs, a).select(*LOG_COLUMNS)
-            log = one if log is None else log.unionByName(one)
-        raw = materialize(log, "attempt-matrix-raw")
-        _RUNS[k] = {"validated": materialize(_checked(reqs, raw), "attempt-matrix"), "raw": raw}
-    return _RUNS[k]["validated"]
-
-
-def parsed_attempt_matrix(spark: SparkSession, sf: str, opts: Options = Options()) -> DataFrame:
-    """The attempt matrix with the parsed reply array (``parsed``) for per-entry reads."""
-    full_attempt_matrix(spark, sf, opts)
-    raw = _RUNS[_key(spark, sf, "matrix") + (opts,)]["raw"]
-    return validated_attempts(translate(spark, sf, opts)["requests"], raw)

@@ -1,4 +1,4 @@
-"""Deterministic model stand-in made of column expressions.
+"""A service's replies for recorded logs, made of column expressions.
 
 ``pseudo_attempts(requests, attempt)`` answers every request of one round
 without leaving the JVM: the reply (or API error) is chosen by arithmetic on
@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-N_MODES = 64
+# what decides a reply; with these numbers every outcome occurs in runs over small tables too
+N_MODES = 89
+BY_CATALOG, BY_BATCH, BY_ATTEMPT = 19, 13, 3
 
 # API error replies by mode 0..8 (status, code, message).
 API_ERRORS = [
@@ -39,7 +41,7 @@ def catalog_number(catalog_id: Column) -> Column:
 
 
 def mode_expr(catalog_id: Column, batch_no: Column, attempt: Column) -> Column:
-    return ((catalog_number(catalog_id) + batch_no * 5 + attempt * 3) % N_MODES).cast("int")
+    return ((catalog_number(catalog_id) * BY_CATALOG + batch_no * BY_BATCH + attempt * BY_ATTEMPT) % N_MODES).cast("int")
 
 
 def _elements(m: Column, n_samples: Column, tl: Column) -> Column:

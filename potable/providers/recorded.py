@@ -1,22 +1,17 @@
-"""Providers besides the pseudo one: replay of a recorded log, and a live call.
+"""Replay of a recorded log.
 
-A provider is ``(requests, attempt) -> attempts``: a row with ``attempt``,
-``status``, ``code``, ``message`` and ``content`` for every request row.
+A replay is ``(requests, attempt) -> attempts``: a row with ``attempt``, ``status``,
+``code``, ``message`` and ``content`` for every request row. It costs no call, so
+whole rounds are answered at once (live calls: ``live.py``).
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from potable.operators.attempts import RETRY_DELAYS_MS
-
-LOG_SCHEMA = "catalog_id string, batch_no bigint, attempt int, status int, code string, message string, content string"
-
 
 def recorded_provider(log: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
     """Answer attempt k from a recorded attempt log (equi-join on the batch key).
@@ -34,45 +29,3 @@ def recorded_provider(log: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
         )
 
     return provider
-
-
-#: status of a call that raised; it is not retryable by itself
-CALL_FAILED = 598
-
-
-def live_provider(
-    call: Callable[[str, str, str], tuple[int, str | None, str | None, str | None]], wait: Callable[[float], None] = time.sleep
-) -> Callable[[DataFrame, int], DataFrame]:
-    """Wrap a request function ``call(model, system_message, payload_json) ->
-    (status, code, message, content)`` as a provider that runs on executors in
-    Arrow batches (``mapInPandas``). The caller supplies the HTTP client and
-    credentials; nothing here opens a connection.
-
-    A call that raises becomes a row (status ``CALL_FAILED``, the error's text as
-    message), so the replies already paid in its task are kept. Before a retry the
-    delay of the attempt that failed is waited, once per batch of rows. The job
-    writes the replies before anything reads them, so each request is sent once.
-    """
-
-    def provider(requests: DataFrame, attempt: int) -> DataFrame:
-        delay = RETRY_DELAYS_MS[attempt - 2] / 1000 if 2 <= attempt < len(RETRY_DELAYS_MS) + 2 else 0
-
-        def ask(model: str, system: str, payload: str) -> tuple[int, str | None, str | None, str | None]:
-            try:
-                return call(model, system, payload)
-            except Exception as error:  # noqa: BLE001
-                return CALL_FAILED, type(error).__name__, str(error), None
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if delay and len(pdf):
-                    wait(delay)
-                out = [ask(m, s, p) for m, s, p in zip(pdf["model"], pdf["system_message"], pdf["payload_json"])]
-                columns = dict(zip(("status", "code", "message", "content"), zip(*out))) if out else {}
-                yield pd.DataFrame({"catalog_id": pdf["catalog_id"], "batch_no": pdf["batch_no"], "attempt": attempt, **columns},
-                                   columns=["catalog_id", "batch_no", "attempt", "status", "code", "message", "content"])
-
-        sent = requests.select("catalog_id", "batch_no", "model", "system_message", "payload_json")
-        return sent.mapInPandas(run, LOG_SCHEMA)
-
-    return provider

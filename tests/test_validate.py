@@ -36,6 +36,10 @@ CASES = [
     ("[]", "NO_TRANSLATIONS"),
     ("1", "NO_TRANSLATIONS"),
     ('{"x":1}', "NO_TRANSLATIONS"),
+    (T(S, P) + " and more", "NOT_JSON"),
+    ("{} {}", "NOT_JSON"),
+    ("1, 2", "NOT_JSON"),
+    ("1], [2", "NOT_JSON"),
     ("null", "NO_TRANSLATIONS"),
     ('{"translations":{}}', "TRANSLATIONS_NOT_ARRAY"),
     ('{"translations":null}', "TRANSLATIONS_NOT_ARRAY"),
@@ -75,8 +79,8 @@ def test_ladder(validated):
 def test_first_position_wins_and_retry_class(validated):
     last = validated[-1]
     assert last["error_pos"] == 0 and last["retryable"] is True
-    assert validated[13]["retryable"] is False  # MISSING_MSGSTR
-    assert validated[15]["retryable"] is True  # CTX_MISMATCH
+    by_code = {r["error_code"]: r["retryable"] for r in validated}
+    assert by_code["MISSING_MSGSTR"] is False and by_code["CTX_MISMATCH"] is True
 
 
 def test_duplicate_keys_divergence(spark):
