@@ -13,7 +13,7 @@ from potable.plans.translate import Options, commit_run, requests_table, service
 from potable.providers.recorded import recorded_provider
 from potable.session import run_folder
 from potable.sinks.po_compile import catalog_blocks, catalog_stats, write_catalogs
-from potable.sources.po_text import po_scan
+from potable.sources.po_text import assemble_entries, po_scan, rejected_lines, scan_lines
 from potable.streaming.incremental import incremental_worklist
 
 
@@ -43,6 +43,30 @@ def q_po_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def broken_folder(spark: SparkSession, sf: str) -> str:
+    """The fixture's files with faults: some msgid lines lose their end, junk follows some entries."""
+    k = _key(spark, sf, "po-broken")
+    if k not in _MEMO:
+        blocks = catalog_blocks(entries(spark, sf), catalogs(spark, sf))
+        text = F.when(F.col("f") % 37 == 5, F.regexp_replace("text", '(?m)^(msgid .*)"$', "$1")).when(
+            F.col("f") % 41 == 7, F.concat("text", F.lit("\n<<<<<<< theirs"))).otherwise(F.col("text"))
+        out = _new_folder(spark, "po-broken")
+        write_catalogs(blocks.withColumn("text", text), out)
+        _MEMO[k] = out  # type: ignore[assignment]
+    return _MEMO[k]  # type: ignore[return-value]
+
+
+@query("po_scan_rejects")
+def q_po_scan_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries that a scan of files with faults keeps and rejects, by catalog and reason."""
+    folder = broken_folder(spark, sf)
+    lines = scan_lines(spark, folder)
+    kept = assemble_entries(lines, folder).where(~((F.col("msgctxt") == "") & (F.col("msgid") == "")))
+    kept = kept.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n_entries")).withColumn("reason", F.lit("kept"))
+    gone = rejected_lines(lines, folder).groupBy("catalog_id", "reason").agg(F.count_distinct("path", "entry_no").alias("n_entries"))
+    return kept.unionByName(gone).select("catalog_id", "reason", "n_entries")
+
+
 @query("translate_po_files")
 def q_translate_po_files(spark: SparkSession, sf: str) -> DataFrame:
     """Catalog files -> scan -> recorded replies -> merge -> new files, scanned again."""
@@ -69,17 +93,27 @@ def q_po_scan_headers(spark: SparkSession, sf: str) -> DataFrame:
     return cats.select("catalog_id", F.array_join(F.array_sort(pairs), "\u001f").alias("headers_text"), "target_language")
 
 
+def _compiled(spark: SparkSession, sf: str, fold_length: int = 0) -> DataFrame:
+    """The text of every block; header blocks stand at 0."""
+    blocks = catalog_blocks(entries(spark, sf), catalogs(spark, sf), fold_length)
+    return blocks.select("catalog_id", F.coalesce("f", F.lit(0)).alias("seq"), F.md5("text").alias("text_md5"))
+
+
 @query("po_compile")
 def q_po_compile(spark: SparkSession, sf: str) -> DataFrame:
-    st = catalog_stats(catalog_blocks(entries(spark, sf), catalogs(spark, sf)))
-    return st.select("catalog_id", "n_msgid_lines", "n_msgctxt_lines")
+    return _compiled(spark, sf)
 
 
 @query("po_compile_folded")
 def q_po_compile_folded(spark: SparkSession, sf: str) -> DataFrame:
-    """Compiled with fold length 76: longest line per catalog (rows-only check)."""
-    st = catalog_stats(catalog_blocks(entries(spark, sf), catalogs(spark, sf), fold_length=76))
-    return st.select("catalog_id", "max_line")
+    """Compiled with fold length 76."""
+    return _compiled(spark, sf, fold_length=76)
+
+
+@query("po_compile_stats")
+def q_po_compile_stats(spark: SparkSession, sf: str) -> DataFrame:
+    st = catalog_stats(catalog_blocks(entries(spark, sf), catalogs(spark, sf)))
+    return st.select("catalog_id", "n_msgid_lines", "n_msgctxt_lines")
 
 
 @query("commit_results")

@@ -35,7 +35,7 @@ from potable.providers.pseudo import pseudo_attempts
 from potable.providers.recorded import recorded_provider
 from potable.session import run_folder
 from potable.sinks.po_compile import catalog_blocks, write_catalogs
-from potable.sources.po_text import po_scan, po_scan_obsolete
+from potable.sources.po_text import opaque_lines, rejected_lines, scan_lines, scanned_catalogs, scanned_entries
 from potable.sources.responses import response_log_scan, write_response_log
 
 Replay = Callable[[DataFrame, int], DataFrame]
@@ -253,19 +253,30 @@ def run_job(
 
 def translate_files(
     spark: SparkSession, in_dir: str, out_dir: str, provider: Provider, opts: Options = Options(), fold_length: int = 0,
-    run_id: str | None = None,
+    run_id: str | None = None, options: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The job on catalog files: scan, translate, merge, and write new versions to ``out_dir``.
 
     Obsolete blocks and header comments are carried over; the input is never
     overwritten. Started again under its ``run_id``, it sends no request twice.
+    ``options`` (one resolved row per catalog) drives each catalog's run, its fold length
+    included. A catalog with a line that can't be read is neither sent nor written, as
+    nothing could put that line back: its lines are the table ``rejects``.
     """
-    ents, cats = po_scan(spark, in_dir)
-    ents, cats = materialize(ents, "scanned"), materialize(cats, "scanned-catalogs")
-    tables = run_job(ents, cats, opts, provider, run_id=run_id)
-    blocks = catalog_blocks(tables["merged"], cats, fold_length, po_scan_obsolete(spark, in_dir))
-    write_catalogs(blocks, out_dir)
-    return tables
+    lines = scan_lines(spark, in_dir)
+    rejects = materialize(rejected_lines(lines, in_dir), "rejects")
+    faulty = materialize(rejects.select("catalog_id").distinct(), "faulty-catalogs")
+    ents = spread_join(scanned_entries(lines, in_dir), faulty, ["catalog_id"], by=["seq"], how="left_anti")
+    ents = materialize(ents, "scanned")
+    cats = materialize(scanned_catalogs(ents), "scanned-catalogs")
+    tables = run_job(ents, cats, opts, provider, options, run_id)
+    merged, fold = tables["merged"], fold_length
+    if options is not None:
+        widths = options.select("catalog_id", F.coalesce("fold_length", F.lit(fold_length)).alias("fold_length"))
+        merged, fold = spread_join(merged, widths, ["catalog_id"], by=["seq"], how="left"), "fold_length"
+    opaque = opaque_lines(lines, in_dir).join(faulty, "catalog_id", "left_anti")
+    write_catalogs(catalog_blocks(merged, cats, fold, opaque), out_dir)
+    return tables | {"rejects": rejects}
 
 
 def commit_run(tables: dict[str, DataFrame], out_dir: str, run_id: str) -> None:

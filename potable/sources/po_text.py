@@ -1,13 +1,20 @@
 """Scan gettext PO files into the entries and catalogs tables.
 
-A multi-file scan job: files are read in splits, and every line is numbered and
-classified. Windows over chunks of lines carry the current keyword onto
-continuation lines and number the entries: a new entry starts whenever a line
-belongs to an earlier section than the line before it (comments < msgctxt < msgid <
+A multi-file scan job: files are read in splits, and every line is classified where it
+is read and written once, with its place: split, and running number in the task that
+read the split. Chunks of lines within a split are counted; prefix sums over these
+counts give line numbers, and windows inside a chunk carry the current keyword onto
+continuation lines and number the entries: a new entry starts whenever a line belongs
+to an earlier section than the line before it (comments < msgctxt < msgid <
 msgid_plural < msgstr), so entries that follow without a blank line are still split.
 Entries are then assembled with one ``groupBy(file, entry)`` whose groups hold a
-handful of lines. Obsolete ``#~`` blocks are kept apart, with their comments, as
-opaque text. Of equal keys in one catalog the last entry wins, at the place of the first.
+handful of lines.
+
+No line falls out: each is blank, or belongs to an entry, to opaque text (obsolete
+``#~`` blocks with their comments, comments without an entry) or to the rejects. An
+entry with a faulty line is rejected whole, with the reason of its first fault, so
+its strings never reach a neighbour. Of equal keys in one catalog the last entry
+wins, at the place of the first.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from pyspark.sql import functions as F
 
 from potable.functions.text import js_trim
 from potable.operators.locale import parse_headers, with_language_fields
-from potable.operators.numbering import dense_ordinal
+from potable.operators.numbering import dense_ordinal, materialize
 from potable.operators.select import with_parser_key
 from potable.sources.fixture import dedupe_keys
 
@@ -38,9 +45,14 @@ def unescape(col: Column) -> Column:
 
 
 _KW = r'(?s)\A(msgctxt|msgid_plural|msgid|msgstr(?:\[[0-9]+\])?)[ \t]*"(.*)"[ \t]*\z'
-_CONT = r'(?s)\A[ \t]*"(.*)"[ \t]*\z'
+_CONT = r'(?s)\A"(.*)"[ \t]*\z'
+_KW_NAME = r"\A(msgctxt|msgid_plural|msgid|msgstr)(?![A-Za-z0-9_])"
 _RANK = {"comment": 0, "msgctxt": 1, "msgid": 2, "msgid_plural": 3, "msgstr": 4, "obsolete": 5}
 
+#: reasons for which an entry is rejected
+UNTERMINATED, UNKNOWN = "unterminated string", "unknown line"
+NO_KEYWORD, NO_MSGID, TWICE = "string without keyword", "entry without msgid", "keyword twice"
+
 
 def catalog_id_of(path: Column, root: str) -> Column:
     """``.../catalog_id=X/...`` (partitioned writes), or the file's path below ``root``
@@ -56,91 +68,133 @@ def catalog_id_of(path: Column, root: str) -> Column:
 CHUNK_LINES = 100_000
 
 
-def read_po_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, line — files read in splits, so one large file is spread
-    over many tasks. A line's place in its file is (split start, position in
-    the split); the skew-proof ordinal turns that into a line number per file."""
+def read_po_lines(spark: SparkSession, path: str, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Placed lines of every file under ``path``, read in splits: one large file is
+    spread over many tasks."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.col("value").alias("line"),
     )
-    return number_lines(raw)
-
-
-def number_lines(raw: DataFrame) -> DataFrame:
-    """(path, __block, line) rows straight from a text scan -> path, line_no, line.
+    return place_lines(raw, chunk_lines)
 
-    ``monotonically_increasing_id`` is taken before any shuffle, so it follows
-    the order of lines inside each split."""
-    with_pos = raw.withColumn("__mid", F.monotonically_increasing_id())
-    numbered = dense_ordinal(with_pos, ["path"], ["__block", "__mid"], "line_no")
-    return numbered.select("path", (F.col("line_no") - 1).alias("line_no"), "line")
 
-
-def _rank_of(kw: Column) -> Column:
-    section = F.when(kw.startswith("msgstr"), F.lit("msgstr")).otherwise(kw)
-    return F.coalesce(*[F.when(section == k, F.lit(v)) for k, v in _RANK.items()])
+def _closed(body: Column) -> Column:
+    """Whether a string's body has no bare quote, and no backslash that escapes its end."""
+    rest = F.replace(F.replace(body, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    return ~rest.contains('"') & ~rest.endswith("\\")
 
 
-def classify_line_rows(lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """One row per significant line with section, keyword, piece and entry number.
+def place_lines(raw: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """(path, __block, line) rows straight from a text scan -> a written table of all lines
+    with their place (block, chunk, at), kind, keyword, string piece and fault.
 
-    Regexes only run on the lines they apply to, and every window is bounded: windows run per chunk of ``chunk_lines`` consecutive lines,
-    and what a chunk inherits (the last keyword, the entries started before it)
-    comes from a small per-chunk table."""
-    ld = F.regexp_replace("line", "^[ \\t]+", "")
-    x = lines.withColumn("lead", ld).withColumn("__chunk", F.floor(F.col("line_no") / chunk_lines).cast("bigint"))
+    ``at`` is taken before any shuffle, so it counts the lines of a split in their
+    order; chunks are cut by it. Regexes only run on the lines they apply to.
+    """
+    x = raw.withColumn("at", F.monotonically_increasing_id()).withColumn("lead", F.regexp_replace("line", "^\\ufeff?[ \\t]+|^\\ufeff", ""))
     lead = F.col("lead")
+    x = x.withColumn("__kw", F.when(lead.startswith("msg"), F.regexp_extract("lead", _KW, 1))).withColumn(
+        "__name", F.when(lead.startswith("msg"), F.regexp_extract("lead", _KW_NAME, 1))
+    )
     kind = (
         F.when(lead.startswith("#~"), F.lit("obsolete"))
         .when(lead.startswith("#"), F.lit("comment"))
-        .when(lead.startswith("msg") & lead.rlike(_KW), F.lit("keyword"))
+        .when(F.coalesce(F.col("__name"), F.lit("")) != "", F.lit("keyword"))
         .when(lead.startswith('"'), F.lit("cont"))
-        .otherwise(F.lit("other"))
+        .when(js_trim("lead") == "", F.lit("blank"))
+        .otherwise(F.lit("unknown"))
     )
-    sig = x.withColumn("kind", kind).where(F.col("kind") != "other")
-    sig = sig.withColumn(
-        "kw_here",
-        F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 1)).when(F.col("kind") != "cont", F.col("kind")),
+    piece = F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 2)).when(
+        F.col("kind") == "cont", F.regexp_extract("lead", _CONT, 1)
+    )
+    whole = F.when(F.col("kind") == "keyword", F.col("__kw") != "").otherwise(lead.rlike(_CONT))
+    is_string = F.col("kind").isin("keyword", "cont")
+    placed = (
+        x.withColumn("kind", kind)
+        .withColumn("piece", piece)
+        .withColumn("kw_here", F.when(F.col("kind") == "keyword", F.coalesce(F.nullif("__kw", F.lit("")), F.col("__name"))).when(
+            F.col("kind").isin("comment", "obsolete"), F.col("kind")))
+        .withColumn("fault", F.when(is_string & ~(whole & _closed(F.col("piece"))), F.lit(UNTERMINATED)).when(
+            F.col("kind") == "unknown", F.lit(UNKNOWN)))
     )
-    # carry-in keyword per chunk: last keyword of all earlier chunks
-    per_chunk = sig.groupBy("path", "__chunk").agg(
-        F.max_by(F.col("kw_here"), F.when(F.col("kw_here").isNotNull(), F.col("line_no"))).alias("__last_kw")
+    return materialize(
+        placed.select(
+            "path", F.col("__block").alias("block"), F.floor(F.col("at") / chunk_lines).cast("bigint").alias("chunk"), "at",
+            "kind", "kw_here", "fault", "piece", "line", "lead",
+        ),
+        "po-lines",
     )
-    earlier = Window.partitionBy("path").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_chunk.select("path", "__chunk", F.last("__last_kw", ignorenulls=True).over(earlier).alias("__carry_kw"))
-    w = Window.partitionBy("path", "__chunk").orderBy("line_no")
-    sig = sig.join(carry, on=["path", "__chunk"], how="inner")
+
+
+def _rank_of(kw: Column) -> Column:
+    section = F.when(kw.startswith("msgstr"), F.lit("msgstr")).otherwise(kw)
+    return F.coalesce(*[F.when(section == k, F.lit(v)) for k, v in _RANK.items()])
+
+
+CHUNK = ["path", "block", "chunk"]
+
+
+def classify_line_rows(placed: DataFrame) -> DataFrame:
+    """One row per line that is not blank, with line and entry number, keyword in force and fault.
+
+    Every window is bounded: it runs inside a chunk, and what a chunk inherits (lines
+    before it, the last keyword, the entries started before it) comes from prefix sums
+    over one row per chunk."""
+    per_chunk = placed.groupBy(*CHUNK).agg(
+        F.count(F.lit(1)).alias("__lines"), F.min("at").alias("__first"),
+        F.max_by(F.col("kw_here"), F.when(F.col("kw_here").isNotNull(), F.col("at"))).alias("__last_kw"),
+    )
+    earlier = Window.partitionBy("path").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_chunk.select(
+        *CHUNK, "__first", F.coalesce(F.sum("__lines").over(earlier), F.lit(0)).alias("__lines_before"),
+        F.last("__last_kw", ignorenulls=True).over(earlier).alias("__carry_kw"),
+    )
+    w = Window.partitionBy(*CHUNK).orderBy("at")
+    sig = placed.where(F.col("kind") != "blank").join(carry, on=CHUNK, how="inner")
     sig = sig.withColumn(
         "kw",
         F.coalesce(F.last("kw_here", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("__carry_kw")),
     ).withColumn("rank", _rank_of(F.col("kw")))
     prev = F.coalesce(F.lag("rank").over(w), _rank_of(F.col("__carry_kw")))
-    # an obsolete block takes the comments before it, but never a live entry's lines
-    fresh = prev.isNull() | (F.col("rank") < prev) | ((F.col("kind") == "obsolete") & prev.between(1, 4))
-    sig = sig.withColumn("__start", F.when(fresh, 1).otherwise(0))
-    # entries started in earlier chunks
-    starts = sig.groupBy("path", "__chunk").agg(F.sum("__start").alias("__n"))
-    before = starts.select(
-        "path", "__chunk", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")
-    )
-    sig = sig.join(before, on=["path", "__chunk"], how="inner").withColumn(
+    keyword = F.col("kind") == "keyword"
+    # an obsolete block takes the comments before it, but never a live entry's lines;
+    # a msgid or msgctxt never goes on in an entry that has one
+    again = keyword & (((F.col("kw") == "msgid") & (prev >= 2)) | ((F.col("kw") == "msgctxt") & (prev >= 1)))
+    fresh = prev.isNull() | (F.col("rank") < prev) | ((F.col("kind") == "obsolete") & prev.between(1, 4)) | again
+    sig = sig.withColumn("__start", F.when(F.coalesce(fresh, F.lit(False)), 1).otherwise(0))
+    starts = sig.groupBy(*CHUNK).agg(F.sum("__start").alias("__n"))
+    before = starts.select(*CHUNK, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    sig = sig.join(before, on=CHUNK, how="inner").withColumn(
         "entry_no", F.col("__before") + F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
-    piece = F.when(F.col("kind") == "keyword", F.regexp_extract("lead", _KW, 2)).when(
-        F.col("kind") == "cont", F.regexp_extract("lead", _CONT, 1)
-    )
+    loose = (F.col("kind") == "cont") & F.coalesce(F.col("kw").isin("comment", "obsolete"), F.lit(True))
     is_c = F.col("kind") == "comment"
-    return (
-        sig.withColumn("piece", piece)
-        .withColumn("ctype", F.when(is_c, F.substring("lead", 1, 2)))
-        .withColumn("ctext", F.when(is_c, js_trim(F.expr("substr(lead, 3)"))))
-        .withColumn("ttext", F.when(is_c, js_trim(F.expr("substr(lead, 2)"))))
-        .drop("__chunk", "__carry_kw", "__start", "__before", "kw_here")
+    return sig.select(
+        "path", (F.col("__lines_before") + F.col("at") - F.col("__first")).alias("line_no"), "entry_no", "kind", "kw", "piece",
+        F.coalesce("fault", F.when(loose, F.lit(NO_KEYWORD))).alias("fault"), "line",
+        F.when(is_c, F.substring("lead", 1, 2)).alias("ctype"),
+        F.when(is_c, js_trim(F.expr("substr(lead, 3)"))).alias("ctext"),
+        F.when(is_c, js_trim(F.expr("substr(lead, 2)"))).alias("ttext"),
     )
 
 
+def line_groups(lines: DataFrame) -> DataFrame:
+    """(path, entry_no, fault, has_msgid) of every group of classified lines."""
+    is_kw = F.col("kind") == "keyword"
+    repeated = F.size(F.collect_set(F.when(is_kw, F.col("kw")))) < F.count_if(is_kw)
+    has_msgid = F.count_if(is_kw & (F.col("kw") == "msgid")) > 0
+    first = F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("line_no")))
+    g = lines.groupBy("path", "entry_no").agg(
+        first.alias("first"), repeated.alias("repeated"), has_msgid.alias("has_msgid"),
+        (F.count_if(F.col("kind").isin("keyword", "cont")) > 0).alias("has_string"),
+    )
+    fault = F.coalesce(
+        "first", F.when(F.col("repeated"), F.lit(TWICE)), F.when(F.col("has_string") & ~F.col("has_msgid"), F.lit(NO_MSGID))
+    )
+    return g.select("path", "entry_no", fault.alias("fault"), "has_msgid")
+
+
 def _joined(cond: Column, value: Column, sep: str) -> Column:
     parts = F.array_sort(F.collect_list(F.when(cond, F.struct("line_no", value.alias("v")))))
     return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda p: p["v"]), sep))
@@ -148,7 +202,7 @@ def _joined(cond: Column, value: Column, sep: str) -> Column:
 
 def assemble_entries(lines: DataFrame, root: str) -> DataFrame:
     """Group classified lines into entries (``entry_no`` = number within the file).
-    Groups of obsolete lines, with the comments before them, give no entry."""
+    Opaque and rejected groups give no entry."""
     kw = F.col("kw")
     is_str = F.col("kind").isin("keyword", "cont")
     is_c = F.col("kind") == "comment"
@@ -171,6 +225,8 @@ def assemble_entries(lines: DataFrame, root: str) -> DataFrame:
         _joined(is_str & (kw == "msgid"), F.col("piece"), "").alias("msgid_raw"),
         _joined(is_str & (kw == "msgid_plural"), F.col("piece"), "").alias("msgid_plural_raw"),
         forms.alias("forms"),
+        F.count("fault").alias("faults"),
+        (F.size(F.collect_set(F.when(F.col("kind") == "keyword", kw))) < F.count_if(F.col("kind") == "keyword")).alias("repeated"),
         _joined(is_tr, F.col("ttext"), "\n").alias("translator"),
         _joined(is_c & (F.col("ctype") == "#,"), F.col("ctext"), "\n").alias("flag"),
         _joined(is_c & (F.col("ctype") == "#:"), F.col("ctext"), "\n").alias("reference"),
@@ -189,7 +245,7 @@ def assemble_entries(lines: DataFrame, root: str) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(x["k"].alias("k"), x["v"].alias("v"))))),
     )
-    return g.where(F.col("msgid_raw").isNotNull()).select(
+    return g.where(F.col("msgid_raw").isNotNull() & (F.col("faults") == 0) & ~F.col("repeated")).select(
         catalog_id_of(F.col("path"), root).alias("catalog_id"),
         "path",
         F.col("entry_no").cast("bigint").alias("entry_no"),
@@ -212,16 +268,52 @@ def assemble_entries(lines: DataFrame, root: str) -> DataFrame:
     )
 
 
-def po_scan_obsolete(spark: SparkSession, path: str) -> DataFrame:
-    """``#~`` lines and the comments that belong to them, as opaque rows (catalog_id,
-    path, line_no, line) that the sink carries to the end of the catalog."""
-    lines = classify_line_rows(read_po_lines(spark, path))
-    blocks = lines.where(F.col("kind") == "obsolete").select("path", "entry_no").distinct()
-    return lines.where(F.col("kind").isin("obsolete", "comment")).join(blocks, on=["path", "entry_no"], how="left_semi").select(
-        catalog_id_of(F.col("path"), path).alias("catalog_id"), "path", "line_no", "line"
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Classified lines of every file under ``path``, written once for all that is made of them."""
+    return materialize(classify_line_rows(read_po_lines(spark, path)), "po-classified")
+
+
+def _of_groups(lines: DataFrame, which: DataFrame, root: str) -> DataFrame:
+    return lines.join(which, on=["path", "entry_no"], how="inner").withColumn("catalog_id", catalog_id_of(F.col("path"), root))
+
+
+def opaque_lines(lines: DataFrame, root: str) -> DataFrame:
+    """``#~`` lines, the comments that belong to them and comments without an entry
+    (catalog_id, path, line_no, line): the sink carries them to the end of the catalog."""
+    which = line_groups(lines).where("fault is null and not has_msgid").select("path", "entry_no")
+    return _of_groups(lines, which, root).select("catalog_id", "path", "line_no", "line")
+
+
+def rejected_lines(lines: DataFrame, root: str) -> DataFrame:
+    """All lines of rejected entries: catalog_id, path, entry_no, line_no (from 1), reason
+    (of the entry's first fault) and line."""
+    which = line_groups(lines).where("fault is not null").select("path", "entry_no", F.col("fault").alias("reason"))
+    return _of_groups(lines, which, root).select(
+        "catalog_id", "path", "entry_no", (F.col("line_no") + 1).alias("line_no"), "reason", "line"
     )
 
 
+def line_accounts(placed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Per file: all lines, and how many are blank, in entries, opaque and rejected (they add up)."""
+    of = lines.join(line_groups(lines).withColumnRenamed("fault", "__fault"), on=["path", "entry_no"], how="inner")
+    kinds = of.groupBy("path").agg(
+        F.count_if(F.col("__fault").isNull() & F.col("has_msgid")).alias("n_entry_lines"),
+        F.count_if(F.col("__fault").isNull() & ~F.col("has_msgid")).alias("n_opaque"),
+        F.count_if(F.col("__fault").isNotNull()).alias("n_rejected"),
+    )
+    read = placed.groupBy("path").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("kind") == "blank").alias("n_blank"))
+    zero = {c: 0 for c in ("n_entry_lines", "n_opaque", "n_rejected")}
+    return read.join(kinds, "path", "left").fillna(zero)
+
+
+def po_scan_obsolete(spark: SparkSession, path: str) -> DataFrame:
+    return opaque_lines(scan_lines(spark, path), path)
+
+
+def po_scan_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return rejected_lines(scan_lines(spark, path), path)
+
+
 def file_order(entries: DataFrame) -> DataFrame:
     """``seq`` = position of the entry in its catalog: a catalog may be written
     as several ordered part files, so order by (part number, file path, entry
@@ -231,20 +323,24 @@ def file_order(entries: DataFrame) -> DataFrame:
 
 
 def scanned_entries(lines: DataFrame, root: str) -> DataFrame:
-    """Numbered lines -> entries as a keyed map gives them: the last of equal keys wins
+    """Classified lines -> entries as a keyed map gives them: the last of equal keys wins
     and stands where the first one stood; with the sort key of the parser's order."""
-    return with_parser_key(dedupe_keys(file_order(assemble_entries(classify_line_rows(lines), root))))
+    return with_parser_key(dedupe_keys(file_order(assemble_entries(lines, root))))
+
+
+def scanned_catalogs(entries: DataFrame) -> DataFrame:
+    """One row per catalog that has a header entry: its header map and language fields."""
+    head = entries.where((F.col("msgctxt") == "") & (F.col("msgid") == "")).select(
+        "catalog_id", F.coalesce(F.try_element_at("msgstr", F.lit(1)), F.lit("")).alias("header_text")
+    )
+    return with_language_fields(head.withColumn("headers", parse_headers("header_text")))
 
 
 def po_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, catalogs) of every PO file under ``path``.
 
     Entries keep the header row (``msgid ''``); catalogs carry the parsed
-    header map and language fields.
+    header map and language fields. What could not be read: ``po_scan_rejects``.
     """
-    ents = scanned_entries(read_po_lines(spark, path), path)
-    head = ents.where((F.col("msgctxt") == "") & (F.col("msgid") == "")).select(
-        "catalog_id", F.coalesce(F.try_element_at("msgstr", F.lit(1)), F.lit("")).alias("header_text")
-    )
-    cats = with_language_fields(head.withColumn("headers", parse_headers("header_text")))
-    return ents, cats
+    ents = scanned_entries(classify_line_rows(read_po_lines(spark, path)), path)
+    return ents, scanned_catalogs(ents)

@@ -17,11 +17,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from potable.operators import batching
 from potable.operators import select as sel
-from potable.sources.po_text import number_lines, scanned_entries
+from potable.sources.po_text import classify_line_rows, place_lines, scanned_entries
 
 
 def _requests_of(raw_lines: DataFrame, in_dir: str, include_fuzzy: bool) -> DataFrame:
-    entries = scanned_entries(number_lines(raw_lines), in_dir)
+    entries = scanned_entries(classify_line_rows(place_lines(raw_lines)), in_dir)
     work = sel.worklist(entries, include_fuzzy=include_fuzzy)
     return batching.batch_requests(batching.number_batches(work))
 

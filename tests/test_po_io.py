@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from potable.operators import batching
 from potable.operators import select as sel
-from potable.sinks.po_compile import catalog_blocks, fold_chunks, write_catalogs
+from potable.sinks.po_compile import catalog_blocks, pieces, write_catalogs
 from potable.sources.po_text import po_scan, po_scan_obsolete
 
 PO = r'''msgid ""
@@ -100,7 +100,14 @@ def test_fold(spark, tmp_path):
     assert f'msgid "{long}"' in flat
     folded = " ".join(r["text"] for r in catalog_blocks(ents, cats, fold_length=76).collect())
     assert 'msgid ""\n"Every second lamp in the corridor stays dark until the night porter goes "' in folded
-    assert fold_chunks("a\\nb", 76) == ["a\\n", "b"]
+    values = [("a\nb",), ("x" * 200,), ("one " * 40,), ("\\" * 100,), ('a"b ' + "\t" * 60,), ("  " * 60 + "end",), ("",), (None,), ("\n\n",), ("a" * 76 + " b",)]
+    for value, lines in spark.createDataFrame(values, "v string").select("v", pieces(F.col("v"), 76)).collect():
+        assert all(0 < len(x) <= 76 for x in lines)
+        plain = "".join(lines).replace("\\\\", "\0").replace('\\"', '"').replace("\\n", "\n").replace("\\t", "\t").replace("\0", "\\")
+        assert plain == (value or "")
+        assert all(x.endswith("\\n") == (i < (value or "").count("\n")) for i, x in enumerate(lines)) or "\n" not in (value or "")
+        # greedy: no line could have taken the first word of the next
+        assert all(len(x) + len(y.split(" ")[0]) + 1 > 76 or x.endswith("\\n") for x, y in zip(lines, lines[1:]))
     plural = spark.createDataFrame([("c", 1, "", "one", "many", [long, "x"], None, None)],
                                    "catalog_id string, seq long, msgctxt string, msgid string, msgid_plural string, msgstr array<string>, flag string, translator string")
     ptext = " ".join(r["text"] for r in catalog_blocks(plural, cats, fold_length=76).collect())
@@ -135,7 +142,7 @@ def test_split_read_is_the_same_for_any_chunk(spark, tmp_path):
             for r in df.collect()
         )
 
-    found = [key(assemble_entries(classify_line_rows(read_po_lines(spark, str(d)), chunk_lines=c), str(d))) for c in (100_000, 1, 2, 3)]
+    found = [key(assemble_entries(classify_line_rows(read_po_lines(spark, str(d), chunk_lines=c)), str(d))) for c in (100_000, 1, 2, 3)]
     assert [(r[0], r[3]) for r in found[0] if r[0] == "de"] == [("de", "A"), ("de", "C")]
     assert found[1:] == [found[0]] * 3
 
@@ -210,3 +217,105 @@ def test_overwritten_keys_across_batch_borders(spark, tmp_path):
     ordered = [(c, m) for c, of in seen.items() for m in sorted(of, key=lambda m: (m != "7")) if of[m] == ""]
     got = [(i["msgctxt"], i["msgid"]) for r in reqs for i in r["items"]]
     assert got == ordered and [r["n_items"] for r in reqs] == [15, 15, len(ordered) - 30]
+
+
+BROKEN = [
+    'msgid "a"', 'msgstr "A"', "",
+    'msgid "broken', 'msgstr "must not reach a"', "",  # no end quote
+    "# why", 'msgid "b"', 'msgstr ""', '"one "', '"two', '"three"', "",  # a continuation without its end
+    'msgid "c"', 'msgstr "C"', "what is this?", "",
+    'msgid "quo"te"', 'msgstr ""', "",
+    'msgid "d"', 'msgstr "D\\\\"', "",  # escaped backslash: closed
+    'msgid "e"', 'msgstr "E\\"', "",  # escaped quote: open
+    'msgctxt "only"', 'msgstr "x"', "",
+    'msgid "f"', 'msgid_plural "fs"', 'msgid_plural "ff"', 'msgstr[0] ""', "",
+    'msgid "g"', 'msgid "h"', 'msgstr "H"', "  ", "\t",
+    "#~ msgid \"old\"", "#~ msgstr \"alt\"", "",
+    "# a comment", '"behind it"', "",
+    'msgstr[x] "no"', "",
+    'msgid "i"', 'msgstr "I"', "# the end",
+]
+
+
+def test_faulty_entries_are_rejected_whole_and_no_line_is_lost(spark, tmp_path):
+    from potable.sources.po_text import classify_line_rows, line_accounts, po_scan_rejects, read_po_lines, rejected_lines
+
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "x.po").write_text("\n".join(BROKEN), encoding="utf-8")
+    (d / "bom.po").write_text('﻿msgid "k"\nmsgstr "K"\n', encoding="utf-8")
+    (d / "junk.po").write_text('<html>\n"lost"\n\nmsgid "l"\nmsgstr "L"\n', encoding="utf-8")
+    (d / "blank.po").write_text("\n\n", encoding="utf-8")
+    ents, _ = po_scan(spark, str(d))
+    got = {(r["catalog_id"], r["msgid"]): r["msgstr"] for r in ents.collect()}
+    assert got == {
+        ("x", "a"): ["A"], ("x", "d"): ["D\\"], ("x", "g"): None, ("x", "h"): ["H"], ("x", "i"): ["I"],
+        ("bom", "k"): ["K"], ("junk", "l"): ["L"],
+    }
+    rejects = po_scan_rejects(spark, str(d)).orderBy("path", "line_no").collect()
+    reasons: dict = {}
+    for r in rejects:
+        reasons.setdefault((r["catalog_id"], r["entry_no"], r["reason"]), []).append(r["line_no"])
+    assert sorted((c, why, lines) for (c, _, why), lines in reasons.items()) == sorted([
+        ("x", "unterminated string", [4, 5]), ("x", "unterminated string", [7, 8, 9, 10, 11, 12]), ("x", "unknown line", [14, 15, 16]),
+        ("x", "unterminated string", [18, 19]), ("x", "unterminated string", [24, 25]), ("x", "entry without msgid", [27, 28]),
+        ("x", "keyword twice", [30, 31, 32, 33]), ("x", "string without keyword", [43, 44, 46]),
+        ("junk", "unknown line", [1]), ("junk", "string without keyword", [2]),
+    ])
+    assert all(BROKEN[r["line_no"] - 1] == r["line"] for r in rejects if r["catalog_id"] == "x")
+    for chunk in (100_000, 1, 3):
+        placed = read_po_lines(spark, str(d), chunk)
+        lines = classify_line_rows(placed)
+        accounts = {r["path"].rsplit("/", 1)[-1]: r for r in line_accounts(placed, lines).collect()}
+        for r in accounts.values():
+            assert r["n_lines"] == r["n_blank"] + r["n_entry_lines"] + r["n_opaque"] + r["n_rejected"]
+        assert accounts["x.po"]["n_lines"] == len(BROKEN) and accounts["x.po"]["n_opaque"] == 3 and accounts["blank.po"]["n_blank"] == 2
+        assert rejected_lines(lines, str(d)).count() == len(rejects)
+
+
+def test_large_file_read_in_many_splits(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    body = "".join(f'msgid "m{i}"\nmsgstr ""\n"x{i}"\n\n' for i in range(4000))
+    (d / "x.po").write_text(body, encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        ents, _ = po_scan(spark, str(d))
+        got = [(r["msgid"], r["msgstr"], r["seq"]) for r in ents.orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(f"m{i}", [f"x{i}"], i + 1) for i in range(4000)]
+
+
+def test_files_with_faults_and_fold_lengths(spark, tmp_path):
+    from potable.plans.translate import Options, translate_files
+    from potable.providers.live import live_provider
+
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    head = 'msgid ""\nmsgstr "Language: {}\\n"\n\n'
+    long = "word " * 30
+    (src / "good.po").write_text(head.format("uk") + f'msgid "{long}"\nmsgstr ""\n\n# last words\n', encoding="utf-8")
+    (src / "flat.po").write_text(head.format("uk") + f'msgid "{long}"\nmsgstr ""\n', encoding="utf-8")
+    (src / "bad.po").write_text(head.format("uk") + 'msgid "x"\nmsgstr ""\n\nmsgid "y\nmsgstr ""\n', encoding="utf-8")
+
+    def call(model, system, payload):
+        import json
+
+        asked = json.loads(payload)["translations"]
+        return 200, None, None, json.dumps({"translations": [{**a, "msgstr": "так " * 30} for a in asked]})
+
+    options = spark.createDataFrame(
+        [(c, "en", None, False, False, n, None, False) for c, n in (("good", 40), ("flat", None), ("bad", 40))],
+        "catalog_id string, source_lang string, model string, include_fuzzy boolean, add_fuzzy boolean, fold_length int, context string, debug boolean",
+    )
+    tables = translate_files(spark, str(src), str(out), live_provider(call), Options(per_catalog=True), options=options)
+    # nothing of the file with a fault is sent or written
+    assert {r["catalog_id"] for r in tables["requests"].collect()} == {"good", "flat"}
+    assert sorted(p.name for p in out.iterdir() if p.is_dir()) == ["catalog_id=flat", "catalog_id=good"]
+    assert [(r["catalog_id"], r["line_no"], r["reason"]) for r in tables["rejects"].orderBy("line_no").collect()] == [
+        ("bad", 7, "unterminated string"), ("bad", 8, "unterminated string")]
+    good, flat = _read_all(out / "catalog_id=good"), _read_all(out / "catalog_id=flat")
+    assert max(len(line) for line in good.splitlines()) <= 42 and good.rstrip().endswith("# last words")
+    assert f'msgid "{long}"' in flat and "так так" in flat
