@@ -152,11 +152,21 @@ oracle(
     + "select catalog_id, batch_no, attempt, cast(status as bigint) as status, md5(content) as content_md5 from ct",
 )
 
+# both editions by file order; the second sends what the first did not hold, behind its batches
 oracle(
     "incremental_worklist",
     with_entries()
     + f"""
-select catalog_id, count(*) as n_items from d
-where msgid <> '' and (case when msgid_plural is null then {blank('msgstr[1]')} else {untrans('msgstr')} end)
-group by catalog_id""",
+, blanks as (select * from d where msgid <> '' and {_FILE_WORK.replace('untranslated', untrans('msgstr'))}),
+e1 as (select *, 0 as edition, 0 as upto, row_number() over (partition by catalog_id order by {_FILE_ORDER.replace('ctx_first', 'c1')}) as n
+  from (select a.*, f.c1 from blanks a join (select catalog_id, msgctxt, min(seq) as c1 from d where seq % 5 <> 0 or msgid = '' group by all) f
+    using (catalog_id, msgctxt) where seq % 5 <> 0) q),
+b1 as (select catalog_id, cast(ceil(count(*) / 15) as bigint) as upto from e1 group by catalog_id),
+e2 as (select a.*, 1 as edition, coalesce(b1.upto, 0) as upto, row_number() over (partition by a.catalog_id order by {_FILE_ORDER}) as n
+  from blanks a left join b1 using (catalog_id) where seq % 5 = 0),
+both_editions as (select catalog_id, edition, upto, n, msgctxt, msgid, msgid_plural from e1 union all
+  select catalog_id, edition, upto, n, msgctxt, msgid, msgid_plural from e2)
+select catalog_id, cast(edition as bigint) as edition, cast(upto + floor((n - 1) / 15) + 1 as bigint) as batch_no,
+  cast((n - 1) % 15 as bigint) as pos, msgctxt, coalesce(msgid_plural, msgid) as asked
+from both_editions""".replace("\n, blanks as", ", blanks as", 1),
 )

@@ -143,13 +143,24 @@ def q_response_log_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _first_edition() -> F.Column:
+    """Entries that the first edition of the incremental files has already."""
+    return (F.col("seq") % 5 != 0) | (F.col("msgid") == "")
+
+
 @query("incremental_worklist")
 def q_incremental_worklist(spark: SparkSession, sf: str) -> DataFrame:
-    """Streaming: new catalog files -> work-list -> requests; item count per catalog."""
+    """Items that two runs send: over the files' first edition, then over the whole one in its place."""
     k = _key(spark, sf, "incremental")
     if k not in _MEMO:
-        out = _new_folder(spark, "incremental-out")
-        incremental_worklist(spark, compiled_folder(spark, sf), out, _new_folder(spark, "incremental-ckpt"))
-        _MEMO[k] = materialize(spark.read.parquet(out), "incremental")
-    reqs = _MEMO[k]
-    return reqs.groupBy("catalog_id").agg(F.sum("n_items").cast("bigint").alias("n_items"))
+        src, out, ckpt = (_new_folder(spark, f"incremental-{x}") for x in ("in", "out", "ckpt"))
+        ents, cats = entries(spark, sf), catalogs(spark, sf)
+        for edition in (ents.where(_first_edition()), ents):
+            write_catalogs(catalog_blocks(edition, cats), src)
+            incremental_worklist(spark, src, out, ckpt, shards=2)
+        _MEMO[k] = out  # type: ignore[assignment]
+    sent = spark.read.parquet(f"{_MEMO[k]}/requests").withColumn("item", F.explode("items"))
+    return sent.select(
+        "catalog_id", F.col("epoch").cast("bigint").alias("edition"), "batch_no", F.col("item.pos").cast("bigint").alias("pos"),
+        F.col("item.msgctxt").alias("msgctxt"), F.coalesce("item.msgid_plural", "item.msgid").alias("asked"),
+    )
