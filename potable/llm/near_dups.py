@@ -9,16 +9,21 @@
    hashing (bin, attempt) until a filled one is met (optimal densification).
 3. *Buckets.* ``bands`` bands of ``rows`` bins give bucket keys; buckets of one
    class are dropped by a count.
-4. *Star edges.* Each bucket's centre is its member of lowest priority (a hash of
-   the id, the same in every band, so that a group agrees on few centres). A
-   member's edge to the centre it shares most buckets with is confirmed on the
-   full sets; connected components follow. That is at most one edge per class.
+4. *Star edges.* Each bucket's centre is the member whose buckets hold the most members
+   in all (then by a hash of the id). The text that others were made from meets each
+   of them more often than they meet each other, so a group agrees on it, or on few
+   like it. A member's edge to the centre it shares most buckets with is confirmed on
+   the full sets; connected components follow. That is at most one edge per class.
 5. *What the stars leave open.* In a bucket whose members are in several
    components, members outside its most frequent component meet the members of
    other components (pairs inside one component decide nothing). Pairs of fitting
    sizes that share at least two buckets are confirmed on the full sets, and
    components are made again. So of the pairs that banding finds, each one is either
    confirmed, refuted, or inside one component already.
+   Many pairs may be of variants of one text that are too far from each other. A
+   class carries the ``CELLS`` cells that its shingles hash to: an intersection holds
+   at most the cells that both use, and the shingles of either that share a cell.
+   Pairs whose bound is below the similarity aren't made, so they are refuted exactly.
 
 A link at a similarity of exactly 0.8 shares fewer than two of 40 buckets with
 probability 2.5e-6. Confirmation intersects full sets, recomputed from whole texts
@@ -94,29 +99,42 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+#: cells of a set's bitmap (a multiple of 64)
+CELLS = 1024
+
+
+def used_cells(values: np.ndarray) -> np.ndarray:
+    """Bitmap of the cells that the hashes fall into, as 64-bit words."""
+    bits = np.zeros(CELLS, dtype=np.uint8)
+    bits[(mix64(values + SEED) % np.uint64(CELLS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, buckets): size, fingerprint and bucket keys of each document's set."""
+    """(doc_id, n_shingles, f1, f2, buckets, cells): size, fingerprint, bucket keys and cells of each document's set."""
     bins = bands * rows
 
     @over_batches
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in shingle_sets(batch.column(1), k):
-                n, f1, f2, keys = [], [], [], []
+                n, f1, f2, keys, cells = [], [], [], [], []
                 for s in sets:
                     n.append(len(s))
                     f1.append(mix64(s).sum(dtype=np.uint64))
                     f2.append(mix64(s ^ SEED).sum(dtype=np.uint64))
                     keys.append(band_keys(densify(*one_permutation(s, bins)), bands, rows).view(np.int64) if len(s) else None)
+                    cells.append(used_cells(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(np.array(f1, dtype=np.uint64).view(np.int64)),
                         pa.array(np.array(f2, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(cells, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "f1", "f2", "buckets"],
+                    ["doc_id", "n_shingles", "f1", "f2", "buckets", "cells"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, buckets array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, buckets array<long>, cells array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -162,6 +180,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _bits(words: list[Column]) -> Column:
+    total = F.bit_count(words[0]).cast("long")
+    for w in words[1:]:
+        total = total + F.bit_count(w)
+    return total
+
+
+def _words(cells: str) -> list[Column]:
+    return [F.get(F.col(cells), F.lit(i)) for i in range(CELLS // 64)]
+
+
+def beside(cells: str, size: str) -> Column:
+    """Shingles of a set that share a cell with another of its own."""
+    return F.col(size) - _bits(_words(cells))
+
+
+def most_common(cells_a: str, beside_a: str, cells_b: str, beside_b: str) -> Column:
+    """Upper bound of an intersection of two sets."""
+    both = [x.bitwiseAND(y) for x, y in zip(_words(cells_a), _words(cells_b), strict=True)]
+    return _bits(both) + F.least(beside_a, beside_b)
+
+
 def sizes_fit(percent: int) -> Column:
     """Sets of these sizes can reach the similarity at all."""
     return (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
@@ -208,22 +248,18 @@ def near_duplicates(
     fingerprint = ["n_shingles", "f1", "f2"]
     # equal sets have equal bucket keys, so any member's will do
     classes = written(
-        linkable.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "classes"
+        linkable.groupBy(*fingerprint).agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets"), F.first("cells").alias("cells")), "classes"
     )
     exploded = classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("buckets").alias("bucket"))
-    priority = priority_of("doc_id")
-    shared = written(
-        exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(priority).alias("centre"))
-        .where("n > 1").select("bucket", "centre"),
-        "shared-buckets",
-    )
+    shared = written(exploded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
     crowd = written(exploded.join(shared, "bucket"), "bucket-members")
-
-    centres = classes.select(priority_of("rep").alias("centre"), F.col("rep").alias("a"), F.col("n_shingles").alias("na"))
+    met = crowd.groupBy("doc_id", "n_shingles").agg(F.sum("n").alias("met"))
+    rank = F.struct("met", priority_of("doc_id").alias("p"), F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
+    centres = crowd.join(met, ["doc_id", "n_shingles"]).groupBy("bucket").agg(F.max(rank).alias("c")).select("bucket", "c.a", "c.na")
     star = (
-        crowd.where(priority != F.col("centre"))
-        .groupBy("centre", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")).agg(F.count("*").alias("n"))
-        .join(centres, "centre").where(sizes_fit(percent))
+        crowd.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")).join(centres, "bucket")
+        .where("a <> b or na <> nb")
+        .groupBy("a", "na", "b", "nb").agg(F.count("*").alias("n")).where(sizes_fit(percent))
         .groupBy("b", "nb").agg(F.max(F.struct("n", "a", "na")).alias("e"))
         .select("e.a", "b", "e.na", "nb")
     )
@@ -244,24 +280,29 @@ def near_duplicates(
     mixed = written(labelled.join(several, "bucket"), "mixed-members")
     top = (
         mixed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        .groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("t")).select("bucket", F.col("t.comp").alias("top"))
+        .groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("t"))
+        .select("bucket", F.col("t.comp").alias("top"))
     )
     mixed = written(mixed.join(written(top, "largest-parts"), "bucket"), "open-members")
     # all bucket keys of a member, so that a pair is made in its first common bucket only
-    keys = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "buckets")
+    keys = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "buckets", "cells")
     mixed = mixed.join(keys, ["doc_id", "n_shingles"])
     minor = mixed.where("comp <> top").select(
-        "bucket", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx"), F.col("buckets").alias("bx")
+        "bucket", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("comp").alias("cx"), F.col("buckets").alias("bx"),
+        F.col("cells").alias("px"), beside("cells", "n_shingles").alias("ex"),
     )
     other = mixed.select(
-        "bucket", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("comp").alias("cy"), "top", F.col("buckets").alias("by")
+        "bucket", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("comp").alias("cy"), "top",
+        F.col("buckets").alias("by"), F.col("cells").alias("py"), beside("cells", "n_shingles").alias("ey"),
     )
-    common = F.array_intersect("bx", "by")
+    common, most = F.array_intersect("bx", "by"), most_common("px", "ex", "py", "ey")
     rest = (
         minor.join(other, "bucket")
         # a pair of two minor members is met from its smaller side only
         .where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))))
         .where((F.least("nx", "ny") * 100) >= (F.greatest("nx", "ny") * percent))
+        # most / (nx + ny - most) reaches the similarity
+        .where(most * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
         .where((F.size(common) > 1) & (F.get(common, F.lit(0)) == F.col("bucket")))
         .select(F.col("x").alias("a"), F.col("nx").alias("na"), F.col("y").alias("b"), F.col("ny").alias("nb"))
     )
@@ -275,7 +316,7 @@ def near_duplicates(
         "rep", F.coalesce("component", "rep").alias("first")
     )
     labels = written(labels, "first-components")
-    members = linkable.select("doc_id", *fingerprint).join(classes.drop("buckets"), fingerprint).select("doc_id", "rep")
+    members = linkable.select("doc_id", *fingerprint).join(classes.drop("buckets", "cells"), fingerprint).select("doc_id", "rep")
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a <> hi").select("doc_id", "a")
     one_id = members.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     between = more.union(one_id)
@@ -283,7 +324,7 @@ def near_duplicates(
         between = between.join(labels.withColumnRenamed("rep", side), side).withColumn(side, F.col("first")).drop("first")
     final = components(between.select("a", "b"))
     labels = labels.join(final, F.col("first") == F.col("node"), "left").select("rep", F.coalesce("component", "first").alias("component"))
-    known = written(classes.drop("buckets").join(labels, "rep").drop("rep"), "class-components")
+    known = written(classes.drop("buckets", "cells").join(labels, "rep").drop("rep"), "class-components")
 
     rows = signed.select("doc_id", *fingerprint).join(known, fingerprint, "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
