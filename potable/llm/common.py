@@ -29,13 +29,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: characters of a plan's description, and what Spark sets where nobody did
+PLAN_TEXT, NO_LIMIT = 20_000, "2147483632"
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, as ``--py-files`` would.
 
-    Whole texts make wide rows, so an unchanged Arrow batch size is lowered.
+    Whole texts make wide rows, so an unchanged Arrow batch size is lowered. The driver
+    keeps a description of every plan it re-plans; without a limit of its own, they are cut.
     """
+    if spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == NO_LIMIT:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
