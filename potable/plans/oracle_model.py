@@ -367,12 +367,18 @@ oracle(
     "build_payload",
     model()
     + """
+, tr as (select catalog_id, batch_no, string_agg(cast(case when msgid_plural is null then json_object('msgid', msgid, 'msgctxt', msgctxt)
+    else json_object('msgid_plural', msgid_plural, 'msgctxt', msgctxt) end as varchar), ',' order by pos) as items from it group by all)
 select r.catalog_id, r.batch_no,
   'formula,target_language,source_language,translations' || case when r.n_samples > 0 then ',plural_samples' else '' end as keys_text,
   r.formula, r.target_language, 'en' as source_language, cast(r.n_items as bigint) as n_translations,
-  case when i.msgid_plural is null then 'msgid,msgctxt' else 'msgid_plural,msgctxt' end as first_item_keys,
+  md5('{"formula":' || cast(to_json(r.formula) as varchar) || ',"target_language":' || cast(to_json(r.target_language) as varchar)
+    || ',"source_language":"en","translations":[' || tr.items || ']'
+    || case when r.n_samples > 0 then ',"plural_samples":[' || array_to_string(list_transform(string_split(r.samples_text, ','),
+      lambda s: '{"plural":' || split_part(s, ':', 1) || ',"sample":' || split_part(s, ':', 2) || '}'), ',') || ']' else '' end
+    || '}') as payload_md5,
   cast(r.n_samples as bigint) as n_samples
-from rqx r join it i on i.catalog_id = r.catalog_id and i.batch_no = r.batch_no and i.pos = 0""",
+from rqx r join tr using (catalog_id, batch_no)""".replace("\n, tr as", ", tr as", 1),
 )
 oracle(
     "request_params",

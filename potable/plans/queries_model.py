@@ -107,7 +107,7 @@ def q_build_payload(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object(p, "$.target_language").alias("target_language"),
         F.get_json_object(p, "$.source_language").alias("source_language"),
         F.json_array_length(F.get_json_object(p, "$.translations")).cast("bigint").alias("n_translations"),
-        F.array_join(F.json_object_keys(F.get_json_object(p, "$.translations[0]")), ",").alias("first_item_keys"),
+        F.md5(p).alias("payload_md5"),
         F.coalesce(F.json_array_length(F.get_json_object(p, "$.plural_samples")), F.lit(0)).cast("bigint").alias("n_samples"),
     )
 
