@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from potable.operators.locale import language_dim
 from potable.operators.numbering import dense_ordinal
+from potable.operators.spread import spread_join
 from potable.sources.tables import read_table
 
 
@@ -28,8 +29,8 @@ def _arr(*items: Column) -> Column:
     return F.array(*items).cast("array<string>")
 
 
-def raw_entries(lines: DataFrame) -> DataFrame:
-    """Lines -> entries before key de-duplication (``f`` in FIXTURES.md)."""
+def line_entries(lines: DataFrame) -> DataFrame:
+    """Lines -> one narrow row per candidate entry: its catalog, place (``seq``) and line."""
     u = lines.select(
         F.concat_ws(".", "source", "lang").alias("catalog_id"),
         "lang",
@@ -38,7 +39,19 @@ def raw_entries(lines: DataFrame) -> DataFrame:
         (F.col("doc_id") * 31 + F.col("line_no") * 7).alias("h"),
         F.col("line").alias("base"),
     )
-    e = dense_ordinal(u, ["catalog_id"], ["doc_id", "line_no"], "seq")
+    return dense_ordinal(u, ["catalog_id"], ["doc_id", "line_no"], "seq")
+
+
+def entry_context() -> Column:
+    return (
+        F.when(F.col("doc_id") % 17 == 1, (F.col("doc_id") % 4).cast("string"))
+        .when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ctx"), (F.col("doc_id") % 2).cast("string")))
+        .otherwise(F.lit(""))
+    )
+
+
+def entry_fields(e: DataFrame) -> DataFrame:
+    """Narrow rows -> entries (``f`` in FIXTURES.md). Fields repeat the line, so rows go through joins without them."""
     h = F.col("h")
     base = F.col("base")
     line_no = F.col("line_no")
@@ -48,10 +61,8 @@ def raw_entries(lines: DataFrame) -> DataFrame:
         "seq",
         "h",
         "base",
-        F.when(F.col("doc_id") % 17 == 1, (F.col("doc_id") % 4).cast("string"))
-        .when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ctx"), (F.col("doc_id") % 2).cast("string")))
-        .otherwise(F.lit(""))
-        .alias("msgctxt"),
+        *[c for c in ("ctx_first",) if c in e.columns],
+        entry_context().alias("msgctxt"),
         F.when(h % 101 == 0, F.lit(""))
         .when(h % 97 == 5, (h % 50).cast("string"))
         .when(h % 97 == 6, F.concat((h % 50).cast("string"), F.lit("\n")))
@@ -87,30 +98,44 @@ def raw_entries(lines: DataFrame) -> DataFrame:
     )
 
 
-ENTRY_COLUMNS = ["catalog_id", "lang", "seq", "h", "base", "msgctxt", "msgid", "flag", "translator", "msgstr", "msgid_plural"]
+KEY = ("catalog_id", "msgctxt", "msgid")
 
 
-def dedupe_keys(entries: DataFrame, key: tuple[str, ...] = ("catalog_id", "msgctxt", "msgid")) -> DataFrame:
-    """One entry per key, as a map that keeps insertion order gives it: the entry latest
-    in the file overwrites the value, but the key stays where it came first.
+def key_places(entries: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """(catalog, seq, place) of each key: the ``seq`` of its last entry, and of its first.
 
-    So a row has the content of its key's largest ``seq``, and the smallest as ``seq``.
-    Both are found on hashed keys and numbers alone (combined map-side, 128 bits a key);
-    the rows are then taken by ``(catalog_id, seq)``, which is unique.
+    Both are found on hashed keys and numbers alone (combined map-side, 128 bits a key).
     """
     catalog, *rest = key
     narrow = entries.select(catalog, F.xxhash64(*rest).alias("__k1"), F.xxhash64(F.lit("key"), *rest).alias("__k2"), "seq")
     kept = narrow.groupBy(catalog, "__k1", "__k2").agg(F.max("seq").alias("seq"), F.min("seq").alias("__place"))
-    return (
-        entries.join(kept.select(catalog, "seq", "__place"), on=[catalog, "seq"], how="inner")
-        .withColumn("seq", F.col("__place")).select(*entries.columns)
-    )
+    return kept.select(catalog, "seq", "__place")
+
+
+def _at_places(rows: DataFrame, places: DataFrame, catalog: str) -> DataFrame:
+    """The last rows of their keys, by the unique (catalog, ``seq``), with the first place as ``seq``."""
+    found = rows.join(places, on=[catalog, "seq"], how="inner").withColumn("seq", F.col("__place"))
+    return found.select(*rows.columns)
+
+
+def dedupe_keys(entries: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """One entry per key, as a map that keeps insertion order gives it: the entry latest
+    in the file overwrites the value, but the key stays where it came first.
+
+    So a row has the content of its key's largest ``seq``, and the smallest as ``seq``.
+    """
+    return _at_places(entries, key_places(entries, key), key[0])
 
 
 def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The de-duplicated entries table (``d`` in FIXTURES.md), header rows included."""
+    """The de-duplicated entries table (``d`` in FIXTURES.md), header rows included, with
+    ``ctx_first``, where the entry's context is first seen."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return dedupe_keys(raw_entries(catalog_lines(docs)))
+    rows = line_entries(catalog_lines(docs))
+    kept = _at_places(rows, key_places(entry_fields(rows)), "catalog_id")
+    own = kept.withColumn("msgctxt", entry_context())
+    first = own.groupBy("catalog_id", "msgctxt").agg(F.min("seq").alias("ctx_first"))
+    return entry_fields(spread_join(own, first, ["catalog_id", "msgctxt"], by=["seq"]).drop("msgctxt"))
 
 
 def header_text(source: Column, lang: Column, formula: Column) -> Column:
