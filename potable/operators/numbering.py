@@ -17,6 +17,7 @@ balanced passes instead:
 4. join the offsets back: ``ordinal = offset + index - first_index + 1``.
 
 The result equals the single-window ``row_number`` for any total order ``o``.
+``running_total`` sums a column over the earlier rows of the group in the same passes.
 Group columns must be non-null.
 """
 
@@ -67,6 +68,21 @@ def once(spark: SparkSession, make: Callable[[], DataFrame], path: str) -> DataF
     return spark.read.parquet(path)
 
 
+def _sliced(df: DataFrame, groups: list[str], order: list[str | Column], num_slices: int | None) -> DataFrame:
+    """The written table of ``df`` in slices, with each row's place in its slice."""
+    keys = [F.col(g) for g in groups] + _orders(order)
+    # Without an explicit count AQE may coalesce adjacent ranges (small inputs
+    # get few slices); slice ids are read inside the single job that writes
+    # the table, so they are consistent either way.
+    ranged = df.repartitionByRange(num_slices, *keys) if num_slices else df.repartitionByRange(*keys)
+    sliced = (
+        ranged.sortWithinPartitions(*keys)
+        .withColumn(_PID, F.spark_partition_id())
+        .withColumn(_IDX, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)))
+    )
+    return materialize(sliced, "ordinal")
+
+
 def dense_ordinal(
     df: DataFrame,
     groups: list[str],
@@ -78,17 +94,7 @@ def dense_ordinal(
 
     ``order`` should be a total order inside a group.
     """
-    keys = [F.col(g) for g in groups] + _orders(order)
-    # Without an explicit count AQE may coalesce adjacent ranges (small inputs
-    # get few slices); slice ids are read inside the single job that writes
-    # the table, so they are consistent either way.
-    ranged = df.repartitionByRange(num_slices, *keys) if num_slices else df.repartitionByRange(*keys)
-    sliced = (
-        ranged.sortWithinPartitions(*keys)
-        .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_IDX, F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)))
-    )
-    m = materialize(sliced, "ordinal")
+    m = _sliced(df, groups, order, num_slices)
     stats = m.groupBy(*groups, _PID).agg(F.min(_IDX).alias(_MIN), F.count(F.lit(1)).alias(_CNT))
     before = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select(*groups, _PID, _MIN, F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
@@ -97,3 +103,25 @@ def dense_ordinal(
         .withColumn(out, (F.col(_OFF) + F.col(_IDX) - F.col(_MIN) + 1).cast("bigint"))
         .drop(_PID, _IDX, _MIN, _OFF)
     )
+
+
+def running_total(
+    df: DataFrame,
+    groups: list[str],
+    order: list[str | Column],
+    value: str,
+    out: str,
+    num_slices: int | None = None,
+) -> DataFrame:
+    """Add ``out`` = sum of ``value`` (bigint, not null) over the rows of the group that come earlier under ``order``."""
+    m = _sliced(df, groups, order, num_slices)
+    inside = Window.partitionBy(*groups, _PID).orderBy(_IDX).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    sums = m.groupBy(*groups, _PID).agg(F.sum(value).alias(_CNT))
+    offsets = sums.select(*groups, _PID, F.coalesce(F.sum(_CNT).over(before), F.lit(0)).alias(_OFF))
+    return (
+        m.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .join(offsets, on=[*groups, _PID], how="inner")
+        .withColumn(out, (F.col(_OFF) + F.col(out)).cast("bigint"))
+        .drop(_PID, _IDX, _OFF)
+    )

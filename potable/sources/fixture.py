@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from potable.operators.locale import language_dim
-from potable.operators.numbering import dense_ordinal
+from potable.operators.numbering import materialize, running_total
 from potable.operators.spread import spread_join
 from potable.sources.tables import read_table
 
@@ -30,8 +30,8 @@ def _arr(*items: Column) -> Column:
 
 
 def line_entries(lines: DataFrame) -> DataFrame:
-    """Lines -> one narrow row per candidate entry: its catalog, place (``seq``) and line."""
-    u = lines.select(
+    """Lines -> one narrow row per candidate entry: its catalog, place (document, line) and line."""
+    return lines.select(
         F.concat_ws(".", "source", "lang").alias("catalog_id"),
         "lang",
         "doc_id",
@@ -39,7 +39,6 @@ def line_entries(lines: DataFrame) -> DataFrame:
         (F.col("doc_id") * 31 + F.col("line_no") * 7).alias("h"),
         F.col("line").alias("base"),
     )
-    return dense_ordinal(u, ["catalog_id"], ["doc_id", "line_no"], "seq")
 
 
 def entry_context() -> Column:
@@ -50,18 +49,18 @@ def entry_context() -> Column:
     )
 
 
-def entry_fields(e: DataFrame) -> DataFrame:
-    """Narrow rows -> entries (``f`` in FIXTURES.md). Fields repeat the line, so rows go through joins without them."""
+def entry_fields(e: DataFrame, *more: str) -> DataFrame:
+    """Narrow rows -> entries (``f`` in FIXTURES.md). Fields repeat the line, so rows are joined and written without them."""
     h = F.col("h")
     base = F.col("base")
     line_no = F.col("line_no")
     return e.select(
         "catalog_id",
         "lang",
-        "seq",
         "h",
         "base",
-        *[c for c in ("ctx_first",) if c in e.columns],
+        *[c for c in ("seq", "ctx_first") if c in e.columns],
+        *more,
         entry_context().alias("msgctxt"),
         F.when(h % 101 == 0, F.lit(""))
         .when(h % 97 == 5, (h % 50).cast("string"))
@@ -112,30 +111,58 @@ def key_places(entries: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return kept.select(catalog, "seq", "__place")
 
 
-def _at_places(rows: DataFrame, places: DataFrame, catalog: str) -> DataFrame:
-    """The last rows of their keys, by the unique (catalog, ``seq``), with the first place as ``seq``."""
-    found = rows.join(places, on=[catalog, "seq"], how="inner").withColumn("seq", F.col("__place"))
-    return found.select(*rows.columns)
-
-
 def dedupe_keys(entries: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """One entry per key, as a map that keeps insertion order gives it: the entry latest
     in the file overwrites the value, but the key stays where it came first.
 
     So a row has the content of its key's largest ``seq``, and the smallest as ``seq``.
     """
-    return _at_places(entries, key_places(entries, key), key[0])
+    catalog = key[0]
+    found = entries.join(key_places(entries, key), on=[catalog, "seq"], how="inner").withColumn("seq", F.col("__place"))
+    return found.select(*entries.columns)
+
+
+def document_places(docs: DataFrame) -> DataFrame:
+    """(catalog_id, doc_id, start, ctx_first) of each document: the lines of its catalog before it, and
+    the place where its context is first seen (all lines of a document have one context)."""
+    sized = docs.select(
+        F.concat_ws(".", "source", "lang").alias("catalog_id"), "doc_id",
+        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
+    )
+    starts = running_total(sized, ["catalog_id"], ["doc_id"], "n_lines", "start").withColumn("msgctxt", entry_context())
+    first = starts.groupBy("catalog_id", "msgctxt").agg((F.min("start") + 1).alias("ctx_first"))
+    return spread_join(starts, first, ["catalog_id", "msgctxt"], by=["doc_id"]).select(
+        "catalog_id", "doc_id", "start", "ctx_first"
+    )
+
+
+def entry_rows(documents: DataFrame) -> DataFrame:
+    """Narrow rows of the de-duplicated entries, with ``seq`` and ``ctx_first``.
+
+    A line's number in its catalog is its document's start and its own number, so lines are never
+    sorted: first and last line of each key are found on hashes and numbers, starts are joined to
+    those, and the lines themselves are shuffled once, to the unique (document, line) that they
+    are kept for. ``doc_id`` must be unique and not null; a null text has no lines.
+    """
+    docs = documents.where(F.col("text").isNotNull())
+    rows = line_entries(catalog_lines(docs))
+    fields = entry_fields(rows.withColumn("at", F.struct("doc_id", "line_no")), "at")
+    keys = fields.groupBy(F.xxhash64(*KEY).alias("k1"), F.xxhash64(F.lit("key"), *KEY).alias("k2")).agg(
+        F.max("at").alias("last"), F.min("at").alias("first")
+    )
+    kept = keys.select("last.doc_id", "last.line_no", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
+    starts = document_places(docs).select(F.col("doc_id").alias("first_doc"), "start", "ctx_first")
+    placed = kept.join(starts, "first_doc").select(
+        "doc_id", "line_no", (F.col("start") + F.col("first_line") + 1).alias("seq"), "ctx_first"
+    )
+    return rows.join(placed, ["doc_id", "line_no"])
 
 
 def catalog_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The de-duplicated entries table (``d`` in FIXTURES.md), header rows included, with
-    ``ctx_first``, where the entry's context is first seen."""
+    """The de-duplicated entries (``d`` in FIXTURES.md), header rows included, with ``ctx_first``,
+    where the entry's context is first seen. The written table holds each line once."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows = line_entries(catalog_lines(docs))
-    kept = _at_places(rows, key_places(entry_fields(rows)), "catalog_id")
-    own = kept.withColumn("msgctxt", entry_context())
-    first = own.groupBy("catalog_id", "msgctxt").agg(F.min("seq").alias("ctx_first"))
-    return entry_fields(spread_join(own, first, ["catalog_id", "msgctxt"], by=["seq"]).drop("msgctxt"))
+    return entry_fields(materialize(entry_rows(docs), "entries"))
 
 
 def header_text(source: Column, lang: Column, formula: Column) -> Column:
