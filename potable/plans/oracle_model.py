@@ -335,6 +335,55 @@ oracle(
     "lookup_plural_samples",
     cats() + "select c.catalog_id, c.locale, s.samples_text from catx c left join lst s on s.code = c.locale",
 )
+# the rules of ``document_formulas`` as SQL over their numbers; no formula is read
+oracle(
+    "plural_formula_samples",
+    """
+with d as (
+  select *, doc_id % a as b from (
+    select doc_id, doc_id % 6 as kind, doc_id % 9 + 2 as a, doc_id % 13 + 1 as c from documents where doc_id is not null) z
+),
+sized as (
+  select *, case kind when 0 then 2 when 1 then 3 when 2 then 4 when 3 then doc_id // 6 % 4 when 4 then 2
+    else (case when doc_id % 9 <> 2 then 2 end) end as forms from d
+),
+forms_at as (
+  select *, case kind when 0 then cast(n % a > b as bigint)
+    when 1 then case when n % a = b then 0 when (n >= c and n % c = 0) or n = 0 then 1 else 2 end
+    when 2 then (n // a + c - n % a + 40) % 4
+    when 3 then n % a
+    when 4 then case when doc_id % 12 = 4 then cast(n > c and 100 // greatest(n - c, 1) > b as bigint)
+      else cast(n = c or (n < c and b > 0) or (n > c and 100 // greatest(n - c, 1) < b)
+        or n = 0 or (n >= 2 and 7 % greatest(n - 1, 1) <> 0) as bigint) end
+    else cast(n > b as bigint) end as form
+  from sized, range(0, 201) r(n)
+),
+judged as (
+  select doc_id, case when kind = 5 and doc_id % 9 = 2 then 'missing'
+    when kind = 3 and forms = 0 then 'nplurals'
+    when kind = 5 and doc_id % 9 = 5 then 'syntax'
+    when kind = 4 and doc_id % 12 <> 4 and c > 1 and b = 0 then 'division'
+    when kind = 3 and a > forms then 'range' end as fault
+  from sized
+),
+reached as (
+  select doc_id, form, coalesce(min(n) filter (n >= 1), 0) as sample from forms_at group by doc_id, form
+)
+select s.doc_id, case when j.fault in ('missing', 'nplurals') then -1 else cast(s.forms as bigint) end as nplurals,
+  case when j.fault is null then (
+    select string_agg(f || ':' || coalesce(cast(r.sample as varchar), '-'), ',' order by f)
+    from range(0, s.forms) t(f) left join reached r on r.doc_id = s.doc_id and r.form = f) end as samples_text,
+  j.fault
+from sized s join judged j using (doc_id)""",
+)
+oracle(
+    "own_plural_samples",
+    cats()
+    + """select c.catalog_id, c.locale,
+  case when starts_with(c.formula, 'nplurals') then 'formula' when s.code is not null then 'locale' end as samples_from,
+  coalesce(case when starts_with(c.formula, 'nplurals') then o.samples_text end, s.samples_text) as samples_text
+from catx c left join lst s on s.code = c.locale left join lst o on o.code = split_part(c.catalog_id, '.', 2)""",
+)
 oracle(
     "plural_samples",
     cats()

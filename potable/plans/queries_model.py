@@ -14,11 +14,13 @@ from potable.operators.locale import (
     plural_sample_dim,
     samples_text,
 )
+from potable.operators.plural_formula import formula_samples, own_plural_samples
 from potable.operators.request import PROJECT_SECTION_HEADER, system_message
 from potable.plans.catalog import catalogs, entries, msgstr_text
 from potable.plans.options import catalog_overrides, resolve_options
 from potable.plans.queries import query
 from potable.plans.translate import Options, translate, validated_attempts
+from potable.sources.tables import read_table
 
 # ------------------------------------------------------------------------- language
 
@@ -56,6 +58,37 @@ def q_lookup_plural_samples(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("catalog_id", "locale", samples_text("samples").alias("samples_text"))
 
 
+def document_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """A ``Plural-Forms`` header per document, made from its number: usable ones of five shapes and faulty ones."""
+    docs = read_table(spark, sf, "documents").select("doc_id").where("doc_id is not null")
+    numbers = docs.selectExpr("doc_id", "doc_id % 9 + 2 as a", "doc_id % 13 + 1 as c").selectExpr("*", "doc_id % a as b")
+    return numbers.selectExpr("doc_id", """case doc_id % 6
+      when 0 then format_string('nplurals=2; plural=(n %% %d > %d);', a, b)
+      when 1 then format_string('nplurals=3; plural=n%%%d==%d ? 0 : n>=%d && !(n%%%d) || n==0 ? 1 : 2;', a, b, c, c)
+      when 2 then format_string('nplurals=4; plural=(n/%d+%d-n%%%d)%%4;', a, c, a)
+      when 3 then format_string('nplurals=%d; plural=n%%%d;', doc_id div 6 % 4, a)
+      when 4 then format_string(
+        if(doc_id % 12 = 4, 'nplurals=2; plural=n!=%d && 100/(n-%d)>%d', 'nplurals=2; plural=n==%d || 100/(n-%d)<%d || 7%%(n-1)'), c, c, b)
+      else if(doc_id % 9 = 2, null, format_string('nplurals=2; plural=n>%d', b) || if(doc_id % 9 = 5, ' +;', ';')) end as formula""")
+
+
+@query("plural_formula_samples")
+def q_plural_formula_samples(spark: SparkSession, sf: str) -> DataFrame:
+    found = formula_samples(document_formulas(spark, sf), by=["doc_id"])
+    text = F.transform("formula_samples", lambda s: F.concat_ws(":", s["plural"], F.coalesce(s["sample"].cast("string"), F.lit("-"))))
+    return found.select(
+        "doc_id", F.coalesce("formula_nplurals", F.lit(-1)).cast("bigint").alias("nplurals"), F.array_join(text, ",").alias("samples_text"),
+        F.col("formula_fault").alias("fault"),
+    )
+
+
+@query("own_plural_samples")
+def q_own_plural_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return own_plural_samples(catalogs(spark, sf)).select(
+        "catalog_id", "locale", "samples_from", samples_text("samples").alias("samples_text")
+    )
+
+
 @query("plural_samples")
 def q_plural_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Samples per language present in ``documents`` (derived from the rule)."""

@@ -26,6 +26,7 @@ from potable.operators import attempts as att
 from potable.operators import batching, merge, validate
 from potable.operators import select as sel
 from potable.operators.locale import lookup_plural_samples, valid_source_languages
+from potable.operators.plural_formula import own_plural_samples
 from potable.operators.numbering import exists, finished, materialize, once
 from potable.operators.request import DEFAULT_MODEL, with_payload
 from potable.operators.spread import spread_join
@@ -51,6 +52,7 @@ class Options:
     context: str | None = None
     model: str | None = None
     per_catalog: bool = False  # take every option from resolve_options (explicit > config)
+    own_formula: bool = False  # plural samples of each catalog's own formula, where it can be used
 
 
 def catalog_options(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +76,8 @@ def requests_table(ents: DataFrame, cats: DataFrame, opts: Options = Options(),
     ``ents`` and ``cats`` come from any scan; ``options`` (one resolved row per
     catalog) drives the run where it is given.
     """
-    cats = lookup_plural_samples(cats).select("catalog_id", "target_language", "formula", "locale", "samples")
+    sampled = own_plural_samples(cats) if opts.own_formula else lookup_plural_samples(cats)
+    cats = sampled.select("catalog_id", "target_language", "formula", "locale", "samples")
     inc: bool | str = opts.include_fuzzy if options is None else "include_fuzzy"
     work = sel.worklist(with_entry_options(ents, options), include_fuzzy=inc)
     if options is not None:
