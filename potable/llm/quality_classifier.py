@@ -1,8 +1,8 @@
 """Quality classifier: per-document perplexity under a Kneser-Ney model of trusted text.
 
-Training text: documents with a label ``quality = 1`` and ``toxic = 0`` and an even
-hash; of more than ``TRAIN_DOCS`` such documents those of smallest hash (a bounded
-sample of labelled rows, so its ids may be broadcast to the counting scan). Counts, continuation counts and context totals are Spark tables; the
+Training text: all documents with a label ``quality = 1`` and ``toxic = 0`` and an even
+hash (their ids are a written table, which Spark broadcasts to the counting scan only
+while it is small). Counts, continuation counts and context totals are Spark tables; the
 estimates of all seen grams come from joins sharded by gram and by context, and no
 model is ever held in one place.
 
@@ -49,7 +49,6 @@ from potable.llm.shingles import row_slices
 from potable.llm.workers import over_group, over_pair
 
 ORDER = 4
-TRAIN_DOCS = 100_000
 #: text bytes of a scoring block
 BLOCK_BYTES = 24 << 20
 PRIOR = 200
@@ -167,9 +166,9 @@ def classify_quality(
         .where("id is not null and (q = 0 or (q = 1 and t = 0))").select("id", (F.col("q") == 1).alias("clean"), half.alias("half"))
     )
     labelled = written(labelled, "labelled-ids")
-    train = labelled.where("clean and half = 0").orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS).select(F.col("id").alias("train_id"))
+    train = written(labelled.where("clean and half = 0").select(F.col("id").alias("train_id")), "train-ids")
     flagged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(train), F.col("id") == F.col("train_id"), "left"
+        train, F.col("id") == F.col("train_id"), "left"
     )
     grams = written(count_grams(flagged.select("text", F.col("train_id").isNotNull().alias("counted")), ORDER), "kn-grams")
     counts = grams.where("n > 0")

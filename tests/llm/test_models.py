@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from potable.llm import context_mixing as cm
 from potable.llm.kneser_ney import discounts, grams
@@ -131,6 +132,25 @@ def _exact_model(texts, order):
     return model[::-1]
 
 
+def test_all_trusted_documents_are_counted(spark, monkeypatch):
+    # more trusted documents than a bounded training set would take
+    from potable.llm import quality_classifier as qc
+
+    class Enough(Exception):
+        pass
+
+    def counted(texts, order):
+        raise Enough(texts.where("counted").count(), texts.count())
+
+    monkeypatch.setattr(qc, "count_grams", counted)
+    ids = spark.range(210_000).withColumnRenamed("id", "doc_id")
+    docs = ids.select("doc_id", F.lit("a").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    even = ids.where(F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0).count()
+    with pytest.raises(Enough) as got:
+        classify_quality(docs, ids.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    assert even > 100_000 and got.value.args == (even, 210_000)
+
+
 def test_rules_tell_all_contexts_apart(docs_of):
     """Texts of many scripts have far more contexts than a small table of hashes holds."""
     rng = np.random.default_rng(8)
