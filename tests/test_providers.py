@@ -200,3 +200,30 @@ def test_a_call_that_raises_ends_its_catalog_only(spark, tmp_path):
 def test_no_request_no_call(spark):
     log = run_attempts(_chain(spark, {"a": 1}).limit(0), live_provider(lambda *a: 1 / 0))
     assert log.count() == 0
+
+
+def test_a_replay_writes_each_reply_once(spark):
+    from potable.operators.numbering import exists
+    from potable.session import run_folder
+
+    log = spark.createDataFrame(
+        [("c", 1, 1, 200, None, None, '{"translations":[{"msgid":"Hello","msgstr":"Hi"}]}'), ("c", 2, 1, 429, None, "rate", None),
+         ("c", 2, 2, 200, None, None, '{"translations":[{"msgid":"Hello","msgstr":"Hi"}]}')],
+        "catalog_id string, batch_no long, attempt int, status int, code string, message string, content string",
+    )
+    run = uuid.uuid4().hex
+    got = run_attempts(_requests(spark), recorded_provider(log), run_id=run).collect()
+    assert sorted((r["batch_no"], r["attempt"], r["error_code"]) for r in got) == [(1, 1, "OK"), (2, 1, "API_ERROR"), (2, 2, "OK")]
+    folder = run_folder(spark, f"run-{run}")
+    assert exists(spark, f"{folder}/round-1") and not exists(spark, f"{folder}/replies-1")
+
+
+def test_written_requests_hold_no_payload(spark, sf_small):
+    from potable.plans.catalog import catalogs, entries
+    from potable.session import run_folder
+
+    run = uuid.uuid4().hex
+    reqs = job.written_requests(entries(spark, sf_small), catalogs(spark, sf_small), job.Options(source_language="de"), None, run)
+    kept = spark.read.parquet(run_folder(spark, f"run-{run}") + "/requests")
+    assert "payload_json" not in kept.columns and "payload_json" in reqs.columns
+    assert json.loads(reqs.first()["payload_json"])["source_language"] == "de"
