@@ -319,3 +319,21 @@ def test_files_with_faults_and_fold_lengths(spark, tmp_path):
     good, flat = _read_all(out / "catalog_id=good"), _read_all(out / "catalog_id=flat")
     assert max(len(line) for line in good.splitlines()) <= 42 and good.rstrip().endswith("# last words")
     assert f'msgid "{long}"' in flat and "так так" in flat
+
+
+def test_lines_are_shuffled_once_and_texts_written_once(spark, tmp_path):
+    from potable.sources.po_text import classify_line_rows, line_parts, opaque_lines, read_po_lines
+
+    d = tmp_path / "in"
+    d.mkdir()
+    old = "".join(f'#~ msgid "o{i}"\n#~ msgstr ""\n' for i in range(1300))
+    (d / "x.po").write_text("".join(f'msgid "m{i}"\nmsgstr "x{i}"\n\n' for i in range(9)) + 'msgid "bad\nmsgstr ""\n\n' + old, encoding="utf-8")
+    for chunk in (100_000, 700):
+        parts = line_parts(classify_line_rows(read_po_lines(spark, str(d), chunk)))
+        assert parts._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+        rows = parts.collect()
+        # an entry's texts are its fields or its lines, and no row holds more than 1000 obsolete lines
+        assert all((r["entry"] is None) != (r["rows"] is None) for r in rows) and sum(r["entry"] is not None for r in rows) >= 8
+        assert max(r["n_lines"] for r in rows) <= 1000 and sum(r["n_lines"] for r in rows) == 18 + 2 + 2600
+        gone = [r["line"] for r in opaque_lines(parts, str(d)).orderBy("line_no").collect()]
+        assert gone == old.splitlines()
