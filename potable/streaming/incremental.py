@@ -32,7 +32,7 @@ from potable.operators import batching
 from potable.operators import select as sel
 from potable.operators.numbering import exists, materialize
 from potable.operators.spread import spread_join
-from potable.sources.po_text import catalog_id_of, classify_line_rows, place_lines, scanned_entries
+from potable.sources.po_text import catalog_id_of, classify_line_rows, line_parts, place_lines, scanned_entries
 
 SHARDS = 64
 MANIFEST = "shard int, epoch long, catalog_id string, path string, modified timestamp, length long"
@@ -109,7 +109,7 @@ def _take(spark: SparkSession, files: list[tuple], shard: int, epoch: int, in_di
     raw = spark.read.text([f[0] for f in files]).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.col("value").alias("line")
     )
-    lines = materialize(classify_line_rows(place_lines(raw)), "po-classified")
+    lines = materialize(line_parts(classify_line_rows(place_lines(raw)), hashed=True), "po-parts", "zstd")
     work = sel.worklist(scanned_entries(lines, in_dir), include_fuzzy=include_fuzzy).select(
         "catalog_id", "seq", "ctx_first", "msgctxt", "msgid", "msgid_plural", *_item_keys()
     )
@@ -123,7 +123,7 @@ def _take(spark: SparkSession, files: list[tuple], shard: int, epoch: int, in_di
     items = numbered.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("batch_no").alias("n_batches"))
     keep(named.select("catalog_id").distinct().join(items, "catalog_id", "left").fillna(0, ["n_items", "n_batches"]), "catalogs")
     keep(numbered.select("catalog_id", "k1", "k2", "batch_no"), "sent")
-    hashes = lines.groupBy(_plain(F.col("path")).alias("__p")).agg(F.bit_xor(F.xxhash64("line_no", "line")).alias("content"))
+    hashes = lines.groupBy(_plain(F.col("path")).alias("__p")).agg(F.bit_xor("content").alias("content"))
     old = state("versions", VERSIONS).groupBy("path").agg(F.max_by("content", "epoch").alias("__old"))
     seen = named.withColumn("__p", _plain(F.col("path"))).join(hashes, "__p", "left").drop("__p").join(old, "path", "left")
     keep(seen.withColumn("same", F.coalesce(F.col("content") == F.col("__old"), F.lit(False))).drop("__old"), "versions")
