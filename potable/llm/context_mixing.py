@@ -20,7 +20,9 @@ counts, so the mixer sees what it would see on new text. A last adaptive table m
 *On Spark.* Equal events (word so far, five bytes, next byte) of all training texts
 are counted inside tasks, then by one shuffle of packed arrays; tables, weights and the last table are
 made from those counted events. For scoring, texts are dealt to blocks by a hash;
-every block evaluates each of its distinct events once. The unigram base needs each
+a worker evaluates
+an event once and looks it up from then on, for as many events as it has places for (``Known``);
+others are evaluated once a slice of texts. The unigram base needs each
 word's count: distinct words of a block (64-bit hashes) are joined with the counts
 and come back to their block.
 
@@ -35,20 +37,21 @@ from __future__ import annotations
 import heapq
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potable.llm.common import ship, total_text_bytes, written
-from potable.llm.kneser_ney import stream, windows
-from potable.llm.shingles import row_slices, word_hashes, words_of
+from potable.llm.kneser_ney import stream
+from potable.llm.shingles import row_slices, words_of
 from potable.llm.workers import over_batches, over_group, over_pair
 
 ORDERS = (2, 3, 4, 5)
@@ -61,13 +64,19 @@ SLOTS = sum(1 << b for b in BITS)
 #: slots of one piece of a table on its way to the driver
 PIECE = 1 << 16
 SLICE_BYTES = 2 << 20
+#: text bytes whose events are made at once, so that their arrays stay in a core's cache
+EVENT_BYTES = 1 << 18
 BLOCK_BYTES = 16 << 20
 #: text bytes for each bucket of counted events
 BUCKET_BYTES = 4 << 20
 #: entries a counting task holds before it merges them or passes them on
-MOST_HELD = 1_000_000
+MOST_HELD = 2_000_000
+#: events that are learned in one random order
+MOST_SHUFFLED = 500_000
 ROUNDS = 2
-BATCH = 1 << 15
+BATCH = 1 << 13
+#: places for the values of evaluated events in a scoring process (16 bytes each)
+ROW_BITS, WAYS = 19, 4
 STEP = 0.2
 #: counts up to this are kept exactly, larger ones on a logarithmic scale (one byte each)
 EXACT = 40
@@ -81,8 +90,29 @@ _PRIME = 0x100000001B3
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _B
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(32))
+    x *= _B
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the 64-bit keys in ascending order, and where each run of equal keys begins.
+
+    Places are sorted within the low bits of their keys, by one sort of plain numbers; where
+    keys differ only in those bits and come out of order, the whole keys are sorted.
+    """
+    low = np.uint64((1 << len(key).bit_length()) - 1)
+    order = key & ~low
+    order |= np.arange(len(key), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    found = key[order]
+    if (found[1:] < found[:-1]).any():
+        order = np.argsort(key, kind="stable")
+        found = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(key)])
 
 
 class Powers:
@@ -107,21 +137,48 @@ _POWERS = Powers()
 def events(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word-so-far hash, last bytes and next byte, first event of each text and the end)."""
     data, edges = stream(texts, WIDTH)
-    codes, inside, first = windows(data, edges, WIDTH)
+    first = edges - np.arange(len(edges)) * (WIDTH - 1)
     n = len(data)
+    if not n:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), first
+    two = data[:-1].astype(np.uint16) << np.uint16(8)
+    two |= data[1:]
+    four = two[:-2].astype(np.uint32) << np.uint32(16)
+    four |= two[2:]
+    code = four[:-2].astype(np.int64) << 16  # of the six bytes up to each place
+    code |= two[4:]
     up, down = _POWERS.get(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)  # sums[i]: bytes before i
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    begin = np.where((data == 32) | (data == 10), np.arange(1, n + 1), 0)
-    begin = np.concatenate([[0], np.maximum.accumulate(begin)[:-1]]) if n else begin
-    at = np.flatnonzero(inside) + WIDTH - 1  # the predicted byte
-    s = begin[at]
-    word = (sums[at] - sums[s]) * down[s]
-    return word, codes[inside], first
+    np.add(data, np.uint64(1), out=sums[1:])
+    sums[1:] *= up[:n]
+    np.cumsum(sums[1:], out=sums[1:])
+    # a word begins behind each separator; a stream begins with marks, so the first is at 0
+    gaps = np.flatnonzero((data == 32) | (data == 10))
+    size = np.diff(gaps, append=n - 1)
+    row = np.repeat(np.arange(len(gaps)), size)[WIDTH - 2 :]
+    word = sums[WIDTH - 1 : n] - sums[gaps + 1].take(row, mode="clip")
+    word *= down[gaps + 1].take(row, mode="clip")
+    # windows that begin in the last bytes of a stream reach into the next one
+    inside = np.ones(len(code), dtype=bool)
+    for back in range(1, WIDTH):
+        inside[edges[1:-1] - back] = False
+    return word[inside], code[inside], first
 
 
 def event_keys(word: np.ndarray, code: np.ndarray) -> np.ndarray:
-    return mixed(word ^ mixed(code.astype(np.uint64) * _A))
+    key = mixed(code.view(np.uint64) * _A)
+    key ^= word
+    return mixed(key)
+
+
+def coded_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each distinct word, word codes)."""
+    coded = words.dictionary_encode()
+    return hashed(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.cast(pa.binary()).to_numpy(zero_copy_only=False), categorize=False)
 
 
 # --- counting -----------------------------------------------------------------
@@ -139,9 +196,9 @@ def count_events(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Held()
         for batch in batches:
-            for _, part in row_slices(batch.column(0), SLICE_BYTES):
+            for _, part in row_slices(batch.column(0), EVENT_BYTES):
                 word, code, _ = events(part)
-                if held.add(merged(event_keys(word, code), word, code, np.ones(len(code), dtype=np.int64))):
+                if held.add(merged(event_keys(word, code), word, code)):
                     yield bucket_rows(held.take(), buckets)
         if held.parts:
             yield bucket_rows(held.take(), buckets)
@@ -186,7 +243,8 @@ class Held:
     def merge(self) -> tuple[np.ndarray, ...]:
         if len(self.parts) == 1:
             return self.parts[0]
-        return merged(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+        *columns, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        return merged(*columns, n=n)
 
     def take(self) -> tuple[np.ndarray, ...]:
         out = self.merge()
@@ -194,12 +252,12 @@ class Held:
         return out
 
 
-def merged(key: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    group, found = pd.factorize(key)
-    first = np.empty(len(found), dtype=np.int64)
-    first[group[::-1]] = np.arange(len(key) - 1, -1, -1)
-    total = np.bincount(group, weights=n, minlength=len(found)).astype(np.int64)
-    return found, word[first], code[first], total
+def merged(key: np.ndarray, *columns: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct keys with their columns and the sums of ``n`` (else their occurrences)."""
+    order, starts = runs(key)
+    first = order[starts]
+    total = np.diff(starts, append=len(key)) if n is None else np.add.reduceat(n[order], starts) if len(starts) else n
+    return key[first], *(c[first] for c in columns), total
 
 
 def packed_rows(buckets: list[int], parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -208,11 +266,10 @@ def packed_rows(buckets: list[int], parts: list[tuple[np.ndarray, ...]]) -> pa.R
 
 
 def bucket_rows(part: tuple[np.ndarray, ...], buckets: int) -> pa.RecordBatch:
-    bucket = (mixed(((part[2].astype(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFFFF)) * _A) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    found, starts = np.unique(bucket[order], return_index=True)
+    bucket = mixed(((part[2].view(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFFFF)) * _A) % np.uint64(buckets)
+    order, starts = runs(bucket << np.uint64(32))
     ends = [*starts[1:], len(order)]
-    return packed_rows(found.tolist(), [tuple(x[order[a:b]] for x in part) for a, b in zip(starts, ends, strict=True)])
+    return packed_rows(bucket[order[starts]].tolist(), [tuple(x[order[a:b]] for x in part) for a, b in zip(starts, ends, strict=True)])
 
 
 def packed_events(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -228,15 +285,14 @@ def count_words(docs: DataFrame) -> DataFrame:
         held = Held()
 
         def rows() -> pa.RecordBatch:
-            _, h, _, n = held.take()
+            h, n = held.take()
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "c"])
 
         for batch in batches:
             for _, part in row_slices(batch.column(0), 2 * SLICE_BYTES):
                 words, _ = words_of(part)
-                hashes, codes, _ = word_hashes(words)
-                n = np.bincount(codes, minlength=len(hashes)).astype(np.int64)
-                if held.add((hashes, hashes, hashes, n)):
+                hashes, codes = coded_words(words)
+                if held.add((hashes, np.bincount(codes, minlength=len(hashes)))):
                     yield rows()
         if held.parts:
             yield rows()
@@ -256,6 +312,10 @@ class Tree:
     node: np.ndarray
     bit: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.hash = self.node.astype(np.uint64) * _A * _B
+        self.sign = np.where(self.bit, -1.0, 1.0)
+
     @classmethod
     def of(cls, counts: np.ndarray) -> "Tree":
         heap = [(int(c) + 1, s, s) for s, c in enumerate(counts)]
@@ -274,13 +334,13 @@ class Tree:
         flat = [step for s in range(256) for step in paths[s]]
         return cls(np.cumsum(length) - length, length, np.array([x[0] for x in flat]), np.array([x[1] for x in flat], dtype=np.uint8))
 
-    def choices(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(event, node, bit) of every choice of every event, and so on along each path."""
+    def choices(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First choice of each event, and (event, place in the paths) of all choices, event by event."""
         byte = code & 255
         n = self.length[byte]
-        row = np.repeat(np.arange(len(code)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.start[byte][row]
-        return row, self.node[at], self.bit[at]
+        row = np.repeat(np.arange(len(n)), n)
+        first = np.cumsum(n) - n
+        return first, row, np.arange(len(row)) + (self.start[byte] - first).take(row, mode="clip")
 
 
 def context_hashes(word: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
@@ -289,9 +349,12 @@ def context_hashes(word: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
     return [*out, mixed(word * _A + np.uint64(77))]
 
 
-def slots(j: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Slot in the table of context ``j``."""
-    return (((context + node.astype(np.uint64) * _A) * _B) >> np.uint64(64 - BITS[j])).astype(np.int64)
+def slots(j: int, context: np.ndarray, row: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Slot in the table of context ``j`` of each choice, from its event's row and the hash of its node."""
+    at = (context * _B).take(row, mode="clip")
+    at += nodes
+    at >>= np.uint64(64 - BITS[j])
+    return at.view(np.int64)
 
 
 def stored(n: np.ndarray) -> np.ndarray:
@@ -324,27 +387,39 @@ class Model:
 
     def __post_init__(self) -> None:
         self.odds, self.kinds = state_tables()
+        if self.refined is not None:
+            self.rise = np.diff(self.refined, append=0)  # to the cell above
 
-    def inputs(self, hashes: list[np.ndarray], row: np.ndarray, node: np.ndarray, bit: np.ndarray, learning: bool) -> tuple[list, list]:
+    def inputs(self, hashes: list[np.ndarray], row: np.ndarray, place: np.ndarray, bit: np.ndarray, learning: bool) -> tuple[list, list]:
         """Per context: log odds, and the index of the weight that the gate selects."""
         odds, kinds = [], []
+        nodes = self.tree.hash.take(place, mode="clip")
+        if learning:
+            shift = bit.astype(np.uint16) << np.uint16(3)
+        gate = np.zeros(len(place), dtype=np.uint8)
         for j in range(CONTEXTS):
-            state = self.tables[j][slots(j, hashes[j][row], node)]
+            state = self.tables[j].take(slots(j, hashes[j], row, nodes), mode="clip")
             if learning:  # without the event itself
-                shift = bit.astype(np.uint16) * np.uint16(8)
                 own = (state >> shift) & np.uint16(255)
-                state = state - (((own > 0) & (own <= EXACT)).astype(np.uint16) << shift)
-            odds.append(self.odds[state])
-            kinds.append(self.kinds[state])
-        gate = np.zeros(len(row), dtype=np.int64)
-        for j, _ in enumerate(ORDERS):
-            gate = np.where(kinds[j] > 0, KINDS * (j + 1), gate)
+                state -= ((own > 0) & (own <= EXACT)).astype(np.uint16) << shift
+            state = state.astype(np.int64)
+            odds.append(self.odds.take(state, mode="clip"))
+            kinds.append(self.kinds.take(state, mode="clip"))
+            if j < len(ORDERS):
+                np.maximum(gate, (kinds[j] > 0).view(np.uint8) * np.uint8(j + 1), out=gate)
+        gate *= np.uint8(KINDS)
         gate += kinds[-1]
-        return odds, [(gate * CONTEXTS + j) * KINDS + kinds[j] for j in range(CONTEXTS)]
+        first = gate * np.uint16(CONTEXTS * KINDS)
+        return odds, [(first + (kinds[j] + np.uint8(j * KINDS))).astype(np.int64) for j in range(CONTEXTS)]
 
     def mix(self, odds: list, index: list) -> np.ndarray:
         flat = self.weights.ravel()
-        return np.clip(sum(flat[i] * x for i, x in zip(index, odds, strict=True)), -15.9, 15.9)
+        total = flat.take(index[0], mode="clip") * odds[0]
+        for i, x in zip(index[1:], odds[1:], strict=True):
+            term = flat.take(i, mode="clip")
+            term *= x
+            total += term
+        return np.clip(total, -15.9, 15.9, out=total)
 
     def cells(self, node: np.ndarray, logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell below (node and log odds) and the share of the cell above."""
@@ -356,17 +431,22 @@ class Model:
         if self.refined is None:
             return logit
         at, share = self.cells(node, logit)
-        return 0.5 * (logit + (1 - share) * self.refined[at] + share * self.refined[at + 1])
+        share *= self.rise.take(at, mode="clip")
+        share += self.refined.take(at, mode="clip")
+        share += logit
+        share *= 0.5
+        return share
 
     def learn(self, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
         """One online pass over counted events; returns how much each weight was exercised."""
         hashes = context_hashes(word, code)
         seen = np.zeros(self.weights.size)
-        for a in range(0, len(code), BATCH // 4):
-            part = slice(a, a + BATCH // 4)
-            row, node, bit = self.tree.choices(code[part])
-            times = n[part][row].astype(np.float64)
-            odds, index = self.inputs([h[part] for h in hashes], row, node, bit, learning=True)
+        for a in range(0, len(code), BATCH):
+            part = slice(a, a + BATCH)
+            _, row, place = self.tree.choices(code[part])
+            bit = self.tree.bit.take(place, mode="clip")
+            times = n[part].astype(np.float64)[row]
+            odds, index = self.inputs([h[part] for h in hashes], row, place, bit, learning=True)
             p = 1 / (1 + np.exp(-self.mix(odds, index)))
             miss, curve = (bit - p) * times, p * (1 - p) * times
             flat = self.weights.ravel()
@@ -384,9 +464,11 @@ class Model:
         hashes = context_hashes(word, code)
         for a in range(0, len(code), BATCH):
             part = slice(a, a + BATCH)
-            row, node, bit = self.tree.choices(code[part])
-            times = n[part][row].astype(np.float64)
-            at, share = self.cells(node, self.mix(*self.inputs([h[part] for h in hashes], row, node, bit, learning=True)))
+            _, row, place = self.tree.choices(code[part])
+            bit = self.tree.bit.take(place, mode="clip")
+            times = n[part].astype(np.float64)[row]
+            logit = self.mix(*self.inputs([h[part] for h in hashes], row, place, bit, learning=True))
+            at, share = self.cells(self.tree.node[place], logit)
             for cell, w in ((at, times * (1 - share)), (at + 1, times * share)):
                 out[0] += np.bincount(cell, weights=w, minlength=out.shape[1])
                 out[1] += np.bincount(cell, weights=w * bit, minlength=out.shape[1])
@@ -398,29 +480,68 @@ class Model:
         hashes = context_hashes(word, code)
         for a in range(0, len(code), BATCH):
             part = slice(a, a + BATCH)
-            row, node, bit = self.tree.choices(code[part])
-            logit = self.refine(node, self.mix(*self.inputs([h[part] for h in hashes], row, node, bit, learning=False)))
-            cost = np.log1p(np.exp(np.where(bit, -logit, logit)))
-            out[part] = -np.bincount(row, weights=cost, minlength=len(code[part]))
+            first, row, place = self.tree.choices(code[part])
+            bit = self.tree.bit.take(place, mode="clip")
+            logit = self.mix(*self.inputs([h[part] for h in hashes], row, place, bit, learning=False))
+            logit = self.refine(self.tree.node[place], logit)
+            logit *= self.tree.sign.take(place, mode="clip")
+            cost = np.log1p(np.exp(logit))
+            out[part] = -np.add.reduceat(cost, first)
         return out / math.log(2)
 
-    def text_log2(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def text_log2(self, texts: pa.Array, known: "Known") -> tuple[np.ndarray, np.ndarray]:
         """(log2 probability, predicted bytes) of each text; equal events are evaluated once."""
         word, code, first = events(texts)
-        group, found = pd.factorize(event_keys(word, code))
-        at = np.empty(len(found), dtype=np.int64)
-        at[group[::-1]] = np.arange(len(code) - 1, -1, -1)
-        sums = np.concatenate([[0], np.cumsum(self.log2(word[at], code[at])[group])])
-        return sums[first[1:]] - sums[first[:-1]], np.diff(first)
+        key = event_keys(word, code)
+        order, starts = runs(key)
+        at = order[starts]
+        value = known.values(key[at], lambda new: self.log2(word[at[new]], code[at[new]]))
+        each = np.empty(len(code) + 1)
+        each[0] = 0
+        each[1:][order] = np.repeat(value, np.diff(starts, append=len(order)))
+        np.cumsum(each, out=each)
+        return each[first[1:]] - each[first[:-1]], np.diff(first)
+
+
+class Known:
+    """Values of keys seen before: a row of ``WAYS`` places for each beginning of a key, which takes no more once full."""
+
+    def __init__(self) -> None:
+        # a free place holds a key of another row
+        self.free = (np.arange(1 << ROW_BITS, dtype=np.uint64) ^ np.uint64(1)) << np.uint64(64 - ROW_BITS)
+        self.keys = np.repeat(self.free, WAYS).reshape(-1, WAYS)
+        self.found = np.zeros((1 << ROW_BITS) * WAYS)
+
+    def values(self, keys: np.ndarray, evaluate: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Values of distinct ascending keys; those not held are evaluated, from their places."""
+        row = (keys >> np.uint64(64 - ROW_BITS)).view(np.int64)
+        same = np.flatnonzero(self.keys.take(row, axis=0, mode="clip") == keys[:, None])
+        held = same // WAYS
+        out = np.empty(len(keys))
+        out[held] = self.found.take(row[held] * WAYS + same % WAYS, mode="clip")
+        missing = np.ones(len(keys), dtype=bool)
+        missing[held] = False
+        left = np.flatnonzero(missing)
+        out[left] = evaluate(left)
+        for way in range(WAYS):
+            at = row[left]
+            put = self.keys[at, way] == self.free[at]
+            put[1:] &= at[1:] != at[:-1]
+            self.keys[at[put], way] = keys[left[put]]
+            self.found[at[put] * WAYS + way] = out[left[put]]
+            left = left[~put]
+        return out
 
 
 _TABLES: dict[str, list[np.ndarray]] = {}
+_KNOWN: dict[str, Known] = {}
 
 
 def table_arrays(key: str, pieces: dict[int, bytes]) -> list[np.ndarray]:
     """The tables of one model from compressed pieces; a worker process keeps the last model's."""
     if key not in _TABLES:
         _TABLES.clear()
+        _KNOWN.clear()
         whole = np.zeros(SLOTS, dtype=np.uint16)
         for number, data in pieces.items():
             whole[number * PIECE : (number + 1) * PIECE] = np.frombuffer(zstandard.decompress(data), dtype=np.uint16)
@@ -434,14 +555,21 @@ def fit_tables(counted: DataFrame, tree: Tree) -> dict[int, bytes]:
     @over_batches
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for word, code, n in packed_events(batch):
-                row, node, bit = tree.choices(code)
-                times = n[row].astype(np.float64)
-                for j, h in enumerate(context_hashes(word, code)):
-                    group, found = pd.factorize(slots(j, h[row], node))
-                    ones = np.bincount(group, weights=times * bit, minlength=len(found))
-                    both = np.bincount(group, weights=times, minlength=len(found))
-                    yield slot_rows(found + FIRST[j], both - ones, ones)
+            for whole in packed_events(batch):
+                for a in range(0, len(whole[0]), MOST_SHUFFLED // 2):
+                    yield from counts(*(x[a : a + MOST_SHUFFLED // 2] for x in whole))
+
+    def counts(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, row, place = tree.choices(code)
+        nodes, bit = tree.hash[place], tree.bit[place]
+        times = n.astype(np.float64)[row]
+        for j, h in enumerate(context_hashes(word, code)):
+            slot = slots(j, h, row, nodes)
+            order, starts = runs(slot.view(np.uint64) << np.uint64(32))
+            both, ones = times[order], bit[order]
+            ones = np.add.reduceat(both * ones, starts)
+            both = np.add.reduceat(both, starts)
+            yield slot_rows(slot[order[starts]] + FIRST[j], both - ones, ones)
 
     @over_batches
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,11 +602,11 @@ SLOT = np.dtype([("at", "<u2"), ("zeros", "<u4"), ("ones", "<u4")])
 
 
 def slot_rows(slot: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(slot)
+    """Counts of ascending slots, a row for each piece of a table."""
     rows = np.empty(len(slot), dtype=SLOT)
-    rows["at"] = slot[order] % PIECE
-    rows["zeros"], rows["ones"] = (np.minimum(x[order], 4e9) for x in (zeros, ones))
-    piece, starts = np.unique(slot[order] // PIECE, return_index=True)
+    rows["at"] = slot % PIECE
+    rows["zeros"], rows["ones"] = np.minimum(zeros, 4e9), np.minimum(ones, 4e9)
+    piece, starts = np.unique(slot // PIECE, return_index=True)
     data = [rows[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(data, pa.binary())], ["piece", "data"])
 
@@ -496,6 +624,10 @@ class Trained:
     def model(self) -> Model:
         return Model(self.tree, table_arrays(self.key, self.pieces.value), self.weights, self.refined)
 
+    def known(self) -> Known:
+        """What this worker process has evaluated with this model."""
+        return _KNOWN.setdefault(self.key, Known())
+
 
 def shuffled(parts: Iterator) -> Iterator[tuple[np.ndarray, ...]]:
     """Events of many buckets in a seeded random order (a bucket's contexts are alike)."""
@@ -509,7 +641,7 @@ def shuffled(parts: Iterator) -> Iterator[tuple[np.ndarray, ...]]:
     for part in parts:
         held.append(part)
         size += len(part[0])
-        if size >= MOST_HELD // 2:
+        if size >= MOST_SHUFFLED:
             yield mixed_up()
             held, size = [], 0
     if held:
@@ -594,10 +726,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total = (row["n"] or 0) + ends
     vocabulary = row["v"] + (ends > 0)
-    counted = written(count_events(training, max(64, total_text_bytes(docs, text_col) // BUCKET_BYTES)), "events")
+    size = total_text_bytes(docs, text_col)
+    counted = written(count_events(training, max(64, size // BUCKET_BYTES)), "events")
     trained = train(counted)
 
-    blocks = max(1, -(-total_text_bytes(docs, text_col) // BLOCK_BYTES))
+    blocks = max(1, -(-size // BLOCK_BYTES))
     rows = docs.select(
         F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).cast("int").alias("block"),
         doc_id.alias("doc_id"), held_out.alias("held_out"), text.alias("text"),
@@ -605,16 +738,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @over_group
     def distinct(table: pa.Table) -> pa.Table:
-        found = np.zeros(0, dtype=np.uint64)
-        for chunk in table.column("text").chunks:
-            for _, part in row_slices(chunk, SLICE_BYTES):
-                found = np.union1d(found, word_hashes(words_of(part)[0])[0])
+        words = [pc.unique(words_of(part)[0]) for chunk in table.column("text").chunks for _, part in row_slices(chunk, SLICE_BYTES)]
+        found = hashed(pc.unique(pa.concat_arrays(words)))
         block = np.full(len(found), table.column("block")[0].as_py(), dtype=np.int32)
         return pa.table({"block": block, "h": found.view(np.int64)})
 
     @over_pair
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = trained.model()
+        own, seen = trained.model(), trained.known()
         at = np.argsort(right.column("h").to_numpy())
         known, times = right.column("h").to_numpy()[at], right.column("c").to_numpy()[at]
         out: dict[str, list[np.ndarray]] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
@@ -622,7 +753,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for _, part in row_slices(chunk, SLICE_BYTES):
                 part = pa.concat_arrays([part])
                 words, edges = words_of(part)
-                hashes, codes, _ = word_hashes(words)
+                hashes, codes = coded_words(words)
                 hashes = hashes.view(np.int64)
                 c = np.zeros(len(hashes), dtype=np.int64)
                 if len(known):
@@ -638,9 +769,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out["n_tokens"].append(np.diff(edges) + 1)
                 out["n_known"].append(sums((c > 0).astype(np.int64)) + (ends > 0))
                 out["base_score"].append(sums(lp) + end)
-                bits, size = own.text_log2(part)
-                out["score"].append(bits * math.log10(2))
-                out["n_bytes"].append(size)
+                for _, few in row_slices(part, EVENT_BYTES):
+                    bits, size = own.text_log2(few, seen)
+                    out["score"].append(bits * math.log10(2))
+                    out["n_bytes"].append(size)
         whole = {c: np.concatenate(v) for c, v in out.items()}
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"),

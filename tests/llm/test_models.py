@@ -72,6 +72,37 @@ def test_events_see_the_word_so_far():
     assert (code[0] & 255, code[6] & 255) == (ord("a"), 10)
 
 
+def test_runs_hold_equal_keys_that_share_their_high_bits():
+    rng = np.random.default_rng(7)
+    for key in (rng.integers(0, 5, 300), rng.integers(0, 9, 300) << 60, rng.integers(0, 1 << 62, 300), np.zeros(3), np.zeros(0)):
+        key = key.astype(np.uint64)
+        order, starts = cm.runs(key)
+        assert sorted(order.tolist()) == list(range(len(key)))
+        assert (np.diff(key[order].astype(object)) >= 0).all()
+        assert key[order][starts].tolist() == sorted(set(key.tolist()))
+        found, n = cm.merged(key)
+        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == Counter(key.tolist())
+
+
+@pytest.mark.parametrize("row_bits", [2, 12])
+def test_an_event_is_evaluated_once_while_there_is_room(monkeypatch, row_bits):
+    monkeypatch.setattr(cm, "ROW_BITS", row_bits)
+    rng = np.random.default_rng(8)
+    tables = [rng.integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in cm.BITS]
+    model = cm.Model(cm.Tree.of(rng.integers(0, 1000, 256)), tables, refined=rng.normal(size=256 * cm.CELLS))
+    made, log2 = [], model.log2
+    model.log2 = lambda word, code: made.extend(cm.event_keys(word, code).tolist()) or log2(word, code)
+    known = cm.Known()
+    for _ in range(3):
+        for texts in (["the river", "", "the old river the old river"], ["old stone the river", " "]):
+            got, size = model.text_log2(pa.array(texts), known)
+            word, code, first = cm.events(pa.array(texts))
+            each = log2(word, code)
+            assert np.allclose(got, [each[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)], rtol=1e-12)
+            assert size.tolist() == np.diff(first).tolist()
+    assert (len(made) == len(set(made))) == (row_bits == 12)
+
+
 def test_kneser_ney_sums_to_one():
     table = Counter()
     for t in ("abracadabra", "banana band", "cabana"):
