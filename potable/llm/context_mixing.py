@@ -70,7 +70,9 @@ BLOCK_BYTES = 16 << 20
 #: text bytes for each bucket of counted events
 BUCKET_BYTES = 4 << 20
 #: entries a counting task holds before it merges them or passes them on
-MOST_HELD = 2_000_000
+MOST_HELD = 1_500_000
+#: entries of one batch on its way out of a counting task
+MOST_SENT = 250_000
 #: events that are learned in one random order
 MOST_SHUFFLED = 500_000
 ROUNDS = 2
@@ -199,9 +201,9 @@ def count_events(docs: DataFrame, buckets: int) -> DataFrame:
             for _, part in row_slices(batch.column(0), EVENT_BYTES):
                 word, code, _ = events(part)
                 if held.add(merged(event_keys(word, code), word, code)):
-                    yield bucket_rows(held.take(), buckets)
+                    yield from bucket_rows(held.take(), buckets)
         if held.parts:
-            yield bucket_rows(held.take(), buckets)
+            yield from bucket_rows(held.take(), buckets)
 
     @over_batches
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +240,7 @@ class Held:
             return False
         self.parts = [self.merge()]
         self.size = len(self.parts[0][0])
-        return self.size > MOST_HELD // 2
+        return self.size > MOST_HELD * 3 // 4
 
     def merge(self) -> tuple[np.ndarray, ...]:
         if len(self.parts) == 1:
@@ -265,11 +267,15 @@ def packed_rows(buckets: list[int], parts: list[tuple[np.ndarray, ...]]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *arrays], ["bucket", "word", "code", "n"])
 
 
-def bucket_rows(part: tuple[np.ndarray, ...], buckets: int) -> pa.RecordBatch:
+def bucket_rows(part: tuple[np.ndarray, ...], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Events by bucket, in batches of about ``MOST_SENT``."""
     bucket = mixed(((part[2].view(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFFFF)) * _A) % np.uint64(buckets)
     order, starts = runs(bucket << np.uint64(32))
-    ends = [*starts[1:], len(order)]
-    return packed_rows(bucket[order[starts]].tolist(), [tuple(x[order[a:b]] for x in part) for a, b in zip(starts, ends, strict=True)])
+    found, ends = bucket[order[starts]], np.append(starts[1:], len(order))
+    step = max(1, len(starts) * MOST_SENT // max(1, len(order)))
+    for i in range(0, len(starts), step):
+        few = zip(starts[i : i + step], ends[i : i + step], strict=True)
+        yield packed_rows(found[i : i + step].tolist(), [(None, *(x[order[a:b]] for x in part[1:])) for a, b in few])
 
 
 def packed_events(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
