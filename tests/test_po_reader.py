@@ -1,4 +1,5 @@
 import re
+import uuid
 
 import pytest
 
@@ -85,7 +86,7 @@ def test_job_in_shards_keeps_nothing_it_only_read(spark, tmp_path, monkeypatch):
     files, sent = [], []
     for n, codec in ((1, None), (3, "gzip")):
         monkeypatch.setattr(translate, "shard_count", lambda spark, path, n=n: n)
-        out, run_id, before = tmp_path / f"out{n}", f"shards-{tmp_path.name}-{n}", set(_names(base))
+        out, run_id, before = tmp_path / f"out{n}", f"shards-{uuid.uuid4().hex}", set(_names(base))
         with scratch(spark):
             tables = translate.translate_files(
                 spark, str(src), str(out), recorded_provider(log), run_id=run_id, codec=codec, keep_merged=False)
